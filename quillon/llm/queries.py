@@ -9,6 +9,8 @@ def _made() -> list[tuple[str, str, str, str | None]]:
     """(query, module, function, name of its SQL)."""
     return [
         ("op8_warc", "warc", "op8_warc", "OP8_SQL"),
+        ("op9_html", "html", "op9_html", None),
+        ("op10_ann", "ann", "op10_ann", None),
     ]
 
 
