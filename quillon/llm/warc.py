@@ -3,7 +3,7 @@
 Writer: one ``response`` or ``revisit`` record per page. The HTTP body is framed
 as chunked transfer coding; a block longer than ``segment_bytes`` goes into a
 first record and ``continuation`` records that name its identifier. Archives are
-written by Spark's own text sink, so they reach any store that Spark reaches.
+gzipped by Spark's own text sink, so they reach any store that Spark reaches.
 
 Reader: archives are parsed by Content-Length, the segments of a record are
 grouped by origin identifier, ordered by segment number, checked against the
@@ -17,6 +17,7 @@ no records; other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -118,7 +119,7 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for content in b.content:
             rows = []
-            for h in parse(content):
+            for h in parse(gzip.decompress(content)):
                 digest = h.get("WARC-Payload-Digest")
                 rows.append((h["WARC-Record-ID"], h.get("X-Page-ID"), h.get("WARC-Target-URI"), h["WARC-Type"], digest and digest.partition(":")[2], h.get("X-Refers-To-Page"), int(h.get("WARC-Segment-Number", 0)), h.get("WARC-Segment-Origin-ID"), int(h.get("WARC-Segment-Total-Length", -1)), h["block"]))
             yield pd.DataFrame(rows, columns=names)
@@ -135,11 +136,11 @@ def classify(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write ``pages`` as .warc text files under ``path``."""
+    """Write ``pages`` as gzipped archives under ``path``."""
     rows = classify(pages).select("page_id", "url", "payload", "record_type", "payload_digest", "refers_to")
     out = rows.withColumns({"page_id": F.col("page_id").cast("string"), "refers_to": F.col("refers_to").cast("string")}).mapInPandas(_write_batches, "value binary")
     # bytes cast to string stay as they are, and the sink writes them as they are
-    out.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path)
+    out.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).option("compression", "gzip").text(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
