@@ -8,6 +8,7 @@ import importlib
 def _made() -> list[tuple[str, str, str, str | None]]:
     """(query, module, function, name of its SQL)."""
     return [
+        ("op4_bpe", "bpe", "op4_bpe", None),
         ("op5_simhash", "simhash", "op5_simhash", None),
         ("op8_warc", "warc", "op8_warc", "OP8_SQL"),
         ("op9_html", "html", "op9_html", None),
