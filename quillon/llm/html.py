@@ -222,8 +222,10 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 def fit_pages(pages: DataFrame, labelled: int = LABELLED) -> dict[str, float]:
     h = pick(pages, page_id="long", html="string").filter(F.lower("html").rlike(r"<(article|main)[\s>]"))
-    # the smallest hashes: a small top-k on each task, whatever the input
-    rows = h.orderBy(F.xxhash64("page_id", F.length("html"))).limit(labelled).collect()
+    h = h.withColumn("pick", F.xxhash64("page_id", F.length("html")))
+    # the smallest hashes: first the hashes alone, then the pages up to the last of them
+    last = h.select("pick").orderBy("pick").limit(labelled).agg(F.max("pick")).first()[0]
+    rows = [] if last is None else h.filter(F.col("pick") <= last).limit(labelled).collect()
     return fit([r["html"] for r in rows])
 
 
