@@ -10,6 +10,8 @@ def _made() -> list[tuple[str, str, str, str | None]]:
     return [
         ("op4_bpe", "bpe", "op4_bpe", None),
         ("op5_simhash", "simhash", "op5_simhash", None),
+        ("op6_packing", "packing", "op6_packing", None),
+        ("op7_mixing", "mixing", "op7_mixing", None),
         ("op8_warc", "warc", "op8_warc", "OP8_SQL"),
         ("op9_html", "html", "op9_html", None),
         ("op10_ann", "ann", "op10_ann", None),
