@@ -8,6 +8,8 @@ import importlib
 def _made() -> list[tuple[str, str, str, str | None]]:
     """(query, module, function, name of its SQL)."""
     return [
+        ("op1_quality", "quality", "op1_quality", None),
+        ("op2_rules", "rules", "op2_rules", None),
         ("op4_bpe", "bpe", "op4_bpe", None),
         ("op5_simhash", "simhash", "op5_simhash", None),
         ("op6_packing", "packing", "op6_packing", None),
