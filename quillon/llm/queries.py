@@ -10,6 +10,7 @@ def _made() -> list[tuple[str, str, str, str | None]]:
     return [
         ("op1_quality", "quality", "op1_quality", None),
         ("op2_rules", "rules", "op2_rules", None),
+        ("op3_scoring", "scoring", "op3_scoring", None),
         ("op4_bpe", "bpe", "op4_bpe", None),
         ("op5_simhash", "simhash", "op5_simhash", None),
         ("op6_packing", "packing", "op6_packing", None),
