@@ -113,13 +113,13 @@ def vocabulary(size: int, counts: np.ndarray, steps: tuple[np.ndarray, np.ndarra
     first /= max(first.sum(), 1)
     pairs += np.outer(last, first)
     pairs[0] += counts[end] * first
-    alone = total + 0.5
+    alone = total + 0.5 * (np.bincount(symbol_of, minlength=len(class_of)) > 0)  # nothing for symbols without ids
     alone[0] = counts[end] + 0.5
     pairs += PRIOR * alone / alone.sum()
     pairs /= pairs.sum(1, keepdims=True)
     after = np.zeros((len(class_of), CLASSES))
     np.add.at(after.T, class_of, pairs.T)
-    return Vocabulary(end, symbol_of.astype(np.int32), log_within.astype(np.float32), class_of.astype(np.int32), after.astype(np.float32), np.log(pairs / after[:, class_of]).astype(np.float32))
+    return Vocabulary(end, symbol_of.astype(np.int32), log_within.astype(np.float32), class_of.astype(np.int32), after.astype(np.float32), np.log(np.maximum(pairs, 1e-300) / np.maximum(after[:, class_of], 1e-300)).astype(np.float32))
 
 
 class Parameters:

@@ -203,7 +203,7 @@ def train_round(docs: DataFrame, vocabulary, frequent, ranks, flat: np.ndarray,
         v = vocabulary.value
         table = WordIds(_encoding(ranks.value), frequent.value[0])
         p = A.Parameters(v.symbols, start.value.copy())
-        adam, log_after, seen, part = A.Adam(len(p.flat), rate), np.log(v.after), 0, 0
+        adam, log_after, seen, part = A.Adam(len(p.flat), rate), np.log(np.maximum(v.after, 1e-30)), 0, 0
         held: list[tuple[list[bytes], bool]] = []
 
         def steps(last: bool) -> None:
@@ -272,13 +272,12 @@ def score(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     end = _encoding(ranks.value).n_vocab
     learn = docs.filter(training()) if "doc_id" in docs.columns else docs
     counts = count_words(learn)
-    n, v = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    n, v = n or 0, v or 0
+    n, v, n_docs = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1)), F.max(F.when(F.octet_length("word") == 0, F.col("c")))).first())
     unit = math.log10(n + v + 1) if n else 0.0
     top = counts.filter(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
     words, c = top.column("word").to_pylist(), top.column("c").to_numpy()
     frequent = spark.sparkContext.broadcast((words, c))
-    vocabulary = learn_vocabulary(counts, ranks, end, int(c[words.index(END)]) if n else 0)
+    vocabulary = learn_vocabulary(counts, ranks, end, n_docs)
     shared = spark.sparkContext.broadcast(vocabulary)
     flat = A.Parameters(vocabulary.symbols).flat
     for r in range(ROUNDS):
