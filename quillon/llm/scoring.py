@@ -304,14 +304,14 @@ def score(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
                 new = at.forget()
                 often = numbers < len(known)
                 doc = np.repeat(np.arange(len(part)), np.diff(ends))
-                base = np.bincount(doc[often], logs[numbers[often]], len(part))
-                found = np.bincount(doc[often], minlength=len(part))
+                base = np.bincount(doc[often], logs[numbers[often]], len(part)).astype(np.float64)
+                found = np.bincount(doc[often], minlength=len(part)).astype(np.int64)
                 pair, tf = np.unique(doc[~often] * (len(new) + 1) + numbers[~often] - len(known), return_counts=True)
                 of, which = pair // (len(new) + 1), pair % (len(new) + 1)
                 offsets = np.searchsorted(of, np.arange(len(part) + 1)).astype(np.int32)
                 rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array([new[i] for i in which.tolist()], pa.binary()), pa.array(tf, pa.int64())], ["word", "tf"]))
                 lp = model.documents(ids, starts[ends]) / math.log(10)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends)), pa.array(found.astype(np.int64)), pa.array(base), pa.array(lp), rare], ["doc_id", "n_tokens", "found", "base", "score", "rare"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends)), pa.array(found), pa.array(base), pa.array(lp), rare], ["doc_id", "n_tokens", "found", "base", "score", "rare"])
 
     rows = _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, found long, base double, score double, rare array<struct<word:binary,tf:long>>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
