@@ -100,15 +100,15 @@ def vocabulary(size: int, counts: np.ndarray, steps: tuple[np.ndarray, np.ndarra
     symbol_of = np.where(rank >= 0, rank + 1, rare)
     symbol_of[end] = 0
     inside = counts + (symbol_of == rare)
-    total = np.bincount(symbol_of, inside, len(class_of))
+    total = np.bincount(symbol_of, inside, len(class_of)).astype(np.float64)
     log_within = np.log(np.maximum(inside, 1e-300) / np.maximum(total[symbol_of], 1e-300))
     log_within[end] = 0.0
     # a word's steps are counted; from its last symbol on go the first symbols of all words
     pairs = np.zeros((len(class_of), len(class_of)))
     inner = (a != end) & (b != end)
     np.add.at(pairs, (symbol_of[a[inner]], symbol_of[b[inner]]), n[inner])
-    first = np.bincount(symbol_of[b[a == end]], n[a == end], len(class_of))
-    last = np.bincount(symbol_of[a[b == end]], n[b == end], len(class_of))
+    first = np.bincount(symbol_of[b[a == end]], n[a == end], len(class_of)).astype(np.float64)
+    last = np.bincount(symbol_of[a[b == end]], n[b == end], len(class_of)).astype(np.float64)
     first[0] += counts[end]
     first /= max(first.sum(), 1)
     pairs += np.outer(last, first)
