@@ -21,12 +21,14 @@ names, are kept by ``sample``.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, materialize, pick, table
+from quillon.llm.common import materialize, pick, table
 
 #: Share of the weight that is kept, and the power that flattens observed marginals into targets.
 KEEP = 0.8
@@ -39,40 +41,47 @@ BROADCAST_SOURCES = 100_000
 SEED = 20
 
 
-def n_words(text: Column) -> Column:
-    """Words of a text, by runs of ASCII white space."""
-    t = F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
-    return F.when(F.length(t) == 0, 0).otherwise(F.size(F.split(t, SPACE)))
+_LEGAL = ("license", "licence", "copyright", "warrant")
+_CONTACT = re.compile(r"[\w.]@[\w-]+\.\w")
+_SYMBOLS = "#*$%&|<>{}[]=\\"
 
 
-def topic_of(text: Column, words: Column) -> Column:
-    """A coarse topic from what a text holds."""
-    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>{}[]=\\", ""))
-    return (
-        F.when(text.rlike(r"(?i)licen[sc]e|copyright|warrant"), "legal")
-        .when(text.rlike(r"[\w.]@[\w-]+\.\w|https?://"), "contact")
-        .when(symbols * 50 > F.length(text), "symbols")
-        .when(words < 100, "short")
-        .when(words > 2000, "long")
-        .otherwise("prose")
-    )
+def words_and_topic(text: str | None) -> tuple[int, str]:
+    """Words of a text, by runs of ASCII white space, and a coarse topic from what it holds."""
+    text = text or ""
+    words = len(text.encode("utf-8", "surrogatepass").split())  # of bytes: ASCII white space alone
+    low = text.lower()
+    if any(x in low for x in _LEGAL):
+        return words, "legal"
+    if "http://" in text or "https://" in text or ("@" in text and _CONTACT.search(text)):
+        return words, "contact"
+    if sum(map(text.count, _SYMBOLS)) * 50 > len(text):
+        return words, "symbols"
+    return words, "short" if words < 100 else "long" if words > 2000 else "prose"
+
+
+def measured(text: Column) -> Column:
+    @F.pandas_udf("words int, topic string")
+    def of(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([words_and_topic(t) for t in s], columns=["words", "topic"])
+
+    return of(text)
 
 
 def with_cells(docs: DataFrame, topics: tuple[str, ...] = TOPICS) -> DataFrame:
     """``docs`` with __source, __lang, __topic (class numbers) and __weight."""
     have = set(docs.columns)
     col = lambda n: F.col(f"`{n}`") if n in have else F.lit(None).cast("string")
-    text = F.coalesce(col("text"), F.lit(""))
-    d = docs.withColumn("__words", n_words(text))
-    topic = col("topic") if "topic" in have else topic_of(text, F.col("__words"))
+    d = docs.withColumn("__measured", measured(col("text")))
+    topic = col("topic") if "topic" in have else F.col("__measured.topic")
     number = lambda c, names: F.coalesce(F.array_position(F.array(*map(F.lit, names)), c) - 1, F.lit(-1))
     place = lambda c, names: F.when(number(c, names) < 0, len(names)).otherwise(number(c, names)).cast("int")
     return d.withColumns({
         "__source": F.coalesce(col("source"), F.lit("")),
         "__lang": place(col("lang"), LANGUAGES),
         "__topic": place(topic, topics),
-        "__weight": F.greatest(F.col("__words"), F.lit(1)).cast("double"),
-    }).drop("__words")
+        "__weight": F.greatest(F.col("__measured.words"), F.lit(1)).cast("double"),
+    }).drop("__measured")
 
 
 def _power(observed: np.ndarray, temperature: float) -> np.ndarray:
@@ -122,10 +131,9 @@ def rake(cells: DataFrame, langs: int, topics: int, temperature: float = TEMPERA
     return t.withColumn("mass", F.lit(mass)), fl, ft
 
 
-def probabilities(docs: DataFrame, keep: float = KEEP, temperature: float = TEMPERATURE, **targets) -> DataFrame:
-    """``docs`` with __source, __lang, __topic, __weight, __factor and __p, the probability of keeping it."""
+def probabilities(d: DataFrame, keep: float = KEEP, temperature: float = TEMPERATURE, **targets) -> DataFrame:
+    """``d`` (see ``with_cells``) with __factor and __p, the probability of keeping a row."""
     langs, topics = len(LANGUAGES) + 1, len(TOPICS) + 1
-    d = with_cells(docs)
     cells = d.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__weight").alias("w"))
     t, fl, ft = rake(cells, langs, topics, temperature, **targets)
     f = F.array(*[F.lit(float(x)) for x in (fl[:, None] * ft[None, :]).ravel()])
@@ -135,12 +143,12 @@ def probabilities(docs: DataFrame, keep: float = KEEP, temperature: float = TEMP
     t = materialize(t.withColumn("s", scaled).select("source", "w", F.when(F.col("s") > 0, F.col("target") / F.col("mass") * total / F.col("s")).otherwise(0.0).alias("factor")), "factors")
     pairs = t.select(F.explode(F.transform(F.arrays_zip("w", f.alias("f")), lambda x: F.struct(x["w"].alias("w"), (x["f"] * F.col("factor")).alias("r")))).alias("x")).select("x.w", "x.r").filter("w > 0")
     rate = _rate(pairs, keep, total)
-    s = t.select(F.col("source").alias("__source"), "factor")
+    s = t.select(F.col("source").alias("__source"), F.col("factor").alias("__of_source"))
     if t.count() <= BROADCAST_SOURCES:
         s = F.broadcast(s)
     j = d.join(s, "__source", "left")
-    factor = F.coalesce(F.col("factor"), F.lit(0.0)) * F.element_at(f, F.col("__lang") * topics + F.col("__topic") + 1)
-    return j.withColumn("__factor", factor).withColumn("__p", F.least(F.lit(1.0), F.lit(rate) * F.col("__factor"))).drop("factor")
+    factor = F.coalesce(F.col("__of_source"), F.lit(0.0)) * F.element_at(f, F.col("__lang") * topics + F.col("__topic") + 1)
+    return j.withColumn("__factor", factor).withColumn("__p", F.least(F.lit(1.0), F.lit(rate) * F.col("__factor"))).drop("__of_source")
 
 
 def _rate(pairs: DataFrame, keep: float, total: float) -> float:
@@ -162,23 +170,24 @@ def uniform(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols, F.lit(SEED)), 11).cast("double") / float(1 << 53)
 
 
-def _decided(docs: DataFrame, keep: float, **more) -> DataFrame:
+def _lot(docs: DataFrame) -> Column:
     have = set(docs.columns)
-    by = [F.col(f"`{c}`") if c in have else F.lit(None) for c in ("doc_id", "text")]
-    return probabilities(docs, keep, **more).withColumn("__kept", uniform(*by) < F.col("__p"))
+    return uniform(*[F.col(f"`{c}`") if c in have else F.lit(None) for c in ("doc_id", "text")])
 
 
 def sample(docs: DataFrame, keep: float = KEEP, **more) -> DataFrame:
     """The sampled rows of ``docs``, with its columns."""
     names = [F.col(f"`{c}`") for c in docs.columns]
-    return _decided(docs, keep, **more).filter("__kept").select(*names)
+    return probabilities(with_cells(docs), keep, **more).filter(_lot(docs) < F.col("__p")).select(*names)
 
 
 def report(docs: DataFrame, keep: float = KEEP, **more) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, factor, probability, sampled of each row."""
-    d = _decided(pick(docs, doc_id="long", text="string", lang="string", source="string"), keep, **more)
+    d = with_cells(pick(docs, doc_id="long", text="string", lang="string", source="string")).withColumn("__lot", _lot(docs))
+    # the texts are read once: what follows needs their measures alone
+    d = probabilities(materialize(d.drop("text"), "cells"), keep, **more)
     names = F.array(*map(F.lit, (*TOPICS, "other")))
-    return d.select("doc_id", "source", "lang", names[F.col("__topic")].alias("topic"), F.col("__weight").cast("long").alias("n_tokens"), F.col("__factor").alias("factor"), F.col("__p").alias("probability"), F.col("__kept").alias("sampled"))
+    return d.select("doc_id", "source", "lang", names[F.col("__topic")].alias("topic"), F.col("__weight").cast("long").alias("n_tokens"), F.col("__factor").alias("factor"), F.col("__p").alias("probability"), (F.col("__lot") < F.col("__p")).alias("sampled"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
