@@ -6,7 +6,7 @@ runs between ASCII white space, encoded as they stand. Each distinct word is
 encoded once and its ids are joined back by position:
 
 * the ``FREQUENT`` most frequent words of a bounded sample are a broadcast table
-  (at most 65,535 words of at most ``FREQUENT_CHARS`` characters);
+  (at most 262,143 words of at most ``FREQUENT_CHARS`` characters);
 * every other word of a document is a row (word, document); rows are dealt by
   word, each distinct word is encoded, and (document, word, ids) rows meet the
   document's positions, kept as compact word numbers.
@@ -27,6 +27,7 @@ import functools
 import hashlib
 import os
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -40,10 +41,10 @@ from pyspark.sql import functions as F
 from quillon.llm.common import pick, table
 
 WORD_BPE = "word_bpe_49k.json"
-FREQUENT = 65535
+FREQUENT = (1 << 18) - 1
 FREQUENT_CHARS = 64
 SAMPLE_DOCS = 20000
-_RARE = 65535
+_RARE = FREQUENT
 
 _RUN = re.compile(r"[^\x20\x09-\x0D]+")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -118,31 +119,48 @@ def frequent_words(docs: DataFrame, most: int = FREQUENT, sample: int = SAMPLE_D
     return [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(min(most, FREQUENT)).collect()]
 
 
+_made: dict[str, object] = {}
+
+
+def made(frequent, what: str, make):
+    """What is made of the broadcast words: once in a worker process, which runs many tasks."""
+    name, words = frequent.value
+    if _made.get("name") != name:
+        _made.clear()
+        _made["name"] = name
+    if what not in _made:
+        _made[what] = make(words)
+    return _made[what]
+
+
+def _numbers(words: list[str]) -> dict[str, int]:
+    return {w: i for i, w in enumerate(words)}
+
+
 def _coded(docs: DataFrame, frequent) -> tuple[DataFrame, DataFrame]:
     """(key, word) rows of the words outside the frequent table; (key, doc_id, code) of each document."""
 
-    def numbers() -> dict[str, int]:
-        return {w: i for i, w in enumerate(frequent.value)}
-
     def requests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = set(frequent.value)
+        known = made(frequent, "numbers", _numbers)
         for b in batches:
             keys, words = [], []
             for k, t in zip(b.key, b.text, strict=True):
-                rare = list(set(split_words(t)) - known)
+                rare = [w for w in set(split_words(t)) if w not in known]
                 words += rare
                 keys += [k] * len(rare)
             yield pd.DataFrame({"key": keys, "word": words}, dtype=object)
 
     def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = numbers()
+        known = made(frequent, "numbers", _numbers)
         for b in batches:
             out = []
             for t in b.text:
                 words = split_words(t)
                 at = [known.get(w, _RARE) for w in words]
                 rare = [w for w, i in zip(words, at, strict=True) if i == _RARE]
-                out.append(zlib.compress(np.array(at, dtype="<u2").tobytes() + " ".join(rare).encode("utf-8", "surrogatepass"), 1) + len(words).to_bytes(4, "little"))
+                at = np.array(at, dtype=np.uint32)
+                # low halves, then high bytes (few words have one): each compresses better by itself
+                out.append(zlib.compress(at.astype("<u2").tobytes() + (at >> 16).astype(np.uint8).tobytes() + " ".join(rare).encode("utf-8", "surrogatepass"), 1) + len(words).to_bytes(4, "little"))
             yield pd.DataFrame({"key": b.key, "doc_id": b.doc_id, "code": out})
 
     d = docs.select(_key().alias("key"), F.col("doc_id").cast("string").alias("doc_id"), "text")
@@ -172,7 +190,7 @@ def _joined(docs: DataFrame, path: str) -> tuple[DataFrame, object, object]:
         raise ValueError("ids are kept in two bytes: a vocabulary of at most 65,536 pieces")
     d = pick(docs, doc_id="long", text="string")
     words = frequent_words(d)
-    frequent = spark.sparkContext.broadcast(words)
+    frequent = spark.sparkContext.broadcast((uuid.uuid4().hex, words))
     source = spark.sparkContext.broadcast(source_text)
     requests, codes = _coded(d, frequent)
     found = _answers(requests, source).groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("found"))
@@ -185,11 +203,11 @@ def _unpack(code: bytes, found, start: list, make) -> list:
     if not n:
         return []
     raw = zlib.decompress(code[:-4])
-    at = np.frombuffer(raw, "<u2", n)
-    if len(raw) == 2 * n:
+    at = np.frombuffer(raw, "<u2", n) + (np.frombuffer(raw, np.uint8, n, 2 * n).astype(np.uint32) << 16)
+    if len(raw) == 3 * n:
         return [start[i] for i in at.tolist()]
     own = {f["word"]: make(np.frombuffer(f["ids"], "<u2")) for f in found}
-    rare = iter(raw[2 * n :].decode("utf-8", "surrogatepass").split(" "))
+    rare = iter(raw[3 * n :].decode("utf-8", "surrogatepass").split(" "))
     return [start[i] if i != _RARE else own[next(rare)] for i in at.tolist()]
 
 
@@ -198,7 +216,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     joined, frequent, source = _joined(docs, path or public_tokenizers.path(WORD_BPE))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start = _encode(source.value, frequent.value)
+        start = made(frequent, "ids", lambda words: _encode(source.value, words))
         for b in batches:
             ids = [[i for w in _unpack(c, f, start, np.ndarray.tolist) for i in w] for c, f in zip(b.code, b.found, strict=True)]
             yield pd.DataFrame({"doc_id": b.doc_id, "ids": ids})
@@ -218,6 +236,27 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return pick(encoded, doc_id="string", ids="array<int>").mapInPandas(run, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded (the text that the ids decode to) of each row."""
+    joined, frequent, source = _joined(docs, path or public_tokenizers.path(WORD_BPE))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        piece = vocabulary(source.value)
+
+        def both(ids) -> tuple[list[int], str]:
+            ids = ids if isinstance(ids, list) else ids.tolist()
+            return ids, " ".join([piece[i] for i in ids])
+
+        start = made(frequent, "pieces", lambda words: [both(i) for i in _encode(source.value, words)])
+        for b in batches:
+            got = [[x for x in _unpack(c, f, start, both) if x[0]] for c, f in zip(b.code, b.found, strict=True)]
+            ids = [np.array([i for x in g for i in x[0]], dtype=np.int32) for g in got]
+            yield pd.DataFrame({"doc_id": b.doc_id, "n_tokens": [len(i) for i in ids], "ids": ids, "decoded": [" ".join([x[1] for x in g]) for g in got]})
+
+    out = joined.mapInPandas(run, "doc_id string, n_tokens long, ids array<int>, decoded string")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, encoded and decoded in one pass."""
     joined, frequent, source = _joined(docs, path or public_tokenizers.path(WORD_BPE))
@@ -229,7 +268,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = ids if isinstance(ids, list) else ids.tolist()
             return " ".join(map(str, ids)), " ".join([piece[i] for i in ids]), len(ids)
 
-        start = [both(i) for i in _encode(source.value, frequent.value)]
+        start = made(frequent, "texts", lambda words: [both(i) for i in _encode(source.value, words)])
         sha = lambda parts: hashlib.sha256(" ".join(parts).encode("utf-8")).hexdigest()
         for b in batches:
             rows = []
