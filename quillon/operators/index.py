@@ -80,8 +80,8 @@ def bm25_scores(tokens: DataFrame, queries: DataFrame, k1: float = K1, b: float
 
 
 def bm25_topk(tokens: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, id, lex; ties go to the smaller id."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("lex"), "id")
+    """query_id, rank, id, lex; ties go to the smaller id, sums in another order being ties."""
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("lex", 9)), "id")
     return bm25_scores(tokens, queries).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
