@@ -54,6 +54,16 @@ def answer(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, setting
     return serving.responses(replies.withColumn("reply", T.finalize(F.col("reply"), settings.chat.reply_prefix)), links)
 
 
+def answer_lines(lines: DataFrame, chunks: DataFrame, embeddings: DataFrame, settings: Settings, model: Embedder | None = None) -> DataFrame:
+    """line_id, reply of accepted questions (line_id, question): a greeting gets a hint, anything else an answer."""
+    chat = settings.chat
+    hello = T.is_greeting(F.col("question"), chat.hi_patterns) | (T.strip(F.col("question")) == "")
+    greeted = lines.filter(hello).select("line_id", T.finalize(F.lit(f"Meow. Ask me a wiki question with {settings.rules.command_prefix}."), chat.reply_prefix).alias("reply"))
+    queries = lines.filter(~hello).select(F.col("line_id").alias("query_id"), F.col("question").alias("query"))
+    answered = answer(chunks, embeddings, queries, settings, model).select(F.col("query_id").alias("line_id"), "reply")
+    return greeted.unionByName(answered)
+
+
 def handle_chat(lines: DataFrame, chunks: DataFrame, embeddings: DataFrame, settings: Settings, model: Embedder | None = None) -> DataFrame:
     """line_id, part, message of what is sent for raw lines (line_id, channel, ts, raw), in order."""
     chat = settings.chat
@@ -61,10 +71,6 @@ def handle_chat(lines: DataFrame, chunks: DataFrame, embeddings: DataFrame, sett
     ruled = asked.filter("rule_reply is not null and rule_reply <> ''").select("line_id", T.finalize(F.col("rule_reply"), chat.reply_prefix).alias("reply"))
     rest = asked.filter("rule_name is null")
     commands = C.dispatch(rest.filter("command is not null").drop("command"), settings, chunks.count()).select("line_id", "reply")
-    open_ = C.cooldown(rest.filter("command is null").drop("command").withColumn("who", T.normalize(F.col("speaker"))), "channel", "who", "ts", "line_id", chat).filter("allowed")
-    hello = T.is_greeting(F.col("question"), chat.hi_patterns)
-    greeted = open_.filter(hello).select("line_id", T.finalize(F.lit(f"Meow. Ask me a wiki question with {settings.rules.command_prefix}."), chat.reply_prefix).alias("reply"))
-    queries = open_.filter(~hello).select(F.col("line_id").alias("query_id"), F.col("question").alias("query"))
-    answered = answer(chunks, embeddings, queries, settings, model).select(F.col("query_id").alias("line_id"), "reply")
-    replies = ruled.unionByName(commands).unionByName(greeted).unionByName(answered)
+    accepted = C.cooldown(rest.filter("command is null").drop("command").withColumn("who", T.normalize(F.col("speaker"))), "channel", "who", "ts", "line_id", chat).filter("allowed")
+    replies = ruled.unionByName(commands).unionByName(answer_lines(accepted, chunks, embeddings, settings, model))
     return replies.select("line_id", F.posexplode(T.split_for_chat(F.col("reply"), chat.max_chat_chars)).alias("part", "message"))

@@ -1,5 +1,6 @@
 import json
 import random
+import threading
 from collections import deque
 from dataclasses import replace
 
@@ -13,6 +14,7 @@ from quillon.operators import serving
 from quillon.plans import flows
 from quillon.sources import files
 from quillon.streaming import chat as S
+from quillon.streaming.serve import serve
 
 
 def test_rules(spark):
@@ -28,17 +30,17 @@ def test_rules(spark):
 
 
 def test_commands(spark):
-    chat = Chat(admin_names=["Izu"], admin_ranks=["OWNER"], admin_only_commands=True, bot_name="Quill")
+    chat = Chat(admin_names=["Zed"], admin_ranks=["OWNER"], admin_only_commands=True, bot_name="Quill")
     s = Settings(chat=chat, rules=Rules(command_prefix="!q"))
-    rows = [(1, "Izu", None, "status"), (2, "Bob", "OWNER", "stop"), (3, "Izu", None, "stop"), (4, "Bob", None, "PING now"), (5, "Bob", None, "what is x"), (6, "Bob", None, "  "), (7, "Izu", "vip", "ctx off"), (8, "Izu", None, "whoami"), (9, "Izu", None, "history dance"), (10, "Izu", None, "admins")]
+    rows = [(1, "Zed", None, "status"), (2, "Bob", "OWNER", "stop"), (3, "Zed", None, "stop"), (4, "Bob", None, "PING now"), (5, "Bob", None, "what is x"), (6, "Bob", None, "  "), (7, "Zed", "vip", "ctx off"), (8, "Zed", None, "whoami"), (9, "Zed", None, "history dance"), (10, "Zed", None, "admins")]
     d = spark.createDataFrame(rows, "line_id long, speaker string, rank string, question string")
     r = {x.line_id: x for x in C.dispatch(d, s, 12).collect()}
-    assert r[1].reply.startswith("Quill online. speaker=Izu rank=- admin=yes wiki_chunks=12")
+    assert r[1].reply.startswith("Quill online. speaker=Zed rank=- admin=yes wiki_chunks=12")
     assert r[2].reply == "Stopping Quill chatbot." and r[3].reply == "No permission." and r[4].reply == "No permission." and r[4].command == "ping"
     assert r[5].reply is None and r[5].command is None
     assert r[6].reply.startswith("Use: !q <question>")
-    assert r[7].reply == "Conversation history disabled and context cleared." and r[8].reply == "Parsed speaker=Izu, rank=-. admin=yes."
-    assert r[9].reply == "Usage: !q history <on|off|toggle|status>" and r[10].reply == "Admin names: Izu. Admin ranks: OWNER."
+    assert r[7].reply == "Conversation history disabled and context cleared." and r[8].reply == "Parsed speaker=Zed, rank=-. admin=yes."
+    assert r[9].reply == "Usage: !q history <on|off|toggle|status>" and r[10].reply == "Admin names: Zed. Admin ranks: OWNER."
 
 
 def slow_limits(rows, cap):
@@ -172,6 +174,13 @@ def test_end_to_end(spark, tmp_path):
     for r in flows.handle_chat(d, chunks, emb, s).orderBy("line_id", "part").collect():
         out.setdefault(r.line_id, []).append(r.message)
     assert set(out) == {1, 4, 5, 6, 7} and out[4] == ["No secrets."] and "/t claim" in out[1][0] and out[6][0].startswith("Meow") and "nether" in out[7][0]
+    # the same lines as a stream
+    d.coalesce(1).write.parquet(str(tmp_path / "lines"))
+    stop = threading.Event()
+    for q in serve(spark.readStream.schema(d.schema).parquet(str(tmp_path / "lines")), str(tmp_path / "index"), str(tmp_path / "sent"), str(tmp_path / "state"), s, stop=stop):
+        q.awaitTermination()
+    sent = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "sent"))
+    assert {r.line_id: r.message for r in sent.filter("part = 0").collect()} == {i: m[0] for i, m in out.items()} and not stop.is_set()
     spark.createDataFrame([(0, [0.0])], "chunk_idx long, embedding array<float>").write.mode("overwrite").parquet(str(tmp_path / "index" / "embeddings"))
     for path, kind in ((tmp_path / "index", ValueError), (tmp_path / "nothing", FileNotFoundError)):
         try:

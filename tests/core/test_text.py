@@ -52,19 +52,19 @@ def test_truncate_and_split(spark):
 
 
 def test_triggers(spark):
-    assert one(spark, "izukia what is marriage", lambda c: T.strip_trigger(c, ["izu", "izukia"])) == "what is marriage"
-    assert one(spark, "hey izu, hi", lambda c: T.contains_trigger(c, ["izu"])) is True
-    assert one(spark, "izu2", lambda c: T.contains_trigger(c, ["izu"])) is False
+    assert one(spark, "zedric what is marriage", lambda c: T.strip_trigger(c, ["zed", "zedric"])) == "what is marriage"
+    assert one(spark, "hey zed, hi", lambda c: T.contains_trigger(c, ["zed"])) is True
+    assert one(spark, "zed2", lambda c: T.contains_trigger(c, ["zed"])) is False
     assert one(spark, "Hello!", lambda c: T.is_greeting(c, ["hello"])) is True
 
 
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
-        ("<Steve> izu what is fluff?", ("Steve", None, "izu what is fluff?")),
-        ("🏕 ➟ TOPAZ Izu [❄ '24] ➡ !vista whats bread", ("Izu", "TOPAZ", "!vista whats bread")),
-        ("§a🏙 ➟ TOPAZ ➡ §f!vista status", ("TOPAZ", None, "!vista status")),
-        ("🏕 ➟ TOPAZ Notch ➡ !vista status", ("Notch", "TOPAZ", "!vista status")),
+        ("<Steve> zed what is fluff?", ("Steve", None, "zed what is fluff?")),
+        ("🏕 ➟ TOPAZ Zed [❄ '24] ➡ !askme whats bread", ("Zed", "TOPAZ", "!askme whats bread")),
+        ("§a🏙 ➟ TOPAZ ➡ §f!askme status", ("TOPAZ", None, "!askme status")),
+        ("🏕 ➟ TOPAZ Notch ➡ !askme status", ("Notch", "TOPAZ", "!askme status")),
         ("[World] Bob: hi there", ("Bob", None, "hi there")),
         ("Bob: hi", ("Bob", None, "hi")),
         ("no speaker here", (None, None, "no speaker here")),
@@ -77,9 +77,9 @@ def test_parse_line(spark, raw, want):
 
 
 def test_prefix(spark):
-    names = ["!vista"]
+    names = ["!askme"]
     strip = lambda c: C.strip_prefix(c, names)
-    assert many(spark, ["!vista  what is x", "🏕 ➟ TOPAZ ➡ !VISTA what", "!vistaa x", "nothing", "!vista"], strip) == ["what is x", "what", None, None, ""]
+    assert many(spark, ["!askme  what is x", "🏕 ➟ TOPAZ ➡ !ASKME what", "!askmea x", "nothing", "!askme"], strip) == ["what is x", "what", None, None, ""]
 
 
 def test_urls_paths_sessions(spark):
