@@ -104,6 +104,8 @@ def statistics(docs: DataFrame, prefix: str = "") -> DataFrame:
         f"{prefix}r_distinct": per(p("n_distinct"), p("n_words")),
         f"{prefix}word_length": per(p("word_chars"), p("n_words")),
         f"{prefix}base_failed": (p("n_words") < 20) | (p("n_repeat_words") * 100 > p("n_words") * 30),
+        # a number that no filter may be moved below, for filters that would else repeat the work above inside themselves
+        f"{prefix}row": F.monotonically_increasing_id(),
     })
     return d.drop(f"{prefix}words", f"{prefix}line_counts", *([f"{prefix}text"] if prefix else []))
 
@@ -180,7 +182,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     c = cutoffs(skinny(docs), labels)
     c = c.select(*[F.col(n).alias(f"__{n}") for n in c.columns])
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    j = statistics(docs, "__").filter("not __base_failed").withColumn("__s", F.coalesce(lang, F.lit(""))).join(c, F.col("__s") == F.col("__stratum"), "left")
+    j = statistics(docs, "__").filter("not __base_failed and __row >= 0").withColumn("__s", F.coalesce(lang, F.lit(""))).join(c, F.col("__s") == F.col("__stratum"), "left")
     return j.filter(~rejected("__")).select(*names)
 
 
