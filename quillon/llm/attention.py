@@ -20,9 +20,9 @@ WINDOW = 32
 STRIDE = 24
 LEAD = WINDOW - STRIDE
 WIDTH = 16
-CLASSES = 128
+CLASSES = 96
 #: Classes of one frequent id each; the others are clusters, the document end and a class of rare ids.
-OWN = 62
+OWN = 46
 #: Frequent ids are symbols of their own; the other ids are one more.
 SYMBOLS = 2048
 #: Weight of the symbols' own odds among the counts after a symbol.
@@ -226,7 +226,9 @@ class Scorer:
                 t[:, : 2 * d] *= np.sqrt(HIGHEST / qk)
         vu = far(self.table, self.places, np.s_[2 * d :]) * np.linalg.norm(p.u, axis=0).max(initial=0)
         self.u = (p.u * min(1.0, HIGHEST / max(vu, 1e-9))).astype(np.float32)
-        self.table, self.places = self.table.astype(np.float32), self.places.astype(np.float32)
+        # a last column of ones: the sum of the odds comes with their product
+        add = lambda t, one: np.concatenate([t, np.full((len(t), 1), one)], 1).astype(np.float32)
+        self.table, self.places = add(self.table, 1), add(self.places, 0)
         self.mask = _CAUSAL[LEAD:]
 
     def symbols(self, inputs: np.ndarray, first: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -238,8 +240,8 @@ class Scorer:
         a += self.mask
         a[first, :, :LEAD] = _NEVER
         np.exp(a, out=a)
-        ctx = (a @ x[:, :, 2 * d :]) / a.sum(-1, keepdims=True)
-        z = ctx.reshape(-1, d) @ self.u
+        ctx = (a @ x[:, :, 2 * d :]).reshape(-1, d + 1)
+        z = (ctx[:, :d] / ctx[:, d:]) @ self.u
         np.exp(z, out=z)
         before = inputs[:, LEAD:].ravel()
         t = self.v.class_of[target.ravel()]
@@ -261,11 +263,14 @@ class Scorer:
         padded = np.concatenate([known, np.zeros(WINDOW, np.int32)])
         within = np.concatenate([self.v.log_within[ids], np.zeros(WINDOW, np.float32)])
         at = starts[doc] + number * STRIDE
-        span, inner = np.arange(WINDOW), np.arange(STRIDE)
+        left = n[doc] - number * STRIDE
+        inputs, targets, withins = (np.lib.stride_tricks.sliding_window_view(x, w) for x, w in ((shifted, WINDOW), (padded, STRIDE), (within, STRIDE)))
+        inner = np.arange(STRIDE)
         for i in range(0, len(doc), BLOCK):
             s = slice(i, i + BLOCK)
-            place = at[s, None] + inner
-            lp = self.symbols(shifted[at[s, None] + span], number[s] == 0, padded[place]) + within[place]
-            lp = np.where(number[s, None] * STRIDE + inner < n[doc[s], None], lp, 0)
+            lp = self.symbols(inputs[at[s]], number[s] == 0, targets[at[s]])
+            lp += withins[at[s]]
+            ends = np.flatnonzero(left[s] < STRIDE)
+            lp[ends] = np.where(inner < left[s][ends, None], lp[ends], 0)
             out += np.bincount(doc[s], lp.sum(1, dtype=np.float64), len(n))
         return out

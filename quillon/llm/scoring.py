@@ -28,7 +28,10 @@ from __future__ import annotations
 import base64
 import functools
 import math
+import uuid
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -38,10 +41,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import attention as A
-from quillon.llm.common import bucket, materialize, pick, table
+from quillon.llm.common import bucket, materialize, pick, release, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-FREQUENT = 200_000
+FREQUENT = 262_144
 FREQUENT_BYTES = 64
 #: Distinct words that a task counts before it passes them on.
 COUNT_WORDS = 400_000
@@ -53,6 +56,8 @@ STEP_WINDOWS = 32
 GROUPS = 32
 #: A longer word is encoded in pieces.
 WORD_CHARS = 4096
+#: Words that one call encodes.
+CALL_WORDS = 4096
 #: The document end, as a word: no word is empty.
 END = b""
 
@@ -78,25 +83,50 @@ def word_ids(encoding, word: bytes) -> list[int]:
     return [i for at in range(0, len(text), WORD_CHARS) for i in encoding.encode_ordinary(text[at : at + WORD_CHARS])]
 
 
-class WordIds(dict):
-    """Number of each word: fixed ones first, then new ones as they come, with their ids end to end."""
+class WordIds:
+    """Number of each word: fixed ones first, then those that only the last call saw, with their ids end to end."""
 
-    def __init__(self, encoding, words: list[bytes]) -> None:
-        super().__init__((w, i) for i, w in enumerate(words))
-        self.encoding, self.fixed, self.new = encoding, len(words), []
+    def __init__(self, ranks: bytes, words: list[bytes]) -> None:
+        self.known = {w: i for i, w in enumerate(words)}
+        self.encoding, self.fixed = _encoding(ranks), len(words)
+        self.new: list[bytes] = []
+        self.opens = np.zeros(self.encoding.n_vocab + 1, bool)
+        for line in ranks.splitlines():
+            piece, i = line.split()
+            self.opens[int(i)] = base64.b64decode(piece)[:1] == b" "
         self.lengths, self.flat = self._ids(words)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = self.fixed + len(self.new)
-        self.new.append(word)
-        return n
-
     def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [word_ids(self.encoding, w) for w in words]
-        return np.array([len(x) for x in ids], np.int64), np.array([i for x in ids for i in x], np.int32)
+        """Length and ids of each word. Many words are encoded in one call: a space begins each, and none is inside."""
+        odd = {i: word_ids(self.encoding, w) for i, w in enumerate(words) if not 0 < len(w) <= WORD_CHARS}
+        lengths = np.zeros(len(words), np.int64)
+        plain = [w for w in words if 0 < len(w) <= WORD_CHARS]
+        got = [np.array(self.encoding.encode_ordinary((b" " + b" ".join(plain[lo : lo + CALL_WORDS])).decode("utf-8", "replace")), np.int32) for lo in range(0, len(plain), CALL_WORDS)]
+        flat = np.concatenate(got) if got else np.zeros(0, np.int32)
+        usual = np.array([i not in odd for i in range(len(words))], bool) if odd else np.ones(len(words), bool)
+        lengths[usual] = np.diff(np.append(np.flatnonzero(self.opens[flat]), len(flat)))
+        for i, x in odd.items():
+            lengths[i] = len(x)
+        if odd:
+            out = np.zeros(lengths.sum(), np.int32)
+            out[np.repeat(usual, lengths)] = flat
+            begin = np.cumsum(lengths) - lengths
+            for i, x in odd.items():
+                out[begin[i] : begin[i] + len(x)] = x
+            flat = out
+        return lengths, flat
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        n = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        other = np.flatnonzero(n < 0)
+        if len(other):
+            found = list(map(words.__getitem__, other.tolist()))
+            place = {w: i for i, w in enumerate(dict.fromkeys(found))}
+            self.new = list(place)
+            n[other] = self.fixed + np.fromiter(map(place.__getitem__, found), np.int64, len(found))
+        else:
+            self.new = []
+        return n
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, and where each word's begin (and the length)."""
@@ -107,11 +137,17 @@ class WordIds(dict):
         at = np.concatenate([[0], np.cumsum(n)])
         return flat[np.repeat(begin[numbers] - at[:-1], n) + np.arange(at[-1])], at
 
-    def forget(self) -> list[bytes]:
-        new, self.new = self.new, []
-        for w in new:
-            del self[w]
-        return new
+
+_last: dict[str, WordIds] = {}
+
+
+def _table(frequent, ranks) -> WordIds:
+    """The broadcast words' table: made once in a worker process, which runs many tasks."""
+    name, words, _ = frequent.value
+    if name not in _last:
+        _last.clear()
+        _last[name] = WordIds(ranks.value, words)
+    return _last[name]
 
 
 def training(name: str = "doc_id") -> Column:
@@ -126,26 +162,27 @@ def count_words(docs: DataFrame) -> DataFrame:
     """word (binary), c: exact counts over ``docs``, the document end as the empty word. Written once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, c = {}, np.zeros(0, np.int64)
-        lookup = lambda w: numbers.setdefault(w, len(numbers))
+        total: dict[bytes, int] = {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.binary()), pa.array(c[: len(numbers)])], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
         for b in batches:
-            for lo in range(0, len(b), 256):
-                words: list[bytes] = []
-                for t in b.column(0)[lo : lo + 256].to_pylist():
-                    words += words_of(t)
-                    words.append(END)
-                at = np.fromiter(map(lookup, words), np.int64, len(words))
-                c = np.concatenate([c, np.zeros(len(numbers) - len(c), np.int64)])
-                c += np.bincount(at, minlength=len(c))
-                if len(numbers) >= COUNT_WORDS:
+            for lo in range(0, len(b), 512):
+                # a few documents first: their words meet in a small table
+                few: Counter[bytes] = Counter()
+                for t in b.column(0)[lo : lo + 512].to_pylist():
+                    few.update(words_of(t))
+                    few[END] += 1
+                for w, n in few.items():
+                    total[w] = total.get(w, 0) + n
+                if len(total) >= COUNT_WORDS:
                     yield out()
-                    numbers, c = {}, np.zeros(0, np.int64)
-        if numbers:
+                    total = {}
+        if total:
             yield out()
+        total = {}
+        release()
 
     rows = _texts(docs).select("text").mapInArrow(count, "word binary, n long")
     return materialize(rows.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
@@ -158,7 +195,7 @@ def _steps(counts: DataFrame, ranks) -> DataFrame:
         encoding = _encoding(ranks.value)
         end = encoding.n_vocab
         for b in batches:
-            at = WordIds(encoding, [])
+            at = WordIds(ranks.value, [])
             ids, starts = at.ids(at.numbers(b.word.tolist()))
             size = np.diff(starts)
             weight = np.repeat(b.c.to_numpy(), size)
@@ -201,7 +238,7 @@ def train_round(docs: DataFrame, vocabulary, frequent, ranks, flat: np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
-        table = WordIds(_encoding(ranks.value), frequent.value[0])
+        table = _table(frequent, ranks)
         p = A.Parameters(v.symbols, start.value.copy())
         adam, log_after, seen, part = A.Adam(len(p.flat), rate), np.log(np.maximum(v.after, 1e-30)), 0, 0
         held: list[tuple[list[bytes], bool]] = []
@@ -211,7 +248,6 @@ def train_round(docs: DataFrame, vocabulary, frequent, ranks, flat: np.ndarray,
             words = [w for run, _ in held for w in run]
             ids, at = table.ids(table.numbers(words))
             ends = at[np.cumsum([0, *(len(r) for r, _ in held)])]
-            table.forget()
             whole = len(held) if last else len(held) // STEP_WINDOWS * STEP_WINDOWS
             for lo in range(0, whole, STEP_WINDOWS):
                 n = min(STEP_WINDOWS, whole - lo)
@@ -276,7 +312,7 @@ def score(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     unit = math.log10(n + v + 1) if n else 0.0
     top = counts.filter(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
     words, c = top.column("word").to_pylist(), top.column("c").to_numpy()
-    frequent = spark.sparkContext.broadcast((words, c))
+    frequent = spark.sparkContext.broadcast((uuid.uuid4().hex, words, c))
     vocabulary = learn_vocabulary(counts, ranks, end, n_docs)
     shared = spark.sparkContext.broadcast(vocabulary)
     flat = A.Parameters(vocabulary.symbols).flat
@@ -286,9 +322,9 @@ def score(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     weights = spark.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, c = frequent.value
+        _, known, c = frequent.value
         model = A.Scorer(shared.value, weights.value)
-        at = WordIds(_encoding(ranks.value), known)
+        at = _table(frequent, ranks)
         logs = np.log10(c + 1.0) - unit
         for b in batches:
             for lo in range(0, len(b), 128):
@@ -301,7 +337,7 @@ def score(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
                     ends.append(len(words))
                 numbers, ends = at.numbers(words), np.array(ends)
                 ids, starts = at.ids(numbers)
-                new = at.forget()
+                new = at.new
                 often = numbers < len(known)
                 doc = np.repeat(np.arange(len(part)), np.diff(ends))
                 base = np.bincount(doc[often], logs[numbers[often]], len(part)).astype(np.float64)
