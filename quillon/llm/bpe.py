@@ -27,37 +27,56 @@ import functools
 import hashlib
 import os
 import re
+import threading
 import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import pick, table
+from quillon.llm.common import pick, release, table
 
 WORD_BPE = "word_bpe_49k.json"
 FREQUENT = (1 << 18) - 1
 FREQUENT_CHARS = 64
 SAMPLE_DOCS = 20000
 _RARE = FREQUENT
+SLICE_ROWS = 256
+CALL_WORDS = 4096
+#: A worker process keeps what it made between tasks for so long.
+IDLE_SECONDS = 3.0
 
 _RUN = re.compile(r"[^\x20\x09-\x0D]+")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Characters that neither normalization nor lower-casing joins to their neighbours.
 _UNSAFE = re.compile(rf"[^\x09-\x0D\x20-\x7E{_LETTERS}]|<\|")
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x20\x09-\x0Da-zß-öø-ÿ0-9]+")
+# letters stand first as most words are of these; no other form begins with one
+_WORD = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\x20\x09-\x0Da-zß-öø-ÿ0-9]+")
+_SAFE = bytes(i for i in range(256) if not _UNSAFE.search(chr(i)))
+
+
+def safe(text: str) -> bool:
+    """Whether ``_UNSAFE`` finds nothing, by the text's Latin-1 bytes at once."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not raw.translate(None, _SAFE) and b"<|" not in raw
+
 
 
 def split_words(text: str | None) -> list[str]:
     """The words of a text in order; encoding them one by one encodes the text."""
     if not text:
         return []
-    if not _UNSAFE.search(text):
+    if safe(text):
         return _WORD.findall(text.lower())
     out: list[str] = []
     for run in _RUN.findall(text):
@@ -85,7 +104,10 @@ def tokenizer_source(path: str) -> str:
 
 
 def _encode(source: str, words: list[str]) -> list[list[int]]:
-    return [e.ids for e in _tokenizer(source).encode_batch(words, add_special_tokens=False)] if words else []
+    t, out = _tokenizer(source), []
+    for lo in range(0, len(words), CALL_WORDS):  # what a call returns is much larger than its ids
+        out += [e.ids for e in t.encode_batch(words[lo : lo + CALL_WORDS], add_special_tokens=False)]
+    return out
 
 
 def vocabulary(source: str) -> list[str]:
@@ -102,34 +124,61 @@ def _key() -> Column:
     return F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.xxhash64("text").cast("string")), F.lit("n"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time: what is made of them in Python stays small."""
+    for b in batches:
+        for lo in range(0, len(b), SLICE_ROWS):
+            yield b.slice(lo, SLICE_ROWS)
+
+
 def frequent_words(docs: DataFrame, most: int = FREQUENT, sample: int = SAMPLE_DOCS) -> list[str]:
     """The most frequent words of about ``sample`` documents that a hash picks."""
     every = max(1, docs.count() // sample)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = Counter()
-            for t in b.text:
-                c.update(split_words(t))
-            c = {w: n for w, n in c.items() if len(w) <= FREQUENT_CHARS}
-            yield pd.DataFrame({"word": list(c), "n": list(c.values())})
+            c: Counter[str] = Counter()
+            for part in _slices(iter([b])):
+                for t in part.column("text").to_pylist():
+                    c.update(split_words(t))
+            c = Counter({w: n for w, n in c.items() if len(w) <= FREQUENT_CHARS})
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
     some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    counts = some.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(min(most, FREQUENT)).collect()]
+    counts = some.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counts.orderBy(F.desc("n"), "word").limit(min(most, FREQUENT)).toArrow().column("word").to_pylist()
 
 
 _made: dict[str, object] = {}
+_idle: list[threading.Timer] = []
+
+
+def _forget() -> None:
+    _made.clear()
+    _tokenizer.cache_clear()
+    release()
+
+
+def _rest() -> None:
+    """Called when a task ends: what was made goes if no other task comes for it."""
+    for t in _idle:
+        t.cancel()
+    _idle[:] = [threading.Timer(IDLE_SECONDS, _forget)]
+    _idle[0].daemon = True
+    _idle[0].start()
 
 
 def made(frequent, what: str, make):
     """What is made of the broadcast words: once in a worker process, which runs many tasks."""
+    for t in _idle:
+        t.cancel()
     name, words = frequent.value
     if _made.get("name") != name:
         _made.clear()
         _made["name"] = name
     if what not in _made:
         _made[what] = make(words)
+        release()
     return _made[what]
 
 
@@ -140,31 +189,32 @@ def _numbers(words: list[str]) -> dict[str, int]:
 def _coded(docs: DataFrame, frequent) -> tuple[DataFrame, DataFrame]:
     """(key, word) rows of the words outside the frequent table; (key, doc_id, code) of each document."""
 
-    def requests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = made(frequent, "numbers", _numbers)
-        for b in batches:
+        for b in _slices(batches):
             keys, words = [], []
-            for k, t in zip(b.key, b.text, strict=True):
+            for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
                 rare = [w for w in set(split_words(t)) if w not in known]
                 words += rare
                 keys += [k] * len(rare)
-            yield pd.DataFrame({"key": keys, "word": words}, dtype=object)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.string())], ["key", "word"])
+        _rest()
 
-    def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = made(frequent, "numbers", _numbers)
-        for b in batches:
+        for b in _slices(batches):
             out = []
-            for t in b.text:
+            for t in b.column("text").to_pylist():
                 words = split_words(t)
-                at = [known.get(w, _RARE) for w in words]
-                rare = [w for w, i in zip(words, at, strict=True) if i == _RARE]
-                at = np.array(at, dtype=np.uint32)
+                at = np.fromiter(map(known.get, words, repeat(_RARE)), np.uint32, len(words))
+                rare = [words[i] for i in np.flatnonzero(at == _RARE).tolist()]
                 # low halves, then high bytes (few words have one): each compresses better by itself
                 out.append(zlib.compress(at.astype("<u2").tobytes() + (at >> 16).astype(np.uint8).tobytes() + " ".join(rare).encode("utf-8", "surrogatepass"), 1) + len(words).to_bytes(4, "little"))
-            yield pd.DataFrame({"key": b.key, "doc_id": b.doc_id, "code": out})
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array(out, pa.binary())], ["key", "doc_id", "code"])
+        _rest()
 
-    d = docs.select(_key().alias("key"), F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return d.select("key", "text").mapInPandas(requests, "key string, word string"), d.mapInPandas(codes, "key string, doc_id string, code binary")
+    d = docs.select(_key().alias("key"), "doc_id", "text")
+    return d.select("key", "text").mapInArrow(requests, "key string, word string"), d.mapInArrow(codes, "key string, doc_id long, code binary")
 
 
 def _answers(requests: DataFrame, source) -> DataFrame:
@@ -197,31 +247,78 @@ def _joined(docs: DataFrame, path: str) -> tuple[DataFrame, object, object]:
     return codes.join(found, "key", "left").select("doc_id", "code", "found"), frequent, source
 
 
-def _unpack(code: bytes, found, start: list, make) -> list:
-    """What ``start`` holds for each frequent word, and ``make(ids)`` for the others, by position."""
-    n = int.from_bytes(code[-4:], "little")
-    if not n:
-        return []
-    raw = zlib.decompress(code[:-4])
-    at = np.frombuffer(raw, "<u2", n) + (np.frombuffer(raw, np.uint8, n, 2 * n).astype(np.uint32) << 16)
-    if len(raw) == 3 * n:
+def _words_of(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str], dict[str, bytes]]]:
+    """Of each row: its words' numbers, the words that have none (in order), and the ids of these."""
+    found = part.column("found")
+    sizes = found.value_lengths().fill_null(0).to_pylist()
+    pairs = found.drop_null().flatten()
+    words, ids = pairs.field(0).to_pylist(), pairs.field(1).to_pylist()
+    lo = 0
+    for code, size in zip(part.column("code").to_pylist(), sizes, strict=True):
+        n, raw = int.from_bytes(code[-4:], "little"), zlib.decompress(code[:-4])
+        at = np.frombuffer(raw, "<u2", n) + (np.frombuffer(raw, np.uint8, n, 2 * n).astype(np.uint32) << 16)
+        rare = raw[3 * n :].decode("utf-8", "surrogatepass").split(" ") if len(raw) > 3 * n else []
+        yield at, rare, dict(zip(words[lo : lo + size], ids[lo : lo + size], strict=True))
+        lo += size
+
+
+def _by_position(at: np.ndarray, rare: list[str], own: dict[str, bytes], start: list, make) -> list:
+    """What ``start`` holds for a word with a number, and ``make(ids)`` for another, in order."""
+    if not rare:
         return [start[i] for i in at.tolist()]
-    own = {f["word"]: make(np.frombuffer(f["ids"], "<u2")) for f in found}
-    rare = iter(raw[3 * n :].decode("utf-8", "surrogatepass").split(" "))
-    return [start[i] if i != _RARE else own[next(rare)] for i in at.tolist()]
+    own_made = {w: make(np.frombuffer(x, "<u2").tolist()) for w, x in own.items()}
+    others = iter(rare)
+    return [start[i] if i != _RARE else own_made[next(others)] for i in at.tolist()]
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and ids end to end."""
+    return np.array([len(x) for x in ids], np.int64), np.fromiter(chain.from_iterable(ids), np.int32)
+
+
+def _ids_of(at: np.ndarray, rare: list[str], own: dict[str, bytes], lengths: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A row's ids: those of its numbered words and its other words, by position."""
+    other = at == _RARE
+    mine = [np.frombuffer(own[w], "<u2").astype(np.int32) for w in rare]
+    n = np.zeros(len(at), np.int64)
+    n[~other] = lengths[at[~other]]
+    n[other] = [len(x) for x in mine]
+    ends = np.cumsum(n)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.int32)
+    usual = np.repeat(~other, n)
+    # place in the words' own ids of each id of a numbered word
+    src = np.repeat(np.where(other, 0, begin[np.where(other, 0, at)]) - (ends - n), n) + np.arange(len(out))
+    out[usual] = flat[src[usual]]
+    if mine:
+        out[~usual] = np.concatenate(mine)
+    return out
+
+
+def _tables(frequent, source) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def make(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lengths, flat = _flat(_encode(source.value, words))
+        return np.append(lengths, 0), flat, np.append(np.cumsum(lengths) - lengths, 0)
+
+    return made(frequent, "ids", make)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (array<int>) of each row."""
     joined, frequent, source = _joined(docs, path or public_tokenizers.path(WORD_BPE))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start = made(frequent, "ids", lambda words: _encode(source.value, words))
-        for b in batches:
-            ids = [[i for w in _unpack(c, f, start, np.ndarray.tolist) for i in w] for c, f in zip(b.code, b.found, strict=True)]
-            yield pd.DataFrame({"doc_id": b.doc_id, "ids": ids})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables(frequent, source)
+        for part in _slices(batches):
+            ids = [_ids_of(*w, *tables) for w in _words_of(part)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
+        _rest()
+
+    return joined.mapInArrow(run, "doc_id long, ids array<int>")
 
-    return joined.mapInPandas(run, "doc_id string, ids array<int>").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -240,47 +337,41 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids and decoded (the text that the ids decode to) of each row."""
     joined, frequent, source = _joined(docs, path or public_tokenizers.path(WORD_BPE))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        piece = vocabulary(source.value)
-
-        def both(ids) -> tuple[list[int], str]:
-            ids = ids if isinstance(ids, list) else ids.tolist()
-            return ids, " ".join([piece[i] for i in ids])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, tables = vocabulary(source.value), _tables(frequent, source)
+        text = lambda ids: " ".join([piece[i] for i in ids])
+        texts = made(frequent, "texts", lambda words: [text(i) for i in _encode(source.value, words)])
+        for part in _slices(batches):
+            ids, decoded = [], []
+            for w in _words_of(part):
+                ids.append(_ids_of(*w, *tables))
+                decoded.append(" ".join([x for x in _by_position(*w, texts, text) if x]))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), _lists(ids), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+        _rest()
 
-        start = made(frequent, "pieces", lambda words: [both(i) for i in _encode(source.value, words)])
-        for b in batches:
-            got = [[x for x in _unpack(c, f, start, both) if x[0]] for c, f in zip(b.code, b.found, strict=True)]
-            ids = [np.array([i for x in g for i in x[0]], dtype=np.int32) for g in got]
-            yield pd.DataFrame({"doc_id": b.doc_id, "n_tokens": [len(i) for i in ids], "ids": ids, "decoded": [" ".join([x[1] for x in g]) for g in got]})
-
-    out = joined.mapInPandas(run, "doc_id string, n_tokens long, ids array<int>, decoded string")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return joined.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, encoded and decoded in one pass."""
     joined, frequent, source = _joined(docs, path or public_tokenizers.path(WORD_BPE))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = vocabulary(source.value)
-
-        def both(ids) -> tuple[str, str, int]:
-            ids = ids if isinstance(ids, list) else ids.tolist()
-            return " ".join(map(str, ids)), " ".join([piece[i] for i in ids]), len(ids)
-
-        start = made(frequent, "texts", lambda words: [both(i) for i in _encode(source.value, words)])
+        both = lambda ids: (" ".join(map(str, ids)), " ".join([piece[i] for i in ids]), len(ids))
+        start = made(frequent, "pieces", lambda words: [both(i) for i in _encode(source.value, words)])
         sha = lambda parts: hashlib.sha256(" ".join(parts).encode("utf-8")).hexdigest()
-        for b in batches:
+        for part in _slices(batches):
             rows = []
-            for c, f in zip(b.code, b.found, strict=True):
-                got = [x for x in _unpack(c, f, start, both) if x[2]]
+            for w in _words_of(part):
+                got = [x for x in _by_position(*w, start, both) if x[2]]
                 ids, pieces, counts = zip(*got, strict=True) if got else ((), (), ())
                 rows.append((sum(counts), sha(ids), sha(pieces)))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", b.doc_id)
-            yield out
+            n, ids, texts = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        _rest()
 
-    return joined.mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return joined.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
