@@ -2,8 +2,13 @@
 
 Documents are counted in cells (source, language, topic), weighted by words.
 Raking scales the cells until their weights meet the source, language and topic
-marginals. A document is kept with a probability in proportion to its cell's
-factor, at a rate set so that the expected weight is the wanted share.
+marginals. A document's expected copies are the wanted share times its cell's
+factor, whatever the factor: that many whole copies, and one more by lot for the
+rest, so the expected sample has both the share and the target marginals.
+
+A sample without repeats cannot have both where a factor exceeds 1 / share. Its
+probability is in proportion to the factor up to 1, at a rate set so that the
+expected weight is the wanted share; what the clipped cells lose goes to others.
 
 Languages and topics are named in the targets (others share one class), so a
 source's cells are a vector of bounded length. Sources are rows of a table: a
@@ -132,7 +137,7 @@ def rake(cells: DataFrame, langs: int, topics: int, temperature: float = TEMPERA
 
 
 def probabilities(d: DataFrame, keep: float = KEEP, temperature: float = TEMPERATURE, **targets) -> DataFrame:
-    """``d`` (see ``with_cells``) with __factor and __p, the probability of keeping a row."""
+    """``d`` (see ``with_cells``) with __factor, __copies, the expected copies of a row, and __p, its probability in a sample without repeats."""
     langs, topics = len(LANGUAGES) + 1, len(TOPICS) + 1
     cells = d.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__weight").alias("w"))
     t, fl, ft = rake(cells, langs, topics, temperature, **targets)
@@ -148,7 +153,8 @@ def probabilities(d: DataFrame, keep: float = KEEP, temperature: float = TEMPERA
         s = F.broadcast(s)
     j = d.join(s, "__source", "left")
     factor = F.coalesce(F.col("__of_source"), F.lit(0.0)) * F.element_at(f, F.col("__lang") * topics + F.col("__topic") + 1)
-    return j.withColumn("__factor", factor).withColumn("__p", F.least(F.lit(1.0), F.lit(rate) * F.col("__factor"))).drop("__of_source")
+    j = j.withColumn("__factor", factor).withColumn("__copies", F.lit(float(keep)) * F.col("__factor"))
+    return j.withColumn("__p", F.least(F.lit(1.0), F.lit(rate) * F.col("__factor"))).drop("__of_source")
 
 
 def _rate(pairs: DataFrame, keep: float, total: float) -> float:
@@ -175,19 +181,28 @@ def _lot(docs: DataFrame) -> Column:
     return uniform(*[F.col(f"`{c}`") if c in have else F.lit(None) for c in ("doc_id", "text")])
 
 
-def sample(docs: DataFrame, keep: float = KEEP, **more) -> DataFrame:
-    """The sampled rows of ``docs``, with its columns."""
+def _drawn(lot: Column) -> Column:
+    """Copies of a row: the whole ones, and one more if the lot falls in the rest."""
+    whole = F.floor("__copies")
+    return (whole + (lot < F.col("__copies") - whole).cast("long")).cast("int")
+
+
+def sample(docs: DataFrame, keep: float = KEEP, repeats: bool = False, **more) -> DataFrame:
+    """The sampled rows of ``docs``, with its columns; with ``repeats`` each as often as its copies say."""
     names = [F.col(f"`{c}`") for c in docs.columns]
+    if repeats:
+        drawn = probabilities(with_cells(docs), keep, **more).withColumn("__drawn", _drawn(_lot(docs))).filter("__drawn > 0")
+        return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__drawn")))).select(*names)
     return probabilities(with_cells(docs), keep, **more).filter(_lot(docs) < F.col("__p")).select(*names)
 
 
 def report(docs: DataFrame, keep: float = KEEP, **more) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, factor, probability, sampled of each row."""
+    """doc_id, source, lang, topic, n_tokens, factor, probability, sampled, expected_copies, copies of each row."""
     d = with_cells(pick(docs, doc_id="long", text="string", lang="string", source="string")).withColumn("__lot", _lot(docs))
     # the texts are read once: what follows needs their measures alone
     d = probabilities(materialize(d.drop("text"), "cells"), keep, **more)
     names = F.array(*map(F.lit, (*TOPICS, "other")))
-    return d.select("doc_id", "source", "lang", names[F.col("__topic")].alias("topic"), F.col("__weight").cast("long").alias("n_tokens"), F.col("__factor").alias("factor"), F.col("__p").alias("probability"), (F.col("__lot") < F.col("__p")).alias("sampled"))
+    return d.select("doc_id", "source", "lang", names[F.col("__topic")].alias("topic"), F.col("__weight").cast("long").alias("n_tokens"), F.col("__factor").alias("factor"), F.col("__p").alias("probability"), (F.col("__lot") < F.col("__p")).alias("sampled"), F.col("__copies").alias("expected_copies"), _drawn(F.col("__lot")).alias("copies"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

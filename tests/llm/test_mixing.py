@@ -44,3 +44,29 @@ def test_trouble(docs, none):
     assert mixing.sample(docs).columns == docs.columns
     assert mixing.sample(docs, keep=1.0).count() <= docs.count()
     assert mixing.report(none).collect() == []
+
+
+def test_copies_meet_the_targets(spark):
+    """Source, language and topic shares of the expected copies, and of what is drawn, against the flattened marginals."""
+    rows = mixing.op7_mixing(spark, "/root/testdata/sf0.01").toPandas()
+    total = rows.n_tokens.sum()
+    assert abs((rows.n_tokens * rows.expected_copies).sum() / total - mixing.KEEP) < 1e-4
+    assert (rows.expected_copies > 1).any() and ((rows.copies - rows.expected_copies).abs() < 1).all()
+    lang = rows.lang.where(rows.lang.isin(mixing.LANGUAGES), "other")
+    for by in (rows.source.fillna(""), lang, rows.topic):
+        seen = rows.n_tokens.groupby(by).sum() ** mixing.TEMPERATURE
+        got = (rows.n_tokens * rows.expected_copies).groupby(by).sum()
+        drawn = (rows.n_tokens * rows.copies).groupby(by).sum()
+        assert np.allclose(got / got.sum(), seen / seen.sum(), atol=1e-4)
+        assert np.allclose(drawn / drawn.sum(), seen / seen.sum(), atol=0.05)
+
+
+def test_repeats(docs):
+    want = {r.doc_id: 0 for r in docs.collect()}
+    for r in mixing.report(docs).collect():
+        want[r.doc_id] += r.copies
+    out = mixing.sample(docs, repeats=True)
+    got = dict.fromkeys(want, 0)
+    for r in out.collect():
+        got[r.doc_id] += 1
+    assert out.columns == docs.columns and got == want
