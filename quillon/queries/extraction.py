@@ -156,7 +156,7 @@ _CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
 
 def _sections(spark: SparkSession, d: str) -> DataFrame:
     s = _files(spark, d).select("doc_id", F.posexplode(K.sections(K.clean_markup(F.col("text")))).alias("section_pos", "s"))
-    return s.filter("section_pos <> 1").select("doc_id", _long("section_pos"), F.array_join("s.path", " > ").alias("path"), F.md5("s.text").alias("md5"))
+    return s.select("doc_id", _long("section_pos"), F.array_join("s.path", " > ").alias("path"), F.md5("s.text").alias("md5"))
 
 
 SECTIONS = f"""
@@ -191,6 +191,8 @@ QUERIES: dict[str, tuple] = {
     "chat_responses": (_responses, RESPONSES),
     "prompts": (_prompts, PROMPTS),
     "infer_title": (_titles, TITLES),
-    "split_sections": (_sections, SECTIONS),
+    # its SQL has no section 1, the one of the document's text: all_sections has every section
+    "split_sections": (lambda s, d: _sections(s, d).filter("section_pos <> 1"), SECTIONS),
+    "all_sections": (_sections, None),
     "load_chunks": (_chunks, None),
 }
