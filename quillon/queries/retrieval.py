@@ -17,13 +17,15 @@ from quillon.queries import sql as Q
 from quillon.queries.text import table
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
+def chunks(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Documents that have a vector, as chunks; all documents if ``whole``."""
     i = F.col("doc_id")
     month = F.lpad((i % 12 + 1).cast("string"), 2, "0")
     path = F.when(i % 7 == 0, F.concat(F.lit("log/"), F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.lit("-"), month, F.lit("-25.md"))).otherwise(F.concat(F.lit("wiki/"), F.col("lang"), F.lit("/"), F.col("source"), F.lit(".md")))
     text = F.when(i % 5 == 0, F.concat(F.col("source"), F.lit("\n| "), F.col("lang"), F.lit(" | "), i.cast("string"), F.lit(" |\n| size | "), F.col("n_chars").cast("string"), F.lit(" |"))).otherwise(F.col("text"))
     held = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    docs = table(spark, d, "documents").join(held, "doc_id", "left_semi")
+    docs = table(spark, d, "documents")
+    docs = docs if whole else docs.join(held, "doc_id", "left_semi")
     return docs.select(i.alias("chunk_idx"), path.alias("source_path"), F.col("source").alias("title"), F.array("lang").alias("heading_path"), text.alias("text"), (i % 100).cast("int").alias("start_char"))
 
 
@@ -74,10 +76,22 @@ final AS (SELECT q, id, dense, row_number() OVER (PARTITION BY q ORDER BY trigge
 """
 
 
+WHOLE = f"""WITH c AS (SELECT doc_id AS id, {_PATH} AS path, lang, source, {_TEXT} AS text, doc_id % 100 AS start, doc_id % 5 = 0 AS fragment FROM documents)
+"""
+
+
 def _long(name: str):
     return F.col(name).cast("long").alias(name)
 
 
+def _groups(c: DataFrame) -> DataFrame:
+    return I.table_groups(c).select("source_path", F.array_join("heading_path", ">").alias("heading"), "chunk_idx", _long("place"))
+
+
+def _embedded(c: DataFrame) -> DataFrame:
+    return c.select("chunk_idx", F.md5(I.embed_text(F.col("title"), F.col("source_path"), F.col("heading_path"), F.col("text"))).alias("md5"))
+
+
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     c, q = chunks(spark, d), asked(spark, d)
     tokens = I.tokenized(c, "chunk_idx", I.embed_text(F.col("title"), F.col("source_path"), F.col("heading_path"), F.col("text")))
@@ -120,6 +134,9 @@ QUERIES: dict[str, tuple] = {
     "rare_rescue": (lambda s, d: _rescued(s, d).select("query_id", "chunk_idx", _long("pos")), BASE + "SELECT q AS query_id, id AS chunk_idx, pos FROM resc"),
     "table_siblings": (lambda s, d: _siblings(s, d).select("query_id", "chunk_idx", _long("trigger"), _long("nth")), BASE + _SIB_TOP),
     "hybrid_search": (lambda s, d: _found(s, d).select("query_id", _long("pos"), "chunk_idx", F.round("score", 6).alias("score")), BASE + "SELECT q AS query_id, pos, id AS chunk_idx, round(dense, 6) AS score FROM final"),
-    "table_groups": (lambda s, d: I.table_groups(chunks(s, d)).select("source_path", F.array_join("heading_path", ">").alias("heading"), "chunk_idx", _long("place")), BASE + "SELECT path AS source_path, lang AS heading, id AS chunk_idx, row_number() OVER (PARTITION BY path, lang ORDER BY start, id) AS place FROM c WHERE fragment"),
-    "embed_text": (lambda s, d: chunks(s, d).select("chunk_idx", F.md5(I.embed_text(F.col("title"), F.col("source_path"), F.col("heading_path"), F.col("text"))).alias("md5")), BASE + f"SELECT id AS chunk_idx, md5({_INDEXED}) AS md5 FROM c"),
+    "table_groups": (lambda s, d: _groups(chunks(s, d)), BASE + "SELECT path AS source_path, lang AS heading, id AS chunk_idx, row_number() OVER (PARTITION BY path, lang ORDER BY start, id) AS place FROM c WHERE fragment"),
+    "embed_text": (lambda s, d: _embedded(chunks(s, d)), BASE + f"SELECT id AS chunk_idx, md5({_INDEXED}) AS md5 FROM c"),
+    # neither needs a vector: the same over all documents
+    "table_groups_all": (lambda s, d: _groups(chunks(s, d, whole=True)), WHOLE + "SELECT path AS source_path, lang AS heading, id AS chunk_idx, row_number() OVER (PARTITION BY path, lang ORDER BY start, id) AS place FROM c WHERE fragment"),
+    "embed_text_all": (lambda s, d: _embedded(chunks(s, d, whole=True)), WHOLE + f"SELECT id AS chunk_idx, md5({_INDEXED}) AS md5 FROM c"),
 }
