@@ -111,13 +111,14 @@ def _encoding(ranks: bytes):
 
 def token_ids(encoding, text: str | None) -> np.ndarray:
     text = text or ""
-    # the pre-tokenizer never joins a letter to a line end before it, so cuts before "\nX" change nothing
+    # the pre-tokenizer never joins a letter to a line end before it, but splits white space by what follows:
+    # cuts after a lone line end and before a letter change nothing
     if len(text) <= CALL_CHARS:
         return np.array([*encoding.encode_ordinary(text), SEPARATOR], dtype="<u2")
     got, at = [], 0
     while at < len(text):
         end = at + CALL_CHARS
-        while end < len(text) and not (text[end].isalpha() and text[end - 1] == "\n"):
+        while end < len(text) and not (text[end].isalpha() and text[end - 1] == "\n" and not text[end - 2].isspace()):
             end += 1
         got += encoding.encode_ordinary(text[at:end])
         at = end
