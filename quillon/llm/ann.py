@@ -1,24 +1,26 @@
 """Approximate nearest neighbours by a permutation index.
 
-Each vector is represented by its nearest pivots in order. Pivot inverted files
-hold, for a pivot, the rows that rank it and at which place; a query reads the
-files of its own nearest pivots, ranks rows by footrule distance between the two
-orders (a pivot that a row does not list counts as place ``LISTED``), and
-reranks the best by exact Euclidean distance.
+Each vector is represented by its ``LISTED`` nearest pivots in order. Pivot
+inverted files hold, for a pivot, the rows that list it and at which place; a
+query reads the files of the pivots it lists itself, ranks rows by footrule
+distance between the two orders (a pivot that a row does not list counts as
+place ``LISTED``), and reranks the best by exact Euclidean distance.
 
 The pivots are drawn from a bounded sample (``PIVOTS`` vectors out of at most
-``PIVOT_SAMPLE``); every row is indexed. The index is a table of row blocks in
-shared storage. Queries are taken in blocks of ``QUERY_BLOCK``, so what is sent
-to executors has a fixed bound; each pass over the index serves one block.
+``PIVOT_SAMPLE``); every row is indexed. The index is a table of blocks of rows,
+each with its own inverted files, in shared storage. Queries are packed into
+blocks as well, and each block of queries meets each block of the index by a
+join on the index block's number: neither passes through the driver.
 
-A block's candidates are those within the footrule of its ``RERANK``-th share,
-ties at that footrule included, so no cap cuts copies of a vector apart.
+A block's candidates are those within the footrule of its ``RERANK_SHARE``-th
+share, ties at that footrule included, so no cap cuts copies of a vector apart.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
-components take no part; repeated ids are rows of their own, but a query id is answered once, for its
-smallest vector; with fewer than k
-other rows, all are returned; ties go to the smaller id; an empty table gives no
-rows; other columns are ignored.
+components take no part; a query with vectors of two lengths among the rows is
+an error; repeated ids are rows of their own, but a query id is answered once, for its
+smallest vector, and finds no row of its own id; with fewer than k other rows, all are returned; ties
+go to the smaller id; an empty table gives no rows; other columns are ignored,
+whatever their names. Texts take no part.
 """
 
 from __future__ import annotations
@@ -32,15 +34,14 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize, pick, table
 
-PIVOTS = 128
+PIVOTS = 512
 PIVOT_SAMPLE = 8192
-#: Places kept of each order. Whole orders: on near-isotropic vectors the far pivots tell as much as the near ones.
+#: Places kept of each order: a row is in a quarter of the inverted files.
 LISTED = 128
-#: Share of an index block that is reranked, and the least number of rows.
-RERANK_SHARE = 0.12
-RERANK_LEAST = 500
-QUERY_BLOCK = 4096
-INDEX_ROWS = 8192
+#: Share of an index block that is reranked.
+RERANK_SHARE = 0.2
+INDEX_ROWS = 4096
+QUERY_ROWS = 512
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -73,96 +74,91 @@ def choose_pivots(v: DataFrame, pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, listed: int = LISTED) -> np.ndarray:
-    """The nearest pivots of each row, nearest first."""
-    listed = min(listed, len(pivots))
+    """The nearest pivots of each row, nearest first: a quarter of few pivots, ``listed`` of many."""
+    listed = min(listed, -(-len(pivots) // 4))
     d = (pivots**2).sum(1)[None, :] - 2 * x @ pivots.T
     near = np.argpartition(d, listed - 1, axis=1)[:, :listed]
     return np.take_along_axis(near, np.take_along_axis(d, near, 1).argsort(1, kind="stable"), 1).astype(np.int32)
 
 
-def build_index(v: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Blocks of rows: ids, vectors and, by pivot, the posting lists of (row, place)."""
+def _packed(v: DataFrame, rows: int, make, schema: str) -> DataFrame:
+    """One row for every ``rows`` rows of a task, made of their ids and vectors."""
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i in range(0, len(b), INDEX_ROWS):
-                part = b.iloc[i : i + INDEX_ROWS]
-                x = np.array(part.embedding.tolist(), dtype=np.float64)
-                near = orders(x, pivots)
-                flat, n = near.ravel(), near.shape[1]
-                by = np.argsort(flat, kind="stable").astype(np.int32)
-                starts = np.searchsorted(flat[by], np.arange(len(pivots) + 1)).astype(np.int32)
-                yield pd.DataFrame({"n": [len(part)], "ids": [part.vec_id.to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "rows": [(by // n).astype(np.int32).tobytes()], "places": [(by % n).astype(np.int16).tobytes()], "starts": [starts.tobytes()]})
+            for i in range(0, len(b), rows):
+                part = b.iloc[i : i + rows]
+                yield make(part.vec_id.to_numpy(np.int64), np.array(part.embedding.tolist(), dtype=np.float64))
 
-    return v.mapInPandas(blocks, "n int, ids binary, vectors binary, rows binary, places binary, starts binary")
+    return v.select("vec_id", "embedding").mapInPandas(run, schema)
 
 
-def search_block(index: DataFrame, pivots: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, share: float, least: int) -> DataFrame:
-    """For each query and index block, the k nearest of the reranked rows."""
-    q_orders = orders(q, pivots)
-    listed = q_orders.shape[1]
+def build_index(v: DataFrame, pivots: np.ndarray, rows: int = INDEX_ROWS) -> DataFrame:
+    """Blocks of rows: ids, vectors and, by pivot, the posting lists of (row, place)."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for n, ids, vectors, rows, places, starts in zip(b.n, b.ids, b.vectors, b.rows, b.places, b.starts, strict=True):
-                ids, x = np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(n, -1)
-                rows, places, starts = np.frombuffer(rows, np.int32), np.frombuffer(places, np.int16), np.frombuffer(starts, np.int32)
-                keep = min(n, max(least, int(np.ceil(share * n))))
-                out_q, out_v, out_d = [], [], []
-                for qi in range(len(q)):
-                    # all pivots missing costs the sum of what each place could lose
-                    foot = np.full(n, sum(listed - j for j in range(listed)), dtype=np.int32)
-                    for place, p in enumerate(q_orders[qi]):
-                        whole = starts[p + 1] - starts[p] == n
-                        r = slice(None) if whole else rows[starts[p] : starts[p + 1]]
-                        foot[r] += np.abs(places[starts[p] : starts[p + 1]].astype(np.int32) - place) - (listed - place)
-                    cut = np.partition(foot, keep - 1)[keep - 1]
-                    c = np.flatnonzero(foot <= cut)
-                    c = c[ids[c] != q_ids[qi]]
-                    d = np.sqrt(((x[c] - q[qi]) ** 2).sum(1))
-                    best = np.lexsort((ids[c], d))[:k]
-                    out_q.append(np.full(len(best), q_ids[qi]))
-                    out_v.append(ids[c][best])
-                    out_d.append(d[best])
-                yield pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_d)})
-
-    return index.mapInPandas(scan, "query_id long, vec_id long, score double")
-
-
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, share: float = RERANK_SHARE, least: int = RERANK_LEAST) -> DataFrame:
+    def block(ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+        near = orders(x, pivots)
+        flat, n = near.ravel(), near.shape[1]
+        by = np.argsort(flat, kind="stable")
+        starts = np.searchsorted(flat[by], np.arange(len(pivots) + 1)).astype(np.int32)
+        return pd.DataFrame({"n": [len(ids)], "ids": [ids.tobytes()], "vectors": [x.tobytes()], "rows": [(by // n).astype(np.int32).tobytes()], "places": [(by % n).astype(np.int16).tobytes()], "starts": [starts.tobytes()]})
+
+    return _packed(v, rows, block, "n int, ids binary, vectors binary, rows binary, places binary, starts binary")
+
+
+def _footrules(n: int, rows: np.ndarray, places: np.ndarray, starts: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Footrule distance of each row of a block to an order, read from that order's inverted files alone."""
+    listed = len(order)
+    # a row that lists none of the pivots misses each by what its place could be off
+    foot = np.full(n, listed * (listed + 1) // 2, dtype=np.int32)
+    for place, p in enumerate(order.tolist()):
+        s = slice(starts[p], starts[p + 1])
+        foot[rows[s]] += np.abs(places[s].astype(np.int32) - place) - (listed - place)
+    return foot
+
+
+def _search(batches: Iterator[pd.DataFrame], pivots: np.ndarray, k: int, share: float) -> Iterator[pd.DataFrame]:
+    """For each query of a pair of blocks, the k nearest of the reranked rows."""
+    for b in batches:
+        for n, ids, vectors, rows, places, starts, q_ids, q in zip(b.n, b.ids, b.vectors, b.rows, b.places, b.starts, b.q_ids, b.q_vectors, strict=True):
+            ids, x = np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(n, -1)
+            rows, places, starts = np.frombuffer(rows, np.int32), np.frombuffer(places, np.int16), np.frombuffer(starts, np.int32)
+            q_ids = np.frombuffer(q_ids, np.int64)
+            q = np.frombuffer(q, np.float64).reshape(len(q_ids), -1)
+            keep = max(1, int(np.ceil(share * n)))
+            out_q, out_v, out_d = [], [], []
+            for qid, vector, order in zip(q_ids, q, orders(q, pivots), strict=True):
+                foot = _footrules(n, rows, places, starts, order)
+                # the k-th candidate and the query's own row come first where a block is small
+                cut = np.partition(foot, min(n - 1, max(keep, k + 1) - 1))[min(n - 1, max(keep, k + 1) - 1)]
+                c = np.flatnonzero(foot <= cut)
+                c = c[ids[c] != qid]
+                d = np.sqrt(((x[c] - vector) ** 2).sum(1))
+                best = np.lexsort((ids[c], d))[:k]
+                out_q.append(np.full(len(best), qid))
+                out_v.append(ids[c][best])
+                out_d.append(d[best])
+            yield pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_d)})
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, share: float = RERANK_SHARE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query row."""
     spark, v = vectors.sparkSession, usable(vectors)
     p = choose_pivots(v, pivots)
     schema = "query_id long, rank int, vec_id long, score double"
     if not len(p):
         return spark.createDataFrame([], schema)
-    index = materialize(build_index(v, p), "permutations")
+    # blocks are numbered in shared storage, so a number stays whatever runs again
+    index = materialize(build_index(v, p).withColumn("block", F.monotonically_increasing_id()), "permutations")
+    slots = index.count()
+    index = index.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)))
     one = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = materialize(one.withColumn("block", F.spark_partition_id()), "queries")
-    # number the queries within what each task wrote: blocks of a bounded size without one global sort
-    w = Window.partitionBy("block").orderBy("vec_id", "embedding")
-    numbered = asked.withColumn("part", F.floor((F.row_number().over(w) - 1) / QUERY_BLOCK).cast("int"))
-    parts = numbered.groupBy("block", "part").count().orderBy("block", "part").collect()
-    group: list = []
-    groups: list[list] = []
-    size = 0
-    for r in parts:
-        if group and size + r["count"] > QUERY_BLOCK:
-            groups.append(group)
-            group, size = [], 0
-        group.append((r["block"], r["part"]))
-        size += r["count"]
-    groups += [group] if group else []
-    found = None
-    for g in groups:
-        rows = numbered.join(F.broadcast(spark.createDataFrame(g, "block int, part int")), ["block", "part"]).select("vec_id", "embedding").collect()
-        ids, q = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
-        hits = search_block(index, p, ids, q, k, share, least)
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return spark.createDataFrame([], schema)
+    asked = _packed(one, QUERY_ROWS, lambda ids, x: pd.DataFrame({"q_ids": [ids.tobytes()], "q_vectors": [x.tobytes()]}), "q_ids binary, q_vectors binary")
+    # every block of queries goes to every slot, and a block of the index is in one
+    asked = materialize(asked, "query-blocks").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    hits = index.join(asked, "slot").mapInPandas(lambda batches: _search(batches, p, k, share), "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import remove, written
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -36,12 +36,15 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links``: columns a and b, any order, repeats and self links allowed.
     """
+    spark = links.sparkSession
     now = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
-    now = materialize(now, "links")
+    now, path = written(now, "links")
     state = _state(now)
     while True:
-        now = materialize(_stars(_stars(now, True), False), "links")
-        after = _state(now)
-        if after == state:
+        after, after_path = written(_stars(_stars(now, True), False), "links")
+        # the round before is read no more: if an executor is lost, this round's files are there
+        remove(spark, path)
+        now, path, before = after, after_path, state
+        state = _state(now)
+        if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = after

@@ -16,7 +16,7 @@ def _made() -> list[tuple[str, str, str, str | None]]:
         ("op6_packing", "packing", "op6_packing", None),
         ("op7_mixing", "mixing", "op7_mixing", None),
         ("op8_warc", "warc", "op8_warc", "OP8_SQL"),
-        ("op9_html", "html", "op9_html", None),
+        ("op9_html", "html", "op9_html", "OP9_SQL"),
         ("op10_ann", "ann", "op10_ann", None),
     ]
 

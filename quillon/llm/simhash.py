@@ -8,15 +8,17 @@ fingerprints at 2 or fewer differing bits do. A bucket of more than
 32 bits; such a bucket fixes 48 bits, so it holds at most 65,536 distinct
 fingerprints. That is the exact way for hot buckets; nothing is capped.
 
-Within a bucket fingerprints are stored as bit planes: one machine word holds a
-bit of 64 fingerprints. Distances to a fingerprint grow in two bitwise counters
-and an overflow mask, by carry-save addition plane by plane, and a word is
-abandoned once all of its 64 distances exceed the radius.
+Buckets are compared many at a time. Their fingerprints are stored as bit
+planes: one machine word holds a bit of 64 fingerprints of a bucket. Distances to
+a fingerprint grow in two bitwise counters and an overflow mask, by carry-save
+addition plane by plane, and a word is abandoned once all of its 64 distances
+exceed the radius. Close pairs are merged into classes as they come.
 
 Defined results: a null or empty text, or one of white space, has fingerprint
-zero and links like any other; a null doc_id never is a component's id unless no
+zero and links like any other; a very long text is read whole, its shingles'
+bits counted ``COUNT_ROWS`` at a time; a bit set in exactly half the hashes is 0; a null doc_id never is a component's id unless no
 other is there; repeated rows are rows of one class; an empty table gives no
-rows; other columns are ignored.
+rows; other columns are ignored, and ``keep_one`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, pick, table
+from quillon.llm.common import hot_keys, materialize, pick, spread_join, table, text_of, whole
 from quillon.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -39,7 +41,9 @@ SEED = 42
 BUCKET_ROWS = 4096
 #: Shingles whose bits are counted at once: bounds memory on very long texts.
 COUNT_ROWS = 1 << 16
-SMALL_BUCKET = 12
+#: Cells (a fingerprint and 64 others) that are compared at once, and fingerprints of a batch of buckets.
+CELLS = 1 << 16
+BATCH_ROWS = 1 << 16
 
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -73,42 +77,54 @@ def fingerprint_column(text: Column) -> Column:
     return of(text)
 
 
-def planes_of(fps: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """(bits, words) uint64: bit j of word w of a plane is that bit of fingerprint 64 w + j."""
-    n = -(-len(fps) // 64) * 64
-    out = np.zeros((len(bits), n // 64), np.uint64)
+def planes_of(fps: np.ndarray, slots: np.ndarray, words: int, bits: np.ndarray) -> np.ndarray:
+    """(bits, words) uint64: bit j of word w of a plane is that bit of the fingerprint in slot 64 w + j."""
+    out = np.zeros((len(bits), words), np.uint64)
     for i, b in enumerate(bits):
-        plane = np.zeros(n, np.uint8)
-        plane[: len(fps)] = (fps >> np.uint64(b)) & np.uint64(1)
+        plane = np.zeros(words * 64, np.uint8)
+        plane[slots] = (fps >> np.uint64(b)) & np.uint64(1)
         out[i] = np.packbits(plane, bitorder="little").view("<u8")
     return out
 
 
-def close_pairs(fps: np.ndarray, radius: int = RADIUS, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i < j) of distinct fingerprints at ``radius`` (1 to 3) or fewer differing bits."""
+def close_chunks(fps: np.ndarray, sizes: list[int], radius: int = RADIUS, step: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of fingerprints of one bucket at ``radius`` (1 to 3) or fewer differing bits.
+
+    ``fps``: the buckets end to end, ``sizes`` their lengths.
+    """
     if not 1 <= radius <= 3:
         raise ValueError("the counters hold a radius of 1 to 3")
-    fps = fps.astype(np.uint64)
+    fps, size = fps.astype(np.uint64), np.asarray(sizes, np.int64)
     m = len(fps)
-    varying = np.bitwise_or.reduce(fps ^ fps[0]) if m else np.uint64(0)
-    bits = np.array([b for b in range(64) if int(varying) >> b & 1])
-    if m < 2 or not len(bits):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    planes = planes_of(fps, bits)
-    words = planes.shape[1]
-    left, right = [], []
-    block = max(1, (1 << 18) // words)
-    for at in range(0, m, block):
-        q = np.arange(at, min(m, at + block))
-        flips = np.where((fps[q][:, None] >> bits.astype(np.uint64)) & np.uint64(1), _ONES, np.uint64(0))
-        # (query, word) cells still in play; a word before the query's own holds pairs seen already
-        qi, wi = (x.ravel() for x in np.meshgrid(np.arange(len(q)), np.arange(words), indexing="ij"))
-        keep = wi >= q[qi] // 64
-        qi, wi = qi[keep], wi[keep]
+    if m < 2:
+        return
+    begin = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(size)), size)
+    varying = int(np.bitwise_or.reduce(fps ^ fps[begin[of]]))
+    bits = np.array([b for b in range(64) if varying >> b & 1], np.int64)
+    per = -(-size // 64)  # a bucket begins with a word of its own
+    first_word = np.cumsum(per) - per
+    slots = first_word[of] * 64 + np.arange(m) - begin[of]
+    words = int(per.sum())
+    at_slot = np.full(words * 64, -1, np.int64)
+    at_slot[slots] = np.arange(m)
+    planes = planes_of(fps, slots, words, bits)
+    # a word before the fingerprint's own holds pairs seen already
+    cells = first_word[of] + per[of] - slots // 64
+    ends = np.cumsum(cells)
+    lo = 0
+    while lo < m:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CELLS, side="right")))
+        n = cells[lo:hi]
+        qi = np.repeat(np.arange(lo, hi), n)
+        wi = np.repeat(slots[lo:hi] // 64, n) + np.arange(len(qi)) - np.repeat(np.cumsum(n) - n, n)
+        lo = hi
+        f = fps[qi]
         c0 = np.zeros(len(qi), np.uint64)
         c1, over = c0.copy(), c0.copy()
-        for i in range(len(bits)):
-            d = planes[i][wi] ^ flips[qi, i]
+        beyond = c0
+        for i, b in enumerate(bits):
+            d = planes[i][wi] ^ (np.uint64(0) - ((f >> np.uint64(b)) & np.uint64(1)))
             carry = c0 & d
             c0 ^= d
             over |= c1 & carry
@@ -117,45 +133,61 @@ def close_pairs(fps: np.ndarray, radius: int = RADIUS, step: int = 8) -> tuple[n
                 beyond = over | (c1 & c0 if radius == 2 else c1 if radius == 1 else np.uint64(0))
                 live = beyond != _ONES
                 if not live.all():
-                    qi, wi, c0, c1, over, beyond = qi[live], wi[live], c0[live], c1[live], over[live], beyond[live]
+                    qi, wi, f, c0, c1, over, beyond = qi[live], wi[live], f[live], c0[live], c1[live], over[live], beyond[live]
+                    if not len(qi):
+                        break
         if not len(qi):
             continue
         inside = np.unpackbits((~beyond).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         cell, bit = np.nonzero(inside)
-        i, j = q[qi[cell]], wi[cell] * 64 + bit
-        ok = (j > i) & (j < m)
-        left.append(i[ok])
-        right.append(j[ok])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
-
+        i, j = qi[cell], at_slot[wi[cell] * 64 + bit]
+        ok = j > i
+        yield i[ok], j[ok]
 
-def bucket_links(fps: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what the close pairs of a bucket connect: (member, root)."""
-    if len(fps) <= SMALL_BUCKET:
-        u = [int(x) & 0xFFFFFFFFFFFFFFFF for x in fps]
-        pairs = [(i, j) for i in range(len(u)) for j in range(i + 1, len(u)) if (u[i] ^ u[j]).bit_count() <= RADIUS]
-    else:
-        pairs = list(zip(*(x.tolist() for x in close_pairs(fps.view(np.uint64))), strict=True))
-    parent = list(range(len(fps)))
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i, j in pairs:
-        a, b = root(i), root(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return [(int(fps[i]), int(fps[r])) for i in range(len(fps)) if (r := root(i)) != i]
+def close_pairs(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """All close index pairs of one bucket."""
+    got = list(close_chunks(fps, [len(fps)], radius))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *(x[side] for x in got)]) for side in (0, 1))
+
+
+def bucket_roots(fps: np.ndarray, sizes: list[int], radius: int = RADIUS) -> np.ndarray:
+    """For each fingerprint the index of the first one of its bucket that close pairs lead to."""
+    root = np.arange(len(fps))
+    for i, j in close_chunks(fps, sizes, radius):
+        while True:
+            a, b = root[i], root[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                up = root[root]
+                if (up == root).all():
+                    break
+                root = up
+    return root
 
 
 def _link_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def linked(held: list[np.ndarray]) -> pd.DataFrame:
+        fps = np.concatenate(held)
+        root = bucket_roots(fps.view(np.uint64), [len(x) for x in held])
+        other = root != np.arange(len(fps))
+        return pd.DataFrame({"a": fps[other], "b": fps[root[other]]})
+
     for b in batches:
-        got = [x for fps in b.fps for x in bucket_links(np.sort(np.asarray(fps, dtype=np.int64)))]
-        yield pd.DataFrame(got, columns=["a", "b"], dtype="int64")
+        held, rows = [], 0
+        for fps in b.fps:
+            held.append(np.sort(np.asarray(fps, dtype=np.int64)))
+            rows += len(fps)
+            if rows >= BATCH_ROWS:
+                yield linked(held)
+                held, rows = [], 0
+        if held:
+            yield linked(held)
 
 
 def _keys(blocks: list[tuple[int, int]], width: int) -> Column:
@@ -171,8 +203,8 @@ _PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
 def links(distinct: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(a, b) fingerprints that connect all within the radius. ``distinct``: column fp, each once."""
     keyed = distinct.select("fp", F.explode(_keys([(16 * i, 16 * j) for i, j in _PAIRS], 16)).alias("x")).select("fp", "x.t", "x.k")
-    sizes = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = materialize(keyed.join(sizes, ["t", "k"]), "buckets")
+    sizes = materialize(keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket-sizes")
+    shared = materialize(spread_join(keyed, sizes, ["t", "k"], hot_keys(sizes, ["t", "k"], "n"), ["fp"], "inner"), "buckets")
     cool = shared.filter(F.col("n") <= bucket_rows).groupBy("t", "k").agg(F.collect_list("fp").alias("fps"))
     # hot buckets: the two blocks outside the key are 32 bits, dealt again by two of their four bytes
     hot = shared.filter(F.col("n") > bucket_rows)
@@ -184,34 +216,36 @@ def links(distinct: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     return cool.select("fps").unionByName(split.select("fps")).mapInPandas(_link_batches, "a long, b long")
 
 
-def classes(prints: DataFrame) -> DataFrame:
-    """fp, root, component_id of each distinct fingerprint. ``prints``: doc_id, fp (stored, as it is read twice)."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
+def classes(prints: DataFrame) -> tuple[DataFrame, list[int]]:
+    """fp, root, component_id of each distinct fingerprint, and the hashes of hot ones. ``prints``: doc_id, fp (stored, as it is read twice)."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "fingerprints")
     roots = components(links(distinct.select("fp")))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialize(rooted, "rooted")
     # roots with one fingerprint need no join: their first id is the component's
     many = roots.select(F.col("root")).distinct()
     ids = rooted.join(many, "root", "left_semi").groupBy("root").agg(F.min("first_id").alias("least_id"))
-    return rooted.join(ids, "root", "left").select("fp", "root", F.coalesce("least_id", "first_id").alias("component_id"))
+    return rooted.join(ids, "root", "left").select("fp", "root", F.coalesce("least_id", "first_id").alias("component_id")), hot_keys(distinct, ["fp"], "n")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of each row."""
-    prints = materialize(pick(docs, doc_id="long", text="string").select("doc_id", fingerprint_column(F.col("text")).alias("fp")), "prints")
-    # the class side has each fingerprint once, so Spark may split a hot fingerprint's rows
-    joined = prints.join(classes(prints), "fp", "left")
+    prints = materialize(pick(docs, doc_id="long", text="string").select("doc_id", fingerprint_column(F.col("text")).alias("fp"), F.monotonically_increasing_id().alias("at")), "prints")
+    found, hot = classes(prints)
+    joined = spread_join(prints, found, ["fp"], hot, ["at"])
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``; of each class the row with the smallest doc_id (one of repeated rows) stays."""
-    names = docs.columns
-    marked = docs.withColumn("__fp", fingerprint_column(F.col("text")))
-    prints = materialize(marked.select("doc_id", F.col("__fp").alias("fp")), "prints")
-    c = classes(prints).select(F.col("fp").alias("__of"), F.col("root").alias("__root"), F.col("component_id").alias("__id"))
-    kept = marked.join(c, F.col("__fp") == F.col("__of"), "inner").filter(F.col("doc_id").eqNullSafe(F.col("__id")))
-    return kept.dropDuplicates(["__root"]).select(*[F.col(f"`{n}`") for n in names])
+    doc_id = (F.col("doc_id") if "doc_id" in docs.columns else F.lit(None)).cast("long")
+    marked = docs.select(whole(docs), doc_id.alias("doc_id"), fingerprint_column(text_of(docs)).alias("fp"))
+    prints = materialize(marked.select("doc_id", "fp"), "prints")
+    found, _ = classes(prints)
+    # a class's row is known by its fingerprint and id, so whole rows never meet a hot fingerprint
+    missing = F.col("doc_id").isNull()
+    asked = found.select("fp", "root", F.col("component_id").alias("doc_id")).withColumn("missing", missing).fillna(0, "doc_id")
+    return marked.withColumn("missing", missing).fillna(0, "doc_id").join(asked, ["fp", "doc_id", "missing"]).dropDuplicates(["root"]).select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,12 +18,18 @@ ROWS = [
 SCHEMA = "doc_id long, text string, lang string, source string"
 
 
+#: Extra columns with the names of every column that an operator makes on its way, and some of another kind.
+CLASHES = (
+    "words", "n_words", "score", "fp", "component_id", "key", "stratum", "n", "factor", "ids", "quality", "row", "root", "missing", "keys", "word", "salt_", "base_failed", "weight", "copies", "drawn", "copy", "lot", "measured",
+    "__weight", "__text", "__words", "__n_words", "__score", "__fp", "__of", "__root", "__id", "__key", "__topic", "__lang", "__source", "__measured", "__factor", "__copies", "__drawn", "__copy", "__p", "__s", "__stratum", "__row", "__of_source",
+)
+
+
 @pytest.fixture(scope="session")
 def docs(spark):
     """The rows of trouble, with extra columns whose names clash with an operator's own."""
     d = spark.createDataFrame(ROWS, SCHEMA)
-    extra = {c: "1" for c in ("words", "n_words", "score", "fp", "component_id", "key", "stratum", "n", "factor", "__weight_", "ids", "quality")}
-    return d.selectExpr("*", *[f"{v} AS `{c}`" for c, v in extra.items()], "length(text) AS n_chars")
+    return d.selectExpr("*", *[f"1 AS `{c}`" for c in CLASHES], "7 AS topic", "length(text) AS n_chars")
 
 
 @pytest.fixture(scope="session")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quillon.llm import ann
 
@@ -13,6 +14,7 @@ def exact(rows, k=10):
     return out
 
 
+@pytest.mark.parametrize("sf", [f"/root/testdata/sf{x}" for x in ("0.001", "0.01", "0.1")])
 def test_recall(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     want, got = exact(rows), {}
@@ -26,6 +28,7 @@ def test_recall(spark, sf):
         assert [(s, v) for _, v, s in xs] == sorted((s, v) for _, v, s in xs)
         hits += len({v for _, v, _ in xs} & {v for _, v in want[q]})
     assert hits >= 0.9 * 10 * len(want)
+    assert ann.RERANK_SHARE <= 0.25 and ann.LISTED * 4 <= ann.PIVOTS
 
 
 def test_recall_where_the_index_must_choose(spark):
@@ -35,7 +38,7 @@ def test_recall_where_the_index_must_choose(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(1)
     want = exact(rows)
     got = {}
-    for r in ann.knn(v, v.filter("vec_id % 100 = 0"), least=100).collect():
+    for r in ann.knn(v, v.filter("vec_id % 100 = 0")).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert sum(len(got[q] & {j for _, j in w}) for q, w in want.items()) >= 0.9 * 10 * len(want)
 
@@ -48,3 +51,28 @@ def test_trouble(spark):
     assert got == [(0, 1, 1, 0.0), (0, 2, 7, 5.0**0.5)]
     assert ann.knn(v.limit(0), v.limit(0)).collect() == []
     assert ann.knn(v.filter("vec_id = 0"), v.filter("vec_id = 0")).collect() == []
+
+
+def test_footrules_against_brute_force():
+    rng = np.random.default_rng(2)
+    x, q, pivots = rng.normal(size=(300, 8)), rng.normal(size=(5, 8)), rng.normal(size=(40, 8))
+    near = ann.orders(x, pivots)
+    listed = near.shape[1]
+    assert listed == 10
+    flat = near.ravel()
+    by = np.argsort(flat, kind="stable")
+    starts = np.searchsorted(flat[by], np.arange(41))
+    for order in ann.orders(q, pivots):
+        got = ann._footrules(300, by // listed, (by % listed).astype(np.int16), starts, order)
+        place = [{p: i for i, p in enumerate(row)} for row in near.tolist()]
+        assert got.tolist() == [sum(abs(pl.get(p, listed) - i) for i, p in enumerate(order.tolist())) for pl in place]
+
+
+def test_ties_and_copies(spark):
+    """A third of all vectors are equal: ties go to the smaller ids, whatever block they are in."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else rng.normal(size=3).tolist()) for i in range(900)]
+    rows += [(300, [1.0, 2.0, 3.0])] * 3
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = sorted(tuple(r) for r in ann.knn(v, v.filter("vec_id = 300")).collect())
+    assert got == [(300, i + 1, 3 * i, 0.0) for i in range(10)]

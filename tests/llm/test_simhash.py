@@ -65,6 +65,38 @@ def test_close_pairs():
         assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(a, b) for a in range(len(all_)) for b in range(a + 1, len(all_)) if (all_[a] ^ all_[b]).bit_count() <= radius]
 
 
+def test_small_buckets_go_the_same_way(monkeypatch):
+    """Buckets of two and three are compared by the bit-sliced counters too, many at once."""
+    rng = random.Random(7)
+    buckets, want = [], []
+    for _ in range(300):
+        base = rng.getrandbits(64)
+        buckets.append(sorted({base ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 3))) for _ in range(rng.randint(1, 5))} | {rng.getrandbits(64) for _ in range(rng.choice((0, 0, 70)))}))
+    fps, calls, real = np.array([x for b in buckets for x in b], dtype=np.uint64), [], simhash.close_chunks
+    monkeypatch.setattr(simhash, "close_chunks", lambda *a, **k: calls.append(1) or real(*a, **k))
+    monkeypatch.setattr(simhash, "CELLS", 500)
+    root = simhash.bucket_roots(fps, [len(b) for b in buckets])
+    assert calls
+    at = 0
+    for b in buckets:
+        lead = list(range(len(b)))
+        for _ in b:
+            for i in range(len(b)):
+                for j in range(len(b)):
+                    if (b[i] ^ b[j]).bit_count() <= 2:
+                        lead[i] = min(lead[i], lead[j])
+        want += [at + x for x in lead]
+        at += len(b)
+    assert root.tolist() == want
+
+
+def test_hot_fingerprint(spark):
+    """Most rows share a fingerprint: their join is spread, and the classes stay whole."""
+    texts = ["same words over and over"] * 500 + [f"text number {i} is another one" for i in range(50)] + [None] * 200
+    d = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert found(simhash.near_duplicates(d)) == slow_classes([(r.doc_id, slow_print(r.text)) for r in d.collect()])
+
+
 def test_hot_buckets_are_dealt_again(spark):
     rng = random.Random(6)
     fixed = rng.getrandbits(64)
