@@ -41,7 +41,7 @@ from quillon.llm.common import pick, table
 LABELLED = 400
 LABELLED_CHARS = 1 << 24
 #: What a run of boilerplate tokens takes from a region at most: an advert doesn't cut a text in two.
-RUN_COST = 5.0
+RUN_COST = 3.0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -70,12 +70,12 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 #: What a word can stand in, and the log odds that hold where labelled pages say nothing.
 #: "named": the page has an article or main element; "plain": a div or section.
-FEATURES = {"bias": 0.5, "named": -8.0, "content": 9.0, "paragraph": 1.0, "heading": 0.5, "link": -1.0, "item": -0.3, "cell": 0.0, "quote": 0.5, "plain": 0.0, "marked": -6.0}
+FEATURES = {"bias": 0.5, "named": -8.0, "content": 9.0, "paragraph": 1.0, "heading": 1.5, "link": -1.0, "item": -0.3, "cell": 0.0, "quote": 0.5, "plain": 0.0, "marked": -6.0}
 _FEATURE_OF = {"article": "content", "main": "content", "p": "paragraph", "pre": "paragraph", "blockquote": "quote", "figcaption": "quote", "a": "link", "li": "item", "dt": "item", "dd": "item", "td": "cell", "th": "cell", "div": "plain", "section": "plain"} | dict.fromkeys(_HEADINGS, "heading")
 #: Labelled words count as so many in all against the odds above.
 SAMPLE_WORDS = 2000.0
 #: What the tag of an element takes away: a little, and more the oftener such tags stand outside content.
-TAG_LEAST, TAG_MORE = 0.1, 2.0
+TAG_LEAST, TAG_MORE = 0.1, 1.0
 
 
 @dataclass
@@ -166,10 +166,11 @@ def tokens(page: str) -> list[Token]:
             continue
         if m["close"]:
             place = open_.last(name)
-            # a stray end of an inner element never closes a section around it
-            if place >= 0 and (name in _SECTION or not open_.sections or open_.sections[-1] < place):
+            # an end tag is part of its element; a stray end of an inner element never closes a section around it
+            closed = place >= 0 and (name in _SECTION or not open_.sections or open_.sections[-1] <= place)
+            out.append(Token(name, "", open_.inside[place + 1] if closed else open_.inside[-1]))
+            if closed:
                 open_.leave(place)
-            out.append(Token(name, "", open_.inside[-1]))
             continue
         if name in _SECTION and name not in ("section", "html", "body"):
             # a new section ends what can't hold it, and before the content a menu or advert that is never closed
@@ -275,7 +276,7 @@ def score(got: list[Token], weights: Weights) -> tuple[list[float], list[bool]]:
             # inside the element that the page names as its content, boilerplate costs a region nothing
             s = 0.0 if named and "content" in t.inside else max(s, -RUN_COST - run)
             run += s
-        else:
+        elif t.name or t.text.strip():
             run = 0.0
         scores.append(s)
     return scores, good
