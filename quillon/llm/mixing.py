@@ -15,11 +15,15 @@ source's cells are a vector of bounded length. Sources are rows of a table: a
 hot source is summed before the shuffle, and no step needs all sources in one
 place. An iteration is one aggregation to a (languages x topics) matrix. The
 table of source factors is broadcast only where its counted rows are at most
-``BROADCAST_SOURCES``, else it is joined by shuffle.
+``BROADCAST_SOURCES``, else it is joined by shuffle, hot sources dealt over many tasks.
+
+Topics come from the text unless the caller names a column of them. Languages
+outside ``LANGUAGES`` and topics outside ``TOPICS`` share a class each; both are parameters.
 
 Defined results: a null source, language or text counts as a class of its own
-(null text: no words); a document weighs at least 1; repeated rows share their
-fate; an empty table gives no rows; the columns of a document, whatever their
+(null text: no words); a document weighs at least 1; very long texts are read
+whole; rows with equal ids and texts, repeated ones too, have equal lots and share their
+fate; a class without weight has no target; an empty table gives no rows; the columns of a document, whatever their
 names, are kept by ``sample``.
 """
 
@@ -33,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, pick, table
+from quillon.llm.common import hot_keys, materialize, pick, spread_join, table, text_of, whole
 
 #: Share of the weight that is kept, and the power that flattens observed marginals into targets.
 KEEP = 0.8
@@ -73,20 +77,13 @@ def measured(text: Column) -> Column:
     return of(text)
 
 
-def with_cells(docs: DataFrame, topics: tuple[str, ...] = TOPICS) -> DataFrame:
-    """``docs`` with __source, __lang, __topic (class numbers) and __weight."""
+def with_cells(docs: DataFrame, langs: tuple[str, ...] = LANGUAGES, topics: tuple[str, ...] = TOPICS, topic: str | None = None) -> DataFrame:
+    """row (all columns of ``docs``), lot, source, lang and topic (class numbers) and weight. ``topic``: a column of topics, instead of what the text tells."""
     have = set(docs.columns)
-    col = lambda n: F.col(f"`{n}`") if n in have else F.lit(None).cast("string")
-    d = docs.withColumn("__measured", measured(col("text")))
-    topic = col("topic") if "topic" in have else F.col("__measured.topic")
-    number = lambda c, names: F.coalesce(F.array_position(F.array(*map(F.lit, names)), c) - 1, F.lit(-1))
-    place = lambda c, names: F.when(number(c, names) < 0, len(names)).otherwise(number(c, names)).cast("int")
-    return d.withColumns({
-        "__source": F.coalesce(col("source"), F.lit("")),
-        "__lang": place(col("lang"), LANGUAGES),
-        "__topic": place(topic, topics),
-        "__weight": F.greatest(F.col("__measured.words"), F.lit(1)).cast("double"),
-    }).drop("__measured")
+    col = lambda n: (F.col(f"`{n}`") if n in have else F.lit(None)).cast("string")
+    d = docs.select(whole(docs), _lot(docs).alias("lot"), F.coalesce(col("source"), F.lit("")).alias("source"), col("lang").alias("lang"), (col(topic) if topic else F.lit(None).cast("string")).alias("given"), measured(text_of(docs)).alias("m"))
+    place = lambda c, names: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), c), F.lit(0)) - 1, F.lit(len(names))).cast("int")
+    return d.select("row", "lot", "source", place(F.col("lang"), langs).alias("lang"), place(F.col("given") if topic else F.col("m.topic"), topics).alias("topic"), F.greatest(F.col("m.words"), F.lit(1)).cast("double").alias("weight"))
 
 
 def _power(observed: np.ndarray, temperature: float) -> np.ndarray:
@@ -136,25 +133,26 @@ def rake(cells: DataFrame, langs: int, topics: int, temperature: float = TEMPERA
     return t.withColumn("mass", F.lit(mass)), fl, ft
 
 
-def probabilities(d: DataFrame, keep: float = KEEP, temperature: float = TEMPERATURE, **targets) -> DataFrame:
-    """``d`` (see ``with_cells``) with __factor, __copies, the expected copies of a row, and __p, its probability in a sample without repeats."""
-    langs, topics = len(LANGUAGES) + 1, len(TOPICS) + 1
-    cells = d.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__weight").alias("w"))
+def probabilities(d: DataFrame, keep: float = KEEP, temperature: float = TEMPERATURE, langs: int = len(LANGUAGES), topics: int = len(TOPICS), **targets) -> DataFrame:
+    """``d`` (see ``with_cells``) with factor, copies, the expected copies of a row, and p, its probability in a sample without repeats."""
+    langs, topics = langs + 1, topics + 1
+    cells = d.groupBy("source", "lang", "topic").agg(F.sum("weight").alias("w"))
     t, fl, ft = rake(cells, langs, topics, temperature, **targets)
     f = F.array(*[F.lit(float(x)) for x in (fl[:, None] * ft[None, :]).ravel()])
     scaled = F.aggregate(F.transform(F.arrays_zip("w", f.alias("f")), lambda x: x["w"] * x["f"]), F.lit(0.0), lambda a, x: a + x)
     total = t.agg(F.sum("all")).first()[0] or 1.0
     # a source's own factor, so that factor x weight is the raked weight on the scale of the observed total
-    t = materialize(t.withColumn("s", scaled).select("source", "w", F.when(F.col("s") > 0, F.col("target") / F.col("mass") * total / F.col("s")).otherwise(0.0).alias("factor")), "factors")
+    t = materialize(t.withColumn("s", scaled).select("source", "all", "w", F.when(F.col("s") > 0, F.col("target") / F.col("mass") * total / F.col("s")).otherwise(0.0).alias("factor")), "factors")
     pairs = t.select(F.explode(F.transform(F.arrays_zip("w", f.alias("f")), lambda x: F.struct(x["w"].alias("w"), (x["f"] * F.col("factor")).alias("r")))).alias("x")).select("x.w", "x.r").filter("w > 0")
     rate = _rate(pairs, keep, total)
-    s = t.select(F.col("source").alias("__source"), F.col("factor").alias("__of_source"))
+    s = t.select("source", F.col("factor").alias("of_source"))
     if t.count() <= BROADCAST_SOURCES:
-        s = F.broadcast(s)
-    j = d.join(s, "__source", "left")
-    factor = F.coalesce(F.col("__of_source"), F.lit(0.0)) * F.element_at(f, F.col("__lang") * topics + F.col("__topic") + 1)
-    j = j.withColumn("__factor", factor).withColumn("__copies", F.lit(float(keep)) * F.col("__factor"))
-    return j.withColumn("__p", F.least(F.lit(1.0), F.lit(rate) * F.col("__factor"))).drop("__of_source")
+        j = d.join(F.broadcast(s), "source", "left")
+    else:
+        j = spread_join(d, s, ["source"], hot_keys(t, ["source"], "all"), ["lot"])
+    factor = F.coalesce(F.col("of_source"), F.lit(0.0)) * F.element_at(f, F.col("lang") * topics + F.col("topic") + 1)
+    j = j.withColumn("factor", factor).withColumn("copies", F.lit(float(keep)) * F.col("factor"))
+    return j.withColumn("p", F.least(F.lit(1.0), F.lit(rate) * F.col("factor"))).drop("of_source")
 
 
 def _rate(pairs: DataFrame, keep: float, total: float) -> float:
@@ -181,28 +179,27 @@ def _lot(docs: DataFrame) -> Column:
     return uniform(*[F.col(f"`{c}`") if c in have else F.lit(None) for c in ("doc_id", "text")])
 
 
-def _drawn(lot: Column) -> Column:
+def _drawn() -> Column:
     """Copies of a row: the whole ones, and one more if the lot falls in the rest."""
-    whole = F.floor("__copies")
-    return (whole + (lot < F.col("__copies") - whole).cast("long")).cast("int")
+    n = F.floor("copies")
+    return (n + (F.col("lot") < F.col("copies") - n).cast("long")).cast("int")
 
 
 def sample(docs: DataFrame, keep: float = KEEP, repeats: bool = False, **more) -> DataFrame:
     """The sampled rows of ``docs``, with its columns; with ``repeats`` each as often as its copies say."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    d = probabilities(with_cells(docs), keep, **more)
     if repeats:
-        drawn = probabilities(with_cells(docs), keep, **more).withColumn("__drawn", _drawn(_lot(docs))).filter("__drawn > 0")
-        return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__drawn")))).select(*names)
-    return probabilities(with_cells(docs), keep, **more).filter(_lot(docs) < F.col("__p")).select(*names)
+        return d.withColumn("drawn", _drawn()).filter("drawn > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("drawn")))).select("row.*")
+    return d.filter("lot < p").select("row.*")
 
 
 def report(docs: DataFrame, keep: float = KEEP, **more) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, factor, probability, sampled, expected_copies, copies of each row."""
-    d = with_cells(pick(docs, doc_id="long", text="string", lang="string", source="string")).withColumn("__lot", _lot(docs))
+    d = with_cells(pick(docs, doc_id="long", text="string", lang="string", source="string"))
     # the texts are read once: what follows needs their measures alone
-    d = probabilities(materialize(d.drop("text"), "cells"), keep, **more)
+    d = probabilities(materialize(d.withColumn("row", F.col("row").dropFields("text")), "cells"), keep, **more)
     names = F.array(*map(F.lit, (*TOPICS, "other")))
-    return d.select("doc_id", "source", "lang", names[F.col("__topic")].alias("topic"), F.col("__weight").cast("long").alias("n_tokens"), F.col("__factor").alias("factor"), F.col("__p").alias("probability"), (F.col("__lot") < F.col("__p")).alias("sampled"), F.col("__copies").alias("expected_copies"), _drawn(F.col("__lot")).alias("copies"))
+    return d.select("row.doc_id", "row.source", "row.lang", names[F.col("topic")].alias("topic"), F.col("weight").cast("long").alias("n_tokens"), "factor", F.col("p").alias("probability"), (F.col("lot") < F.col("p")).alias("sampled"), F.col("copies").alias("expected_copies"), _drawn().alias("copies"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,12 @@ held out. The id, language, source and labels never enter a score.
 
 Defined results: a null or empty text has the features of no words and gets a
 score like any other; labels that are null or not 0 or 1 are ignored, a document
-with both labels counts by its mean (0.5: as 1); with no labels at all every
-score is 0.5; null doc_ids stay null and are not held out of scoring; repeated
-rows get equal scores; an empty table gives no rows; other columns are ignored.
+with both labels counts by its mean (0.5: as 1), an id with several texts by the one
+with the least hash; with no labels at all every
+score is 0.5; a score of exactly 0.5 predicts 1; null doc_ids stay null and are not held out of scoring; very long
+texts are read whole; repeated
+rows get equal scores; an empty table gives no rows; other columns are ignored,
+and ``keep_good`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bucket, pick, table
+from quillon.llm.common import bucket, pick, table, text_of, whole
 
 TRAIN_ROWS = 40_000
 BINS = 64
@@ -240,12 +243,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, held_out:
     some = y.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows)
     joined = pick(docs, doc_id="long", text="string").join(F.broadcast(some), "doc_id").select("doc_id", "text", "y")
 
+    # an id counts once, by the text with the least hash: copies cost no features
+    joined = joined.withColumn("h", F.xxhash64("text", F.lit(5))).groupBy("doc_id").agg(F.min_by("text", F.struct("h", "text")).alias("text"), F.first("y").alias("y"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "y": b.y, "x": [r.tobytes() for r in feature_matrix(b.text)]})
 
-    # repeated rows of an id count once
-    got = joined.mapInPandas(run, "doc_id long, y int, x binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    got = joined.mapInPandas(run, "doc_id long, y int, x binary").orderBy("doc_id").collect()
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float64).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["y"] for r in got], dtype=np.float64))
 
@@ -268,9 +273,9 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with its columns."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
     model = train(docs, labels)
-    return docs.withColumn("__score", score_column(docs.sparkSession, model, F.col("text"))).filter(F.col("__score") >= 0.5).select(*names)
+    d = docs.select(whole(docs), score_column(docs.sparkSession, model, text_of(docs)).alias("score"))
+    return d.filter(F.col("score") >= 0.5).select("row.*")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,29 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame operations alone.
 
-Rules are statistics of a whole text with a grid of cutoffs, mildest first. On
-labelled documents, in each language (the stratum), a cutoff is certified if the
-exact binomial bound says that it rejects a good document with probability at
-most ``ALPHA`` / rules: the chance of so few rejections, if the true rate were
-that, is at most ``DELTA`` / (rules x strata), a Bonferroni correction. Along a
-grid the cutoffs are tested in order and testing ends at the first that fails,
-which needs no further correction. Of the certified cutoffs a rule takes the
-mildest of those that reject most bad documents; with none, it rejects nothing.
-So in every stratum at most ``ALPHA`` of good documents fall to the rules, with
-confidence 1 - ``DELTA`` for all strata together.
+Rules are statistics of a whole text with a grid of cutoffs, mildest first. In
+each language (the stratum) labelled documents are dealt by a hash of their text
+into two halves. On the first, each of ``LEVELS`` gives every rule the strictest
+cutoff that rejects at most that part of the good documents (the mildest of those
+that reject as many bad ones; none that rejects no bad one): settings of all
+rules together, each stricter than the one before. On the second half, the
+holdout, the settings are tested in order by the exact binomial bound: one is
+certified if the chance of so few rejections of good documents, were the true
+rate ``ALPHA``, is at most ``DELTA`` / strata, a Bonferroni correction; testing
+ends at the first that fails, which needs no further correction. The last
+certified setting holds. So in every stratum at most ``ALPHA`` of good documents
+fall to the rules, with confidence 1 - ``DELTA`` for all strata together. With
+four strata it takes 144 good labels in a stratum's holdout to certify anything.
+
+A document counts once, and so does a text, however often either occurs: trials
+that repeat each other would certify anything.
 
 Repeated windows are found within the row: no words are shuffled.
 
-Defined results: a null or empty text has no words and fails the base rules; a
-null language is a stratum of its own; a document labelled both ways counts as
-good; without labels nothing but the base rules rejects; null doc_ids match no
-label; repeated rows get equal verdicts; an empty table gives no rows; columns
+Defined results: a null or empty text has no words and fails the base rules; very
+long texts are read whole; a
+null language is a stratum of its own; a document or text labelled both ways counts as
+good; an id with several texts is judged by the one with the least hash; without labels nothing but the base rules rejects; null doc_ids match no
+label; a value at a cutoff is not beyond it; repeated rows get equal verdicts; an empty table gives no rows; columns
 of a document, whatever their names, are kept by ``keep_good``.
 """
 
@@ -27,10 +34,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, materialize, pick, table
+from quillon.llm.common import SPACE, materialize, pick, table, text_of, whole
 
 ALPHA = 0.03
 DELTA = 0.05
+#: Parts of the good documents of the first half that a rule may reject, one setting each.
+LEVELS = (0.0, 0.0005, 0.001, 0.002, 0.004, 0.008, 0.016)
 WINDOW = 8
 _BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -76,38 +85,34 @@ def repeat_words(words: Column, n: Column) -> Column:
     return F.when(n <= WINDOW, F.lit(0)).otherwise(count)
 
 
-def statistics(docs: DataFrame, prefix: str = "") -> DataFrame:
-    """``docs`` with the base counts and rule statistics, each name after ``prefix``."""
-    have = set(docs.columns)
-    p = lambda n: F.col(f"`{prefix}{n}`")
-    text = F.coalesce(F.col("text"), F.lit("")) if "text" in have else F.lit("")
-    bare = text
+def statistics(d: DataFrame) -> DataFrame:
+    """``d`` (its own columns: text and others that aren't named below) with the base counts and rule statistics."""
+    bare = F.col("text")
     for c in SYMBOLS:
         bare = F.replace(bare, F.lit(c), F.lit(""))
-    d = docs.withColumn(f"{prefix}text", text).withColumn(f"{prefix}words", words_of(p("text"))) if prefix else docs.withColumn("text", text).withColumn("words", words_of(F.col("text")))
-    lines = F.filter(F.split(p("text"), "\n"), lambda x: F.length(F.btrim(x, F.lit(_BLANKS))) > 0)
+    d = d.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("words", words_of(F.col("text")))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(_BLANKS))) > 0)
     d = d.withColumns({
-        f"{prefix}n_words": F.size(p("words")).cast("long"),
-        f"{prefix}word_chars": F.length(F.array_join(p("words"), "")).cast("long"),
-        f"{prefix}n_symbols": (F.length(p("text")) - F.length(bare)).cast("long"),
-        f"{prefix}line_counts": let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))),
-        f"{prefix}n_upper": F.regexp_count(p("text"), F.lit("[A-Z]")),
-        f"{prefix}n_distinct": F.size(F.array_distinct(p("words"))),
+        "n_words": F.size("words").cast("long"),
+        "word_chars": F.length(F.array_join("words", "")).cast("long"),
+        "n_symbols": (F.length("text") - F.length(bare)).cast("long"),
+        "line_counts": let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))),
+        "n_upper": F.regexp_count("text", F.lit("[A-Z]")),
+        "n_distinct": F.size(F.array_distinct("words")),
+        "text_key": F.xxhash64("text"),
     })
-    d = d.withColumns({f"{prefix}n_dup_lines": p("line_counts")["dup"].cast("long"), f"{prefix}n_repeat_words": repeat_words(p("words"), p("n_words").cast("int")).cast("long")})
-    per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    d = d.withColumns({"n_dup_lines": F.col("line_counts")["dup"].cast("long"), "n_repeat_words": repeat_words(F.col("words"), F.col("n_words").cast("int")).cast("long")})
+    per = lambda a, b: F.when(b > 0, F.col(a) / b).otherwise(F.lit(0.0))
     d = d.withColumns({
-        f"{prefix}r_symbols": per(p("n_symbols"), p("word_chars")),
-        f"{prefix}r_dup_lines": per(p("n_dup_lines"), p("line_counts")["n"]),
-        f"{prefix}r_repeat": per(p("n_repeat_words"), p("n_words")),
-        f"{prefix}r_upper": per(p("n_upper"), p("word_chars")),
-        f"{prefix}r_distinct": per(p("n_distinct"), p("n_words")),
-        f"{prefix}word_length": per(p("word_chars"), p("n_words")),
-        f"{prefix}base_failed": (p("n_words") < 20) | (p("n_repeat_words") * 100 > p("n_words") * 30),
-        # a number that no filter may be moved below, for filters that would else repeat the work above inside themselves
-        f"{prefix}row": F.monotonically_increasing_id(),
+        "r_symbols": per("n_symbols", F.col("word_chars")),
+        "r_dup_lines": per("n_dup_lines", F.col("line_counts")["n"]),
+        "r_repeat": per("n_repeat_words", F.col("n_words")),
+        "r_upper": per("n_upper", F.col("word_chars")),
+        "r_distinct": per("n_distinct", F.col("n_words")),
+        "word_length": per("word_chars", F.col("n_words")),
+        "base_failed": (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30),
     })
-    return d.drop(f"{prefix}words", f"{prefix}line_counts", *([f"{prefix}text"] if prefix else []))
+    return d.drop("words", "line_counts", "text", "n_upper", "n_distinct")
 
 
 def binomial_tail(k: Column, n: Column, rate: float) -> Column:
@@ -128,62 +133,82 @@ def beyond(statistic: Column, side: int, cutoff) -> Column:
     return statistic > cutoff if side > 0 else statistic < cutoff
 
 
-def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """A row per stratum that has a certified rule: stratum and c_<rule> (null: off).
-
-    ``stats``: doc_id, stratum and the rule statistics. Every label counts.
-    """
+def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum, text_key, good and the rule statistics: one row for each labelled text of a stratum."""
     y = pick(labels, doc_id="long", quality="int").filter("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("good"))
-    j = stats.filter("doc_id is not null").join(y, "doc_id")
+    kept = ["text_key", "stratum", *STATISTICS]
+    # an id's rows become one before they meet its label
+    one = stats.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*kept)).alias("x"))
+    j = one.join(y, "doc_id").select("x.*", "good")
+    return j.groupBy("stratum", "text_key").agg(F.max("good").alias("good"), *[F.max(c).alias(c) for c in STATISTICS])
+
+
+def settings(tuning: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """stratum, level and c_<rule> (null: off) from the first half: a row per stratum and level with a rule."""
     counts = []
     for rule, (name, side, grid) in RULES.items():
         for i, c in enumerate(grid):
             out = beyond(F.col(name), side, F.lit(c))
             counts += [F.count_if(out & (F.col("good") == 1)).alias(f"{rule}_{i}_g"), F.count_if(out & (F.col("good") == 0)).alias(f"{rule}_{i}_b")]
-    per = materialize(j.groupBy("stratum").agg(F.count_if(F.col("good") == 1).alias("n"), *counts), "counts")
-    tests = len(RULES) * max(1, per.count())
+    per = materialize(tuning.groupBy("stratum").agg(F.count_if(F.col("good") == 1).alias("n"), *counts), "counts")
     rows = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"{rule}_{i}_g").alias("good"), F.col(f"{rule}_{i}_b").alias("bad")) for rule, (_, _, grid) in RULES.items() for i, c in enumerate(grid)])
-    long = per.select("stratum", "n", F.explode(rows).alias("x")).select("stratum", "n", "x.*")
-    tested = long.withColumn("fails", binomial_tail(F.col("good"), F.col("n"), alpha / len(RULES)) > delta / tests)
-    ends = tested.groupBy("stratum", "rule").agg(F.min(F.when(F.col("fails"), F.col("i"))).alias("end"))
-    sure = tested.join(ends, ["stratum", "rule"]).filter(F.col("end").isNull() | (F.col("i") < F.col("end")))
-    # the mildest of those that reject most bad documents; none that rejects no bad one
-    chosen = sure.groupBy("stratum", "rule").agg(F.min_by("cutoff", F.struct(-F.col("bad"), F.col("i"))).alias("cutoff"), F.max("bad").alias("bad")).filter("bad > 0")
-    return materialize(chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"c_{r}") for r in RULES]), "cutoffs")
+    tries = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(x).alias("part")) for k, x in enumerate(levels)])
+    long = per.select("stratum", "n", F.explode(rows).alias("x")).select("stratum", "n", "x.*").select("*", F.explode(tries).alias("y")).select("*", "y.level", "y.part")
+    allowed = long.filter((F.col("good") <= F.col("part") * F.col("n")) & (F.col("bad") > 0))
+    best = allowed.groupBy("stratum", "level", "rule").agg(F.min_by("cutoff", F.struct(-F.col("bad"), F.col("i"))).alias("cutoff"))
+    return best.groupBy("stratum", "level").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"c_{r}") for r in RULES])
+
 
+def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """A row per stratum that has a certified setting: stratum and c_<rule> (null: off).
 
-def rejected(prefix: str = "") -> Column:
+    ``stats``: doc_id, stratum, text_key and the rule statistics.
+    """
+    y = materialize(labelled(stats, labels).withColumn("tuning", F.pmod(F.xxhash64("text_key", F.lit(11)), F.lit(2)) == 0), "labelled")
+    tried = materialize(settings(y.filter("tuning")), "settings")
+    held = y.filter("not tuning and good = 1")
+    strata = max(1, tried.select("stratum").distinct().count())
+    got = held.join(tried, "stratum").groupBy("stratum", "level").agg(F.count(F.lit(1)).alias("n"), F.count_if(rejected()).alias("k"))
+    tested = got.withColumn("fails", binomial_tail(F.col("k"), F.col("n"), alpha) > delta / strata)
+    ends = tested.groupBy("stratum").agg(F.min(F.when(F.col("fails"), F.col("level"))).alias("end"))
+    last = tested.join(ends, "stratum").filter(F.col("end").isNull() | (F.col("level") < F.col("end"))).groupBy("stratum").agg(F.max("level").alias("level"))
+    return materialize(tried.join(last, ["stratum", "level"], "left_semi").drop("level"), "cutoffs")
+
+
+def rejected() -> Column:
     """Whether a rule rejects, given the statistics and the c_<rule> columns."""
     out = F.lit(False)
     for rule, (name, side, _) in RULES.items():
-        out = out | F.coalesce(beyond(F.col(f"`{prefix}{name}`"), side, F.col(f"`{prefix}c_{rule}`")), F.lit(False))
+        out = out | F.coalesce(beyond(F.col(name), side, F.col(f"c_{rule}")), F.lit(False))
     return out
 
 
-_SKINNY = ["doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *dict.fromkeys(x[0] for x in RULES.values())]
+STATISTICS = list(dict.fromkeys(x[0] for x in RULES.values()))
 
 
-def skinny(docs: DataFrame) -> DataFrame:
-    """The statistics of each row, without its text, written once."""
-    d = pick(docs, doc_id="long", text="string", lang="string").withColumn("stratum", F.coalesce("lang", F.lit(""))).drop("lang")
-    return materialize(statistics(d).select(*_SKINNY), "statistics")
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, stratum, the statistics and ``row`` (all columns of ``docs``), written once: texts are measured a single time."""
+    have = set(docs.columns)
+    col = lambda n, t: (F.col(f"`{n}`") if n in have else F.lit(None)).cast(t)
+    d = docs.select(whole(docs), col("doc_id", "long").alias("doc_id"), text_of(docs).alias("text"), F.coalesce(col("lang", "string"), F.lit("")).alias("stratum"))
+    return materialize(statistics(d), "statistics")
+
+
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed and kept of each row."""
-    s = skinny(docs)
+    d = pick(docs, doc_id="long", text="string", lang="string").withColumn("stratum", F.coalesce("lang", F.lit(""))).drop("lang")
+    s = materialize(statistics(d), "statistics")
     j = s.join(cutoffs(s, labels), "stratum", "left")
-    return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected()).alias("kept"))
+    return j.select("doc_id", *_COUNTS, (~F.col("base_failed") & ~rejected()).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its columns."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    c = cutoffs(skinny(docs), labels)
-    c = c.select(*[F.col(n).alias(f"__{n}") for n in c.columns])
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    j = statistics(docs, "__").filter("not __base_failed and __row >= 0").withColumn("__s", F.coalesce(lang, F.lit(""))).join(c, F.col("__s") == F.col("__stratum"), "left")
-    return j.filter(~rejected("__")).select(*names)
+    s = measured(docs)
+    return s.filter("not base_failed").join(cutoffs(s, labels), "stratum", "left").filter(~rejected()).select("row.*")
 
 
 def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

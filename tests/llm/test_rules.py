@@ -57,14 +57,32 @@ def test_binomial_tail(spark, n):
         assert abs(r.p - want) < 1e-9
 
 
+def certified(spark, n, copies=1, texts=None):
+    """Cutoffs from n documents, odd ones bad and full of symbols, each row ``copies`` times, with ``texts`` different texts."""
+    rows = [(i, "en", 0.9 if i % 2 else 0.0, (i if texts is None else i % texts) * 7919) for i in range(n)] * copies
+    d = spark.createDataFrame([(i, s, x, 0.0, 0.0, 0.0, 1.0, 5.0, t) for i, s, x, t in rows], "doc_id long, stratum string, r_symbols double, r_dup_lines double, r_repeat double, r_upper double, r_distinct double, word_length double, text_key long")
+    y = spark.createDataFrame([(i, 1 - i % 2) for i in range(n)] * copies, "doc_id long, quality int")
+    return rules.cutoffs(d, y).collect()
+
+
 def test_no_certificate_without_evidence(spark):
     """Few labels certify nothing; many certify a cutoff that rejects almost no good document."""
-    def stats(n):
-        rows = [(i, "en", 0.9 if i % 2 else 0.0, i % 2 == 0) for i in range(n)]
-        d = spark.createDataFrame([(i, s, x, 0.0, 0.0, 0.0, 1.0, 5.0) for i, s, x, _ in rows], "doc_id long, stratum string, r_symbols double, r_dup_lines double, r_repeat double, r_upper double, r_distinct double, word_length double")
-        y = spark.createDataFrame([(i, int(good)) for i, _, _, good in rows], "doc_id long, quality int")
-        return rules.cutoffs(d, y).collect()
-
-    assert stats(100) == []
-    many = stats(6000)
+    assert certified(spark, 120) == []
+    many = certified(spark, 1200)
     assert len(many) == 1 and many[0]["c_symbols"] == 0.5 and many[0]["c_upper"] is None
+
+
+def test_copies_are_no_evidence(spark):
+    """Repeated rows, and equal texts under other ids, count once."""
+    assert certified(spark, 120, copies=50) == []
+    assert certified(spark, 6000, texts=120) == []
+
+
+def test_risk_holds_on_fresh_documents(spark):
+    """The cutoffs that op2 certifies, against labels it never saw: at most ALPHA of good documents, within chance."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    got = rules.verdicts(docs, labels.filter(half)).filter("not base_failed").join(labels.filter(~half).filter("quality = 1").select("doc_id").distinct(), "doc_id")
+    n, bad = got.agg(F.count(F.lit(1)), F.count_if(~F.col("kept"))).first()
+    assert bad <= rules.ALPHA * n + 3 * (rules.ALPHA * n) ** 0.5
