@@ -11,9 +11,15 @@ What is written is a table of rows: the id matrix row (little-endian uint16,
 padded with the separator), cumulative segment lengths, and the offsets where
 positions restart at 0.
 
+A long text is tokenized in pieces of about ``CALL_CHARS`` characters, cut only
+between a letter and what is no letter: no pre-token of the vocabulary crosses
+such a place, on one line or many, so the ids are those of the whole text. Only
+a word longer than that goes in one call.
+
 Defined results: a null or empty text is one segment that holds the separator
-alone; null doc_ids stay null; repeated rows are packed each; an empty table
-gives an empty table; other columns are ignored.
+alone; null doc_ids stay null; repeated rows are packed each; of equal lengths
+the earlier document goes first, of rows with equal room the last that got it; an empty table
+gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +43,7 @@ CAPACITY = 2048
 BUFFER_TOKENS = 1 << 22
 #: The first free id of the vocabulary: ends documents and pads rows.
 SEPARATOR = 50256
-#: A longer text is tokenized line by line or in pieces: what one call may hold.
+#: A longer text is tokenized in pieces: what one call may hold.
 CALL_CHARS = 1 << 20
 
 _SCHEMA = "shard int, row long, n_tokens int, n_segments int, doc_ids array<string>, parts array<int>, cu_seqlens array<int>, resets array<int>, ids binary"
@@ -109,20 +116,20 @@ def _encoding(ranks: bytes):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
 
 
-def token_ids(encoding, text: str | None) -> np.ndarray:
-    text = text or ""
-    # the pre-tokenizer never joins a letter to a line end before it, but splits white space by what follows:
-    # cuts after a lone line end and before a letter change nothing
-    if len(text) <= CALL_CHARS:
-        return np.array([*encoding.encode_ordinary(text), SEPARATOR], dtype="<u2")
-    got, at = [], 0
+def pieces(text: str, chars: int) -> Iterator[str]:
+    """``text`` in pieces of ``chars`` characters or a little more, each cut after a letter and before a known character that is none."""
+    at = 0
     while at < len(text):
-        end = at + CALL_CHARS
-        while end < len(text) and not (text[end].isalpha() and text[end - 1] == "\n" and not text[end - 2].isspace()):
+        end = at + chars
+        while end < len(text) and not (text[end - 1].isalpha() and not text[end].isalpha() and unicodedata.category(text[end]) != "Cn"):
             end += 1
-        got += encoding.encode_ordinary(text[at:end])
+        yield text[at:end]
         at = end
-    return np.array([*got, SEPARATOR], dtype="<u2")
+
+
+def token_ids(encoding, text: str | None) -> np.ndarray:
+    parts = [np.array(encoding.encode_ordinary(p), dtype="<u2") for p in pieces(text or "", CALL_CHARS)]
+    return np.concatenate([*parts, np.array([SEPARATOR], dtype="<u2")])
 
 
 def _pack(items: list[tuple[str | None, int, np.ndarray]], capacity: int) -> list[tuple]:
