@@ -5,20 +5,26 @@ lower-cased, where all characters are plain ASCII or Latin-1 letters, else whole
 runs between ASCII white space, encoded as they stand. Each distinct word is
 encoded once and its ids are joined back by position:
 
-* the ``FREQUENT`` most frequent words of a bounded sample are a broadcast table
-  (at most 262,143 words of at most ``FREQUENT_CHARS`` characters);
-* every other word of a document is a row (word, document); rows are dealt by
-  word, each distinct word is encoded, and (document, word, ids) rows meet the
-  document's positions, kept as compact word numbers.
+* the ``FREQUENT`` most frequent words of a bounded sample (of at most
+  ``FREQUENT_CHARS`` characters) are encoded once and broadcast with their ids;
+* every other word of a document is a row (document, word); rows are dealt by
+  word, each distinct word is encoded where its rows are, and (document, word,
+  ids) rows meet the document's positions, kept as compact word numbers.
 
-The sample only decides which way a word takes; results don't depend on it, and
-a word in many documents is in the sample, so no key of the dealt rows is hot.
-Decoding joins ids to the vocabulary's pieces (a table of the vocabulary's size).
+The sample takes documents by their place, not by what they hold, so it shows
+copies in proportion. It only decides which way a word takes, and which long
+words are hot: the rows of these are dealt over ``SALTS`` tasks, and such a word is
+encoded in each. Results don't depend on it.
+
+Decoding joins ids to pieces: the table of the vocabulary's pieces by id is
+broadcast, each id of a row takes its piece, and a row's pieces are joined in order.
 
 Defined results: a null or empty text, or one of white space, has no ids and
-decodes to the empty text; special tokens in a text become their ids; null
-doc_ids stay null; repeated rows are rows; an empty table gives no rows; other
-columns are ignored.
+decodes to the empty text; very long texts and words are encoded whole; special tokens in a text become their ids; null
+doc_ids stay null; repeated rows are rows, and rows with equal ids and texts share
+the rows of their words; of words equally frequent in the sample all or none are
+broadcast; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,21 +33,21 @@ import functools
 import hashlib
 import os
 import re
-import threading
 import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import pick, release, table
+from quillon.llm.common import HOT_PARTS, SALTS, materialize, most_frequent, pick, release, table
 
 WORD_BPE = "word_bpe_49k.json"
 FREQUENT = (1 << 18) - 1
@@ -50,8 +56,6 @@ SAMPLE_DOCS = 20000
 _RARE = FREQUENT
 SLICE_ROWS = 256
 CALL_WORDS = 4096
-#: A worker process keeps what it made between tasks for so long.
-IDLE_SECONDS = 3.0
 
 _RUN = re.compile(r"[^\x20\x09-\x0D]+")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -119,9 +123,21 @@ def vocabulary(source: str) -> list[str]:
     return out
 
 
-def _key() -> Column:
-    """What a document's rows meet by: its id, or for a null id a hash of its text (marked apart)."""
-    return F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.xxhash64("text").cast("string")), F.lit("n"))
+def _key() -> list[Column]:
+    """What a document's rows meet by. Documents that share it share the rows of their words, which changes nothing."""
+    return [F.coalesce("doc_id", F.lit(0)).alias("id"), F.pmod(F.xxhash64("text"), F.lit(1 << 15)).cast("short").alias("part")]
+
+
+@functools.lru_cache(2)
+def _pieces(source: str) -> tuple[pa.Array, pa.Array]:
+    """By id: its decimal form, and its piece."""
+    pieces = vocabulary(source)
+    return pa.array([str(i) for i in range(len(pieces))]), pa.array(pieces, pa.string())
+
+
+def _join_pieces(ids: pa.ListArray, of: pa.Array) -> pa.Array:
+    """Each list's ids joined to the table ``of`` and set in order, with a space between."""
+    return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, of.take(ids.values)), " ")
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,8 +147,8 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(lo, SLICE_ROWS)
 
 
-def frequent_words(docs: DataFrame, most: int = FREQUENT, sample: int = SAMPLE_DOCS) -> list[str]:
-    """The most frequent words of about ``sample`` documents that a hash picks."""
+def frequent_words(docs: DataFrame, source, most: int | None = None, sample: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray, np.ndarray, list[int]]:
+    """The most frequent words of about ``sample`` documents, the lengths of their ids, the ids end to end, and hashes of hot long words."""
     every = max(1, docs.count() // sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,45 +157,39 @@ def frequent_words(docs: DataFrame, most: int = FREQUENT, sample: int = SAMPLE_D
             for part in _slices(iter([b])):
                 for t in part.column("text").to_pylist():
                     c.update(split_words(t))
-            c = Counter({w: n for w, n in c.items() if len(w) <= FREQUENT_CHARS})
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
-    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    counts = some.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counts.orderBy(F.desc("n"), "word").limit(min(most, FREQUENT)).toArrow().column("word").to_pylist()
-
-
-_made: dict[str, object] = {}
-_idle: list[threading.Timer] = []
-
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column("word").to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array([np.array(i, "<u2").tobytes() for i in _encode(source.value, words)], pa.binary())], ["word", "ids"])
 
-def _forget() -> None:
-    _made.clear()
-    _tokenizer.cache_clear()
-    release()
+    some = docs.select("text", F.monotonically_increasing_id().alias("at")).filter(F.pmod("at", F.lit(every)) == 0).select("text")
+    counts = materialize(some.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "sample-words")
+    short = counts.filter(F.length("word") <= FREQUENT_CHARS)
+    chosen = short.filter(F.col("n") >= most_frequent(short, "n", FREQUENT if most is None else most)).select("word")
+    got = chosen.mapInArrow(encode, "word string, ids binary").toArrow()
+    ids = [np.frombuffer(x, "<u2") for x in got.column("ids").to_pylist()]
+    lengths = np.array([len(x) for x in ids], np.int64)
+    # words that are never broadcast and may have more than a share of all rows
+    hot = counts.filter((F.length("word") > FREQUENT_CHARS) & (F.col("n") * HOT_PARTS > min(sample, docs.count()))).orderBy(F.desc("n"), F.xxhash64("word")).limit(HOT_PARTS).select(F.xxhash64("word")).collect()
+    return got.column("word").to_pylist(), lengths, np.concatenate([np.zeros(0, "<u2"), *ids]), [r[0] for r in hot]
 
 
-def _rest() -> None:
-    """Called when a task ends: what was made goes if no other task comes for it."""
-    for t in _idle:
-        t.cancel()
-    _idle[:] = [threading.Timer(IDLE_SECONDS, _forget)]
-    _idle[0].daemon = True
-    _idle[0].start()
+_made: dict[str, object] = {}
 
 
 def made(frequent, what: str, make):
     """What is made of the broadcast words: once in a worker process, which runs many tasks."""
-    for t in _idle:
-        t.cancel()
-    name, words = frequent.value
+    name = frequent.value[0]
     if _made.get("name") != name:
         _made.clear()
         _made["name"] = name
-    if what not in _made:
-        _made[what] = make(words)
+    got = _made.get(what)
+    if got is None:
+        got = _made[what] = make(frequent.value[1])
         release()
-    return _made[what]
+    return got
 
 
 def _numbers(words: list[str]) -> dict[str, int]:
@@ -187,18 +197,18 @@ def _numbers(words: list[str]) -> dict[str, int]:
 
 
 def _coded(docs: DataFrame, frequent) -> tuple[DataFrame, DataFrame]:
-    """(key, word) rows of the words outside the frequent table; (key, doc_id, code) of each document."""
+    """(id, part, word) rows of the words outside the frequent table; (id, part, doc_id, code) of each document."""
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = made(frequent, "numbers", _numbers)
         for b in _slices(batches):
-            keys, words = [], []
-            for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
+            at, words = [], []
+            for row, t in enumerate(b.column("text").to_pylist()):
                 rare = [w for w in set(split_words(t)) if w not in known]
                 words += rare
-                keys += [k] * len(rare)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.string())], ["key", "word"])
-        _rest()
+                at += [row] * len(rare)
+            at = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("part").take(at), pa.array(words, pa.string())], ["id", "part", "word"])
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = made(frequent, "numbers", _numbers)
@@ -210,15 +220,14 @@ def _coded(docs: DataFrame, frequent) -> tuple[DataFrame, DataFrame]:
                 rare = [words[i] for i in np.flatnonzero(at == _RARE).tolist()]
                 # low halves, then high bytes (few words have one): each compresses better by itself
                 out.append(zlib.compress(at.astype("<u2").tobytes() + (at >> 16).astype(np.uint8).tobytes() + " ".join(rare).encode("utf-8", "surrogatepass"), 1) + len(words).to_bytes(4, "little"))
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array(out, pa.binary())], ["key", "doc_id", "code"])
-        _rest()
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("part"), b.column("doc_id"), pa.array(out, pa.binary())], ["id", "part", "doc_id", "code"])
 
-    d = docs.select(_key().alias("key"), "doc_id", "text")
-    return d.select("key", "text").mapInArrow(requests, "key string, word string"), d.mapInArrow(codes, "key string, doc_id long, code binary")
+    d = docs.select(*_key(), "doc_id", "text")
+    return d.select("id", "part", "text").mapInArrow(requests, "id long, part short, word string"), d.mapInArrow(codes, "id long, part short, doc_id long, code binary")
 
 
-def _answers(requests: DataFrame, source) -> DataFrame:
-    """(key, word, ids): each distinct word encoded where all its rows are."""
+def _answers(requests: DataFrame, source, hot: list[int]) -> DataFrame:
+    """(id, part, word, ids): each distinct word encoded where all its rows are, or its share of them if it is hot."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict[str, bytes] = {}
@@ -227,10 +236,13 @@ def _answers(requests: DataFrame, source) -> DataFrame:
             new = [w for w in unique if w not in last]
             last = {w: last[w] for w in unique if w in last} | {w: np.array(i, dtype="<u2").tobytes() for w, i in zip(new, _encode(source.value, new), strict=True)}
             ids = np.array([last[w] for w in unique] + [b""], dtype=object)[:-1]
-            yield pd.DataFrame({"key": b.key, "word": b.word, "ids": ids[at]})
+            yield pd.DataFrame({"id": b.id, "part": b.part, "word": b.word, "ids": ids[at]})
 
     n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return requests.repartition(n, "word").sortWithinPartitions("word").mapInPandas(encode, "key string, word string, ids binary")
+    by = ["word"]
+    if hot:
+        by.append(F.when(F.xxhash64("word").isin(hot), F.pmod(F.xxhash64("id", "part"), F.lit(SALTS))).otherwise(0))
+    return requests.repartition(n, *by).sortWithinPartitions("word").mapInPandas(encode, "id long, part short, word string, ids binary")
 
 
 def _joined(docs: DataFrame, path: str) -> tuple[DataFrame, object, object]:
@@ -239,12 +251,13 @@ def _joined(docs: DataFrame, path: str) -> tuple[DataFrame, object, object]:
     if len(vocabulary(source_text)) > 65536:
         raise ValueError("ids are kept in two bytes: a vocabulary of at most 65,536 pieces")
     d = pick(docs, doc_id="long", text="string")
-    words = frequent_words(d)
-    frequent = spark.sparkContext.broadcast((uuid.uuid4().hex, words))
     source = spark.sparkContext.broadcast(source_text)
+    words, lengths, flat, hot = frequent_words(d, source)
+    frequent = spark.sparkContext.broadcast((uuid.uuid4().hex, words, lengths, flat))
     requests, codes = _coded(d, frequent)
-    found = _answers(requests, source).groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("found"))
-    return codes.join(found, "key", "left").select("doc_id", "code", "found"), frequent, source
+    # a set: documents that share a key ask for a word more than once
+    found = _answers(requests, source, hot).groupBy("id", "part").agg(F.collect_set(F.struct("word", "ids")).alias("found"))
+    return codes.join(found, ["id", "part"], "left").select("doc_id", "code", "found"), frequent, source
 
 
 def _words_of(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str], dict[str, bytes]]]:
@@ -262,20 +275,6 @@ def _words_of(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str], dic
         lo += size
 
 
-def _by_position(at: np.ndarray, rare: list[str], own: dict[str, bytes], start: list, make) -> list:
-    """What ``start`` holds for a word with a number, and ``make(ids)`` for another, in order."""
-    if not rare:
-        return [start[i] for i in at.tolist()]
-    own_made = {w: make(np.frombuffer(x, "<u2").tolist()) for w, x in own.items()}
-    others = iter(rare)
-    return [start[i] if i != _RARE else own_made[next(others)] for i in at.tolist()]
-
-
-def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and ids end to end."""
-    return np.array([len(x) for x in ids], np.int64), np.fromiter(chain.from_iterable(ids), np.int32)
-
-
 def _ids_of(at: np.ndarray, rare: list[str], own: dict[str, bytes], lengths: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """A row's ids: those of its numbered words and its other words, by position."""
     other = at == _RARE
@@ -294,43 +293,40 @@ def _ids_of(at: np.ndarray, rare: list[str], own: dict[str, bytes], lengths: np.
     return out
 
 
-def _tables(frequent, source) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    def make(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lengths, flat = _flat(_encode(source.value, words))
-        return np.append(lengths, 0), flat, np.append(np.cumsum(lengths) - lengths, 0)
+def _row_ids(part: pa.RecordBatch, frequent) -> pa.ListArray:
+    """The ids of each row of codes."""
+    _, _, lengths, flat = frequent.value
+    lengths = np.append(lengths, 0)
+    begin = np.cumsum(lengths) - lengths
+    return _lists([_ids_of(*w, lengths, flat, begin) for w in _words_of(part)])
 
-    return made(frequent, "ids", make)
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (array<int>) of each row."""
-    joined, frequent, source = _joined(docs, path or public_tokenizers.path(WORD_BPE))
+    joined, frequent, _ = _joined(docs, path or public_tokenizers.path(WORD_BPE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(frequent, source)
         for part in _slices(batches):
-            ids = [_ids_of(*w, *tables) for w in _words_of(part)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
-        _rest()
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _row_ids(part, frequent)], ["doc_id", "ids"])
 
     return joined.mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def _lists(ids: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-
-
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, text: the pieces of the ids, joined by position with the broadcast vocabulary."""
+    """doc_id, text: the pieces that the ids join to, in order. Null ids decode to the empty text."""
     source = encoded.sparkSession.sparkContext.broadcast(tokenizer_source(path or public_tokenizers.path(WORD_BPE)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        piece = vocabulary(source.value)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "text": [" ".join([piece[i] for i in ids]) if ids is not None else "" for ids in b.ids]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, pieces = _pieces(source.value)
+        for part in _slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _join_pieces(_lists([np.array(x or [], np.int32) for x in part.column("ids").to_pylist()]), pieces)], ["doc_id", "text"])
 
-    return pick(encoded, doc_id="string", ids="array<int>").mapInPandas(run, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return pick(encoded, doc_id="long", ids="array<int>").mapInArrow(run, "doc_id long, text string")
 
 
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -338,16 +334,10 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     joined, frequent, source = _joined(docs, path or public_tokenizers.path(WORD_BPE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, tables = vocabulary(source.value), _tables(frequent, source)
-        text = lambda ids: " ".join([piece[i] for i in ids])
-        texts = made(frequent, "texts", lambda words: [text(i) for i in _encode(source.value, words)])
+        _, pieces = _pieces(source.value)
         for part in _slices(batches):
-            ids, decoded = [], []
-            for w in _words_of(part):
-                ids.append(_ids_of(*w, *tables))
-                decoded.append(" ".join([x for x in _by_position(*w, texts, text) if x]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), _lists(ids), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
-        _rest()
+            ids = _row_ids(part, frequent)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids.value_lengths().cast(pa.int64()), ids, _join_pieces(ids, pieces)], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return joined.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
@@ -357,19 +347,11 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     joined, frequent, source = _joined(docs, path or public_tokenizers.path(WORD_BPE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = vocabulary(source.value)
-        both = lambda ids: (" ".join(map(str, ids)), " ".join([piece[i] for i in ids]), len(ids))
-        start = made(frequent, "pieces", lambda words: [both(i) for i in _encode(source.value, words)])
-        sha = lambda parts: hashlib.sha256(" ".join(parts).encode("utf-8")).hexdigest()
+        tables = _pieces(source.value)
         for part in _slices(batches):
-            rows = []
-            for w in _words_of(part):
-                got = [x for x in _by_position(*w, start, both) if x[2]]
-                ids, pieces, counts = zip(*got, strict=True) if got else ((), (), ())
-                rows.append((sum(counts), sha(ids), sha(pieces)))
-            n, ids, texts = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        _rest()
+            ids = _row_ids(part, frequent)
+            sha = [pa.array([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in _join_pieces(ids, of).to_pylist()], pa.string()) for of in tables]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids.value_lengths().cast(pa.int64()), *sha], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return joined.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

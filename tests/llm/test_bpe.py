@@ -36,12 +36,22 @@ def test_trouble(docs):
 
 def test_rare_words_meet_by_join(docs, monkeypatch):
     monkeypatch.setattr(bpe, "FREQUENT", 3)
-    words = bpe.frequent_words(docs.select("doc_id", "text"), most=3)
-    assert len(words) == 3
-    monkeypatch.setattr(bpe, "frequent_words", lambda d: words)
     assert found(bpe.digests(docs)) == expected([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_copies_share_the_rows_of_their_words(spark, monkeypatch):
+    """An id on many rows, and a long word in most of them: one entry for each word, and the word's rows are dealt."""
+    monkeypatch.setattr(bpe, "FREQUENT", 3)
+    rows = [(7, "x" * 80 + " and uncommon words")] * 600 + [(7, f"another text {i} " + "x" * 80) for i in range(40)] + [(None, "x" * 80)] * 30
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    source = spark.sparkContext.broadcast(bpe.tokenizer_source(public_tokenizers.path(bpe.WORD_BPE)))
+    words, lengths, flat, hot = bpe.frequent_words(d, source)
+    assert len(words) == len(lengths) <= 3 and lengths.sum() == len(flat) and hot
+    joined, _, _ = bpe._joined(d, public_tokenizers.path(bpe.WORD_BPE))
+    assert max(len(r.found or []) for r in joined.collect()) < 10
+    assert found(bpe.digests(d)) == expected(rows)
+
+
 def test_round_trip(docs):
     t = library()
     both = bpe.encode_decode(docs).collect()
