@@ -23,13 +23,17 @@ WIDTH = 16
 CLASSES = 96
 #: Classes of one frequent id each; the others are clusters, the document end and a class of rare ids.
 OWN = 46
-#: Frequent ids are symbols of their own; the other ids are one more.
+#: Frequent ids are symbols of their own; the other ids are one more, within which an id has its counted odds.
 SYMBOLS = 2048
 #: Weight of the symbols' own odds among the counts after a symbol.
 PRIOR = 20.0
 CONTEXTS = 256
 BLOCK = 64
 RATE = 0.03
+#: Training: windows of a gradient, and gradients of a step, after so many steps of one gradient each.
+GRADIENT_WINDOWS = 32
+STEP_GRADIENTS = 4
+FIRST_STEPS = 200
 #: What an exponent may reach in scoring; larger weights are scaled down once.
 HIGHEST = 60.0
 
@@ -147,55 +151,52 @@ class Parameters:
 _CAUSAL = np.where(np.arange(WINDOW)[None, :] <= np.arange(WINDOW)[:, None], np.float32(0), _NEVER)
 
 
-def gradient(p: Parameters, log_after: np.ndarray, symbol: np.ndarray, target: np.ndarray, padded: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean loss and its gradient over windows.
+def gradient(p: Parameters, after: np.ndarray, symbol: np.ndarray, target: np.ndarray, first: np.ndarray) -> tuple[float, int, np.ndarray]:
+    """Loss and gradient over windows, summed over scored places, and the count of these.
 
-    (windows, WINDOW) arrays: input symbols, the next symbols' classes (-1: not
-    scored), and whether an input is padding.
+    Input symbols (windows, WINDOW); classes of the symbols at the last STRIDE
+    places (windows, STRIDE), -1: not scored; whether LEAD places are padding.
     """
     b, d = len(symbol), WIDTH
     g = Parameters(len(p.e), np.zeros_like(p.flat))
     scale = np.float32(1 / np.sqrt(d))
-    x = p.e[symbol] + p.p
-    flat = x.reshape(-1, d)
-    q, k, v = (flat @ w for w in (p.q, p.k, p.v))
-    q, k, v = (m.reshape(b, WINDOW, d) for m in (q, k, v))
-    s = q @ k.transpose(0, 2, 1) * scale + _CAUSAL
-    s += np.where(padded, _NEVER, np.float32(0))[:, None, :]
+    x = p.e[symbol]
+    x += p.p
+    flat, asked = x.reshape(-1, d), x[:, LEAD:].reshape(-1, d)
+    q = (asked @ p.q * scale).reshape(b, STRIDE, d)
+    k, v = ((flat @ w).reshape(b, WINDOW, d) for w in (p.k, p.v))
+    s = q @ k.transpose(0, 2, 1)
+    s += _CAUSAL[LEAD:]
+    s[first, :, :LEAD] = _NEVER
     s -= s.max(-1, keepdims=True)
     np.exp(s, out=s)
     s /= s.sum(-1, keepdims=True)
-    ctx = s @ v
-    scored = target.ravel() >= 0
-    rows = np.flatnonzero(scored)
-    c = ctx.reshape(-1, d)[rows]
-    z = c @ p.u + log_after[symbol.ravel()[rows]]
-    z -= z.max(1, keepdims=True)
+    ctx = (s @ v).reshape(-1, d)
+    z = ctx @ p.u
+    np.clip(z, -HIGHEST, HIGHEST, out=z)
     np.exp(z, out=z)
+    z *= after[symbol[:, LEAD:].ravel()]
     z /= z.sum(1, keepdims=True)
-    t = target.ravel()[rows]
-    n = max(1, len(rows))
-    loss = float(-np.log(np.maximum(z[np.arange(len(rows)), t], 1e-30)).sum() / n)
-    z[np.arange(len(rows)), t] -= 1
-    z /= n
-    g.u[...] = c.T @ z
-    dctx = np.zeros((b * WINDOW, d), np.float32)
-    dctx[rows] = z @ p.u.T
-    dctx = dctx.reshape(b, WINDOW, d)
+    t = target.ravel()
+    scored = np.flatnonzero(t >= 0)
+    loss = float(-np.log(np.maximum(z[scored, t[scored]], 1e-30)).sum())
+    z[scored, t[scored]] -= 1
+    if len(scored) < len(t):
+        z[t < 0] = 0
+    g.u[...] = ctx.T @ z
+    dctx = (z @ p.u.T).reshape(b, STRIDE, d)
     dv = s.transpose(0, 2, 1) @ dctx
     da = dctx @ v.transpose(0, 2, 1)
-    ds = s * (da - (da * s).sum(-1, keepdims=True)) * scale
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dx = np.zeros_like(flat)
-    for w, gw, dm in ((p.q, g.q, dq), (p.k, g.k, dk), (p.v, g.v, dv)):
-        dm = dm.reshape(-1, d)
-        gw[...] = flat.T @ dm
-        dx += dm @ w.T
-    at = symbol.ravel()
-    for j in range(d):
-        g.e[:, j] = np.bincount(at, dx[:, j], len(p.e))
-    g.p[...] = dx.reshape(b, WINDOW, d).sum(0)
-    return loss, g.flat
+    da -= (da * s).sum(-1, keepdims=True)
+    da *= s
+    dq, dk = (da @ k).reshape(-1, d) * scale, (da.transpose(0, 2, 1) @ q).reshape(-1, d)
+    dv = dv.reshape(-1, d)
+    g.q[...], g.k[...], g.v[...] = asked.T @ dq, flat.T @ dk, flat.T @ dv
+    dx = (dk @ p.k.T + dv @ p.v.T).reshape(b, WINDOW, d)
+    dx[:, LEAD:] += (dq @ p.q.T).reshape(b, STRIDE, d)
+    g.e[...] = np.bincount(((symbol.ravel() * d)[:, None] + np.arange(d)).ravel(), dx.ravel(), p.e.size).reshape(p.e.shape)
+    g.p[...] = dx.sum(0)
+    return loss, len(scored), g.flat
 
 
 class Adam:
@@ -209,6 +210,53 @@ class Adam:
         flat -= self.rate * (self.m / (1 - 0.9**self.n)) / (np.sqrt(self.s / (1 - 0.99**self.n)) + 1e-8)
 
 
+class Windows:
+    """Overlapping windows over id sequences: every id stands once among the last STRIDE places of one."""
+
+    def __init__(self, vocabulary: Vocabulary, ids: np.ndarray, starts: np.ndarray) -> None:
+        n = np.diff(starts)
+        per = -(-n // STRIDE)
+        self.doc = np.repeat(np.arange(len(n)), per)
+        self.number = np.arange(len(self.doc)) - np.repeat(np.cumsum(per) - per, per)
+        # inputs are the ids one place earlier; before a document stands the end id
+        known = vocabulary.symbol_of[ids]
+        shifted = np.concatenate([np.zeros(LEAD + 1, np.int32), known, np.zeros(WINDOW, np.int32)])
+        shifted[LEAD + starts[1:-1]] = 0
+        padded = np.concatenate([known, np.zeros(WINDOW, np.int32)])
+        self.at = starts[self.doc] + self.number * STRIDE
+        self.left = n[self.doc] - self.number * STRIDE
+        self.inputs, self.targets = (np.lib.stride_tricks.sliding_window_view(x, w) for x, w in ((shifted, WINDOW), (padded, STRIDE)))
+
+
+class Trainer:
+    """Takes gradient steps on every window of the documents it is given, in an order that a generator mixes."""
+
+    def __init__(self, vocabulary: Vocabulary, flat: np.ndarray, rate: float, seed: int) -> None:
+        self.v, self.p = vocabulary, Parameters(vocabulary.symbols, flat.copy())
+        self.adam, self.rng = Adam(len(flat), rate), np.random.default_rng(seed)
+        self.sum, self.n, self.gradients, self.seen = np.zeros_like(self.p.flat), 0, 0, 0
+
+    def documents(self, ids: np.ndarray, starts: np.ndarray) -> None:
+        w = Windows(self.v, ids, starts)
+        order, inner = self.rng.permutation(len(w.doc)), np.arange(STRIDE)
+        for i in range(0, len(order), GRADIENT_WINDOWS):
+            s = order[i : i + GRADIENT_WINDOWS]
+            target = np.where(inner < w.left[s][:, None], self.v.class_of[w.targets[w.at[s]]], -1)
+            _, n, g = gradient(self.p, self.v.after, w.inputs[w.at[s]], target, w.number[s] == 0)
+            self.sum += g
+            self.n += n
+            self.gradients += 1
+            self.seen += len(s)
+            if self.adam.n < FIRST_STEPS or self.gradients >= STEP_GRADIENTS:
+                self.step()
+
+    def step(self) -> None:
+        if self.n:
+            self.adam.step(self.p.flat, self.sum / np.float32(self.n))
+            self.sum[:] = 0
+            self.n = self.gradients = 0
+
+
 class Scorer:
     """Scores id sequences: log probability (natural) of every document of a batch."""
 
@@ -251,26 +299,16 @@ class Scorer:
 
     def documents(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """``ids``: documents one after the other, each ended by the end id; ``starts``: where each begins, and the length."""
-        n = np.diff(starts)
-        per = -(-n // STRIDE)
-        doc = np.repeat(np.arange(len(n)), per)
-        number = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-        # inputs are the ids one place earlier; before a document stands the end id
-        out = np.zeros(len(n))
-        known = self.v.symbol_of[ids]
-        shifted = np.concatenate([np.zeros(LEAD + 1, np.int32), known, np.zeros(WINDOW, np.int32)])
-        shifted[LEAD + starts[1:-1]] = 0
-        padded = np.concatenate([known, np.zeros(WINDOW, np.int32)])
-        within = np.concatenate([self.v.log_within[ids], np.zeros(WINDOW, np.float32)])
-        at = starts[doc] + number * STRIDE
-        left = n[doc] - number * STRIDE
-        inputs, targets, withins = (np.lib.stride_tricks.sliding_window_view(x, w) for x, w in ((shifted, WINDOW), (padded, STRIDE), (within, STRIDE)))
+        w = Windows(self.v, ids, starts)
+        out = np.zeros(len(starts) - 1)
+        within = np.lib.stride_tricks.sliding_window_view(np.concatenate([self.v.log_within[ids], np.zeros(WINDOW, np.float32)]), STRIDE)
         inner = np.arange(STRIDE)
-        for i in range(0, len(doc), BLOCK):
+        for i in range(0, len(w.doc), BLOCK):
             s = slice(i, i + BLOCK)
-            lp = self.symbols(inputs[at[s]], number[s] == 0, targets[at[s]])
-            lp += withins[at[s]]
-            ends = np.flatnonzero(left[s] < STRIDE)
-            lp[ends] = np.where(inner < left[s][ends, None], lp[ends], 0)
-            out += np.bincount(doc[s], lp.sum(1, dtype=np.float64), len(n))
+            at, left = w.at[s], w.left[s]
+            lp = self.symbols(w.inputs[at], w.number[s] == 0, w.targets[at])
+            lp += within[at]
+            ends = np.flatnonzero(left < STRIDE)
+            lp[ends] = np.where(inner < left[ends, None], lp[ends], 0)
+            out += np.bincount(w.doc[s], lp.sum(1, dtype=np.float64), len(out))
         return out

@@ -3,9 +3,9 @@
 Three passes over the documents:
 
 * word counts of all training documents (each task counts, then words meet);
-* training: each training document gives every ``EVERY``-th of its windows (at
-  least one), so the training set grows with the corpus. Tasks take steps on
-  their own documents, and weights are averaged over tasks by tokens seen,
+* training: steps on every window of every training document, the same windows
+  that scoring uses, so each id is learned from once. Tasks take steps on
+  their own documents, and weights are averaged over tasks by windows seen,
   ``ROUNDS`` times over as many shares of the documents. Averages are taken in
   two levels, so at most ``GROUPS`` weight vectors reach the driver;
 * scoring: subword ids of each document run through overlapping windows, each id
@@ -13,14 +13,19 @@ Three passes over the documents:
 
 Id counts, classes and the table of classes after classes come from the exact
 word counts. The ``FREQUENT`` most frequent words (of at most ``FREQUENT_BYTES``)
-are broadcast with their counts and ids. Every other word of a document is a row
-that meets its count by a join; such a word is rarer than all broadcast ones, so
-no key of that join is hot.
+are broadcast with their counts: those whose count is at least the lowest that
+keeps within that number. Every other word of a document is a row
+that meets its count by a join; where such a word (a very long one) is hot, its rows
+are dealt over many tasks.
 
-Defined results: a null or empty text is the end token alone; null doc_ids count
+The model knows the ``attention.SYMBOLS`` - 1 most frequent subword ids apart; all
+others are one symbol to it, and share that symbol's probability by their counts.
+
+Defined results: a null or empty text is the end token alone; very long texts are
+scored whole, and a word over ``WORD_CHARS`` characters is encoded in pieces; null doc_ids count
 as the empty text in the split; with nothing to learn from the model is its
-smoothed table; repeated rows are scored each (and learned from each); an empty
-table gives no rows; other columns are ignored.
+smoothed table; of equally frequent words all or none are broadcast; repeated rows are scored each (and learned from each); an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,19 +46,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import attention as A
-from quillon.llm.common import bucket, materialize, pick, release, table
+from quillon.llm.common import bucket, hot_keys, materialize, most_frequent, pick, release, spread_join, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 FREQUENT = 262_144
 FREQUENT_BYTES = 64
 #: Distinct words that a task counts before it passes them on.
 COUNT_WORDS = 400_000
-CHUNK_WORDS = 14
-CONTEXT_WORDS = 4
-EVERY = 12
 ROUNDS = 3
-STEP_WINDOWS = 32
 GROUPS = 32
+#: Documents whose windows are mixed with one another, and whose words meet one table.
+DOCS = 128
 #: A longer word is encoded in pieces.
 WORD_CHARS = 4096
 #: Words that one call encodes.
@@ -224,62 +227,36 @@ def learn_vocabulary(counts: DataFrame, ranks, end: int, n_docs: int) -> A.Vocab
     return A.vocabulary(size, n, tuple(kept[c].to_numpy(np.int64) for c in ("a", "b", "n")))
 
 
-def _windows(words: list[bytes], pick_from: int) -> Iterator[tuple[list[bytes], bool]]:
-    """Word runs of a document's chosen windows, and whether a run begins the document."""
-    chunks = -(-len(words) // CHUNK_WORDS)
-    for j in range(pick_from % min(EVERY, chunks), chunks, EVERY):
-        at = max(0, j * CHUNK_WORDS - CONTEXT_WORDS)
-        yield words[at : (j + 1) * CHUNK_WORDS], at == 0
+def _document_words(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
+    """The words of documents one after the other, each ended by ``END``, and where each begins, and the length."""
+    words: list[bytes] = []
+    ends = [0]
+    for t in texts:
+        words += words_of(t)
+        words.append(END)
+        ends.append(len(words))
+    return words, np.array(ends)
 
 
 def train_round(docs: DataFrame, vocabulary, frequent, ranks, flat: np.ndarray, rate: float = A.RATE) -> np.ndarray:
-    """Weights after a pass over the chosen windows of ``docs``: the tasks' averages, by windows seen."""
+    """Weights after a pass over all windows of ``docs``: the tasks' averages, by windows seen."""
     start = docs.sparkSession.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
         table = _table(frequent, ranks)
-        p = A.Parameters(v.symbols, start.value.copy())
-        adam, log_after, seen, part = A.Adam(len(p.flat), rate), np.log(np.maximum(v.after, 1e-30)), 0, 0
-        held: list[tuple[list[bytes], bool]] = []
-
-        def steps(last: bool) -> None:
-            nonlocal held, seen
-            words = [w for run, _ in held for w in run]
-            ids, at = table.ids(table.numbers(words))
-            ends = at[np.cumsum([0, *(len(r) for r, _ in held)])]
-            whole = len(held) if last else len(held) // STEP_WINDOWS * STEP_WINDOWS
-            for lo in range(0, whole, STEP_WINDOWS):
-                n = min(STEP_WINDOWS, whole - lo)
-                inputs = np.full((n, A.WINDOW), v.end, np.int64)
-                target = np.full((n, A.WINDOW), -1, np.int64)
-                padded = np.zeros((n, A.WINDOW), bool)
-                for i in range(n):
-                    x = ids[ends[lo + i] : ends[lo + i + 1]]
-                    if held[lo + i][1]:
-                        # a document's beginning: padding, then the end id as its first input
-                        x = np.concatenate([[v.end], x])[: A.STRIDE + 1]
-                        inputs[i, A.LEAD : A.LEAD + len(x) - 1] = x[:-1]
-                        target[i, A.LEAD : A.LEAD + len(x) - 1] = v.class_of[v.symbol_of[x[1:]]]
-                        padded[i, : A.LEAD] = True
-                    else:
-                        x = x[: A.WINDOW + 1]
-                        inputs[i, : len(x) - 1] = x[:-1]
-                        target[i, : len(x) - 1] = v.class_of[v.symbol_of[x[1:]]]
-                if (target >= 0).any():
-                    adam.step(p.flat, A.gradient(p, log_after, v.symbol_of[inputs], target, padded)[1])
-                seen += n
-            held = held[whole:]
-
+        trainer, part = None, 0
         for b in batches:
-            for t, h, part in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                held += _windows([*words_of(t), END], h)
-                if len(held) >= 8 * STEP_WINDOWS:
-                    steps(False)
-        if held:
-            steps(True)
-        if seen:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([seen], pa.int64()), "w": pa.array([p.flat.tobytes()], pa.binary())})
+            for lo in range(0, len(b), DOCS):
+                some = b.slice(lo, DOCS)
+                if trainer is None:
+                    part = some.column("part")[0].as_py()
+                    trainer = A.Trainer(vocabulary.value, start.value, rate, part)
+                words, ends = _document_words(some.column("text").to_pylist())
+                ids, at = table.ids(table.numbers(words))
+                trainer.documents(ids, at[ends])
+        if trainer is not None and trainer.seen:
+            trainer.step()
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([trainer.seen], pa.int64()), "w": pa.array([trainer.p.flat.tobytes()], pa.binary())})
 
     def average(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(len(start.value)), 0
@@ -290,7 +267,7 @@ def train_round(docs: DataFrame, vocabulary, frequent, ranks, flat: np.ndarray,
         if n:
             yield pd.DataFrame({"n": [n], "w": [(total / n).astype(np.float32).tobytes()]})
 
-    rows = _texts(docs).select("text", F.abs(F.xxhash64("text", F.lit(9)) % 1_000_003).alias("h"), F.spark_partition_id().alias("part"))
+    rows = _texts(docs).select("text", F.spark_partition_id().alias("part"))
     local = rows.mapInArrow(run, "part int, n long, w binary")
     # written first: training is not repeated when an executor is lost
     got = materialize(local, "weights").repartition(GROUPS, "part").sortWithinPartitions("part").mapInPandas(average, "n long, w binary").collect()
@@ -300,8 +277,8 @@ def train_round(docs: DataFrame, vocabulary, frequent, ranks, flat: np.ndarray,
     return (np.stack([np.frombuffer(bytes(r["w"]), np.float32) for r in got]) * (n / n.sum())[:, None]).sum(0).astype(np.float32)
 
 
-def score(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
+def score(docs: DataFrame, ranks_path: str | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row. Without ``rounds`` the model is its counted table."""
     spark = docs.sparkSession
     with open(ranks_path or public_tokenizers.path(RANKS), "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
@@ -310,15 +287,17 @@ def score(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     counts = count_words(learn)
     n, v, n_docs = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1)), F.max(F.when(F.octet_length("word") == 0, F.col("c")))).first())
     unit = math.log10(n + v + 1) if n else 0.0
-    top = counts.filter(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
+    short = counts.filter(F.octet_length("word") <= FREQUENT_BYTES)
+    least = most_frequent(short, "c", FREQUENT)
+    top = short.filter(F.col("c") >= least).toArrow()
     words, c = top.column("word").to_pylist(), top.column("c").to_numpy()
     frequent = spark.sparkContext.broadcast((uuid.uuid4().hex, words, c))
     vocabulary = learn_vocabulary(counts, ranks, end, n_docs)
     shared = spark.sparkContext.broadcast(vocabulary)
     flat = A.Parameters(vocabulary.symbols).flat
-    for r in range(ROUNDS):
-        share = learn.filter(F.pmod(F.xxhash64(*[F.col(f"`{x}`") for x in ("doc_id", "text") if x in docs.columns]), F.lit(ROUNDS)) == r)
-        flat = train_round(share, shared, frequent, ranks, flat, A.RATE * (1 - r / ROUNDS))
+    for r in range(rounds):
+        share = learn.filter(F.pmod(F.xxhash64(*[F.col(f"`{x}`") for x in ("doc_id", "text") if x in docs.columns]), F.lit(rounds)) == r)
+        flat = train_round(share, shared, frequent, ranks, flat, A.RATE * (1 - r / rounds))
     weights = spark.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,15 +306,10 @@ def score(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
         at = _table(frequent, ranks)
         logs = np.log10(c + 1.0) - unit
         for b in batches:
-            for lo in range(0, len(b), 128):
-                part = b.slice(lo, 128)
-                words: list[bytes] = []
-                ends = [0]
-                for t in part.column("text").to_pylist():
-                    words += words_of(t)
-                    words.append(END)
-                    ends.append(len(words))
-                numbers, ends = at.numbers(words), np.array(ends)
+            for lo in range(0, len(b), DOCS):
+                part = b.slice(lo, DOCS)
+                words, ends = _document_words(part.column("text").to_pylist())
+                numbers = at.numbers(words)
                 ids, starts = at.ids(numbers)
                 new = at.new
                 often = numbers < len(known)
@@ -352,9 +326,9 @@ def score(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     rows = _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, found long, base double, score double, rare array<struct<word:binary,tf:long>>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     asked = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.tf")
-    # words of the broadcast table are asked for by no row
-    rest = counts.filter((F.col("c") <= (int(c[-1]) if len(c) else 0)) | (F.octet_length("word") > FREQUENT_BYTES))
-    met = asked.join(rest, "word", "left").groupBy("row").agg(F.sum(F.col("tf") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - unit)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more_found"))
+    # words of the broadcast table are asked for by no row; a word may be hot only if it is long
+    rest = counts.filter((F.col("c") < least) | (F.octet_length("word") > FREQUENT_BYTES))
+    met = spread_join(asked, rest, ["word"], hot_keys(rest, ["word"], "c"), ["row"]).groupBy("row").agg(F.sum(F.col("tf") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - unit)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more_found"))
     return rows.drop("rare").join(met, "row", "left").select(
         "doc_id", (~training()).alias("held_out"), "n_tokens", (F.col("found") + F.coalesce("more_found", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
     )
