@@ -61,6 +61,7 @@ def test_trouble(spark, docs, none, tmp_path):
     for d in (docs, none):
         for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
             out = stage(spark, d, str(tmp_path))
-            assert out.count() <= d.count() * (2 if name == "mixing" else 1), name
+            # mixing repeats rows of rare classes; every other stage only takes away
+            assert out.count() <= (sum(r.copies for r in mixing.report(d).collect()) if name == "mixing" else d.count()), name
             if k < 4:
                 assert out.columns == d.columns
