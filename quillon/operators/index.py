@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.storage import materialize
 
 # Fixed values
 K1, B = 1.5, 0.75
@@ -67,13 +68,19 @@ def hits(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     """id, dl, term, tf, df of the postings of ``terms`` (one column, term) alone."""
     rows = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     tf = rows.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = materialize(tf, "postings")  # read twice: for the frequencies too
     return tf.join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
 
 
 def bm25_scores(tokens: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, id, lex of every pair that shares a term."""
+    return posting_scores(hits(tokens, query_tokens(queries)), corpus_stats(tokens), queries, k1, b)
+
+
+def posting_scores(postings: DataFrame, stats: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """``bm25_scores`` from postings (see ``hits``) and the one row of corpus statistics."""
     q = query_tokens(queries)
-    scored = hits(tokens, q).crossJoin(F.broadcast(corpus_stats(tokens)))
+    scored = postings.crossJoin(F.broadcast(stats))
     norm = k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl"))
     scored = scored.select("id", "term", (idf(F.col("df"), F.col("n")) * (F.col("tf") * (k1 + 1.0)) / (F.col("tf") + norm)).alias("s"))
     return scored.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("s") * F.col("qtf")).alias("lex"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import predicates as P
 from quillon.operators import index as I
+from quillon.storage import materialize
 
 # Fixed values
 RRF_K = 60
@@ -27,39 +28,50 @@ RARE_FLOOR = 0.10
 SIBLING_CAP = 12
 TOP_K = 5
 MIN_SCORE = 0.18
-#: Queries per pass over the matrix: bounds what is sent to executors.
-QUERY_BLOCK = 4096
+#: Rows of a block of queries and of the matrix: bounds what one product holds.
+QUERY_ROWS = 512
+MATRIX_ROWS = 2048
 
 
 def dense_pairs(embeddings: DataFrame, queries: DataFrame, least: float) -> DataFrame:
     """query_id, chunk_idx, dense of pairs with dense >= least.
 
-    ``embeddings``: chunk_idx, embedding. ``queries``: query_id, embedding. Queries
-    are sent out in blocks; each row of the matrix is read once a block.
+    ``embeddings``: chunk_idx, embedding. ``queries``: query_id, embedding. Both are
+    packed into blocks; the matrix's blocks are dealt into slots and each block of
+    queries goes to every slot by a join, so neither passes through the driver.
     """
-    spark = queries.sparkSession
-    rows = [(r[0], r[1]) for r in queries.filter("embedding is not null").select("query_id", "embedding").collect()]
-    out = None
-    for i in range(0, len(rows), QUERY_BLOCK):
-        ids = np.array([r[0] for r in rows[i : i + QUERY_BLOCK]], np.int64)
-        q = np.array([r[1] for r in rows[i : i + QUERY_BLOCK]], np.float64)
-
-        def scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for lo in range(0, len(b), 1024):
-                    part = b.slice(lo, 1024)
-                    e = part.column(1)
-                    ok = np.flatnonzero(np.asarray(e.is_valid()))
-                    if not len(ok):
-                        continue
-                    x = np.asarray(e.drop_null().flatten(), np.float64).reshape(len(ok), -1)
-                    s = x @ q.T
-                    at, qi = np.nonzero(s >= least)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[qi]), pa.array(part.column(0).to_numpy()[ok][at].astype(np.int64)), pa.array(s[at, qi])], ["query_id", "chunk_idx", "dense"])
-
-        got = embeddings.select(F.col("chunk_idx").cast("long").alias("chunk_idx"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(scan, "query_id long, chunk_idx long, dense double")
-        out = got if out is None else out.unionByName(got)
-    return spark.createDataFrame([], "query_id long, chunk_idx long, dense double") if out is None else out
+    slots = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = _packed(queries, "query_id", QUERY_ROWS).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    e = _packed(embeddings, "chunk_idx", MATRIX_ROWS).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, x, q_ids, y in zip(*(b.column(c).to_pylist() for c in ("ids", "vectors", "q_ids", "q_vectors")), strict=True):
+                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
+                s = np.frombuffer(x, np.float64).reshape(len(ids), -1) @ np.frombuffer(y, np.float64).reshape(len(q_ids), -1).T
+                at, qi = np.nonzero(s >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[qi]), pa.array(ids[at]), pa.array(s[at, qi])], ["query_id", "chunk_idx", "dense"])
+
+    return e.join(q, "slot").select("ids", "vectors", "q_ids", "q_vectors").mapInArrow(scan, "query_id long, chunk_idx long, dense double")
+
+
+def _packed(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """ids, vectors: one row for every ``rows`` rows of a task that have a vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), rows):
+                part = b.slice(lo, rows)
+                ids, x = part.column(0).to_numpy(), np.asarray(part.column(1).flatten(), np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["ids", "vectors"])
+
+    held = df.filter("embedding is not null").select(F.col(id_col).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return held.mapInArrow(run, "ids binary, vectors binary")
+
+
+def _even(c: str) -> Column:
+    """A score for ordering: sums in another order are ties."""
+    return F.desc(F.round(c, 9))
 
 
 def cosine_of(pairs: DataFrame, embeddings: DataFrame, queries: DataFrame) -> DataFrame:
@@ -75,14 +87,14 @@ def _rank(*order: Column) -> Column:
 
 def dense_rank(pairs: DataFrame, gate: float = MIN_SCORE) -> DataFrame:
     """Pairs at or above the gate, with rank_dense."""
-    return pairs.filter(F.col("dense") >= gate).withColumn("rank_dense", _rank(F.desc("dense"), F.col("chunk_idx")))
+    return pairs.filter(F.col("dense") >= gate).withColumn("rank_dense", _rank(_even("dense"), F.col("chunk_idx")))
 
 
 def lexical_rank(ranked: DataFrame, lexical: DataFrame) -> DataFrame:
     """With lex (0 if no term is shared) and rank_lex (null then)."""
     d = ranked.join(lexical.select("query_id", F.col("id").alias("chunk_idx"), "lex"), ["query_id", "chunk_idx"], "left").withColumn("lex", F.coalesce("lex", F.lit(0.0)))
     # pairs without a lexical score sort last, so the others' numbers are their ranks
-    return d.withColumn("rank_lex", F.when(F.col("lex") > 0, _rank(F.desc("lex"), F.col("rank_dense"))))
+    return d.withColumn("rank_lex", F.when(F.col("lex") > 0, _rank(_even("lex"), F.col("rank_dense"))))
 
 
 def recency_rank(ranked: DataFrame) -> DataFrame:
@@ -96,7 +108,7 @@ def fuse(ranked: DataFrame) -> DataFrame:
     lex = F.coalesce(1.0 / (RRF_K + F.col("rank_lex")), F.lit(0.0))
     dated = F.when(F.col("date").isNull(), 0.0).when(F.col("recency"), 1.0 / (RECENCY_K + F.col("rank_date"))).otherwise(-DATED_PENALTY)
     d = ranked.withColumn("fused", 1.0 / (RRF_K + F.col("rank_dense")) + lex + dated)
-    return d.withColumn("rank_fused", _rank(F.desc("fused"), F.desc("dense"), F.col("rank_dense")))
+    return d.withColumn("rank_fused", _rank(_even("fused"), _even("dense"), F.col("rank_dense")))
 
 
 def diverse_topk(fused: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -123,7 +135,7 @@ def rare_rescue(results: DataFrame, pairs: DataFrame, postings: DataFrame, lexic
     cands = cands.join(results.select("query_id", "chunk_idx"), ["query_id", "chunk_idx"], "left_anti")
     cands = cands.join(pairs.filter(F.col("dense") >= floor), ["query_id", "chunk_idx"])
     cands = cands.join(lexical.select("query_id", F.col("id").alias("chunk_idx"), "lex"), ["query_id", "chunk_idx"])
-    return cands.withColumn("pos", _rank(F.desc("lex"), F.col("chunk_idx"))).filter(F.col("pos") <= RARE_CAP).select("query_id", "chunk_idx", "dense", "pos")
+    return cands.withColumn("pos", _rank(_even("lex"), F.col("chunk_idx"))).filter(F.col("pos") <= RARE_CAP).select("query_id", "chunk_idx", "dense", "pos")
 
 
 def table_siblings(results: DataFrame, groups: DataFrame) -> DataFrame:
@@ -145,16 +157,17 @@ def search(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int
     """
     asked = queries.filter(F.length(F.trim("query")) > 0)
     floor = min(gate, RARE_FLOOR)
-    pairs = dense_pairs(embeddings, asked, floor)
-    tokens = I.tokenized(chunks, "chunk_idx", I.embed_text(F.col("title"), F.col("source_path"), F.col("heading_path"), F.col("text")))
-    lexical = I.bm25_scores(tokens, asked)
+    # what several steps read is computed once
+    pairs = materialize(dense_pairs(embeddings, asked, floor), "pairs")
+    tokens = materialize(I.tokenized(chunks, "chunk_idx", I.embed_text(F.col("title"), F.col("source_path"), F.col("heading_path"), F.col("text"))), "tokens")
+    postings = materialize(I.hits(tokens, I.query_tokens(asked)), "postings")
+    lexical = materialize(I.posting_scores(postings, I.corpus_stats(tokens), asked), "lexical")
     names = chunks.select("chunk_idx", "source_path", "heading_path")
     ranked = lexical_rank(dense_rank(pairs, gate), lexical).join(names, "chunk_idx")
     ranked = ranked.join(asked.select("query_id", P.recency_query(F.col("query")).alias("recency")), "query_id")
-    top = diverse_topk(fuse(recency_rank(ranked)), k).select("query_id", "chunk_idx", "dense", "pos")
-    postings = I.hits(tokens, I.query_tokens(asked)).select("id", "term", "df")
-    rescued = rare_rescue(top, pairs, postings, lexical, asked, floor)
-    both = top.unionByName(rescued.withColumn("pos", F.col("pos") + k))
+    top = materialize(diverse_topk(fuse(recency_rank(ranked)), k).select("query_id", "chunk_idx", "dense", "pos"), "top")
+    rescued = rare_rescue(top, pairs, postings.select("id", "term", "df"), lexical, asked, floor)
+    both = materialize(top.unionByName(rescued.withColumn("pos", F.col("pos") + k)), "found")
     added = cosine_of(table_siblings(both.join(names, "chunk_idx"), I.table_groups(chunks)), embeddings, asked)
     out = both.select("query_id", "chunk_idx", "dense", F.col("pos").alias("trigger"), F.lit(0).alias("nth")).unionByName(added.select("query_id", "chunk_idx", "dense", "trigger", "nth"))
     return out.withColumn("pos", _rank(F.col("trigger"), F.col("nth"))).select("query_id", "pos", "chunk_idx", F.col("dense").alias("score"))

@@ -90,7 +90,7 @@ def _dispatched(spark: SparkSession, d: str) -> DataFrame:
 _HELP = "Use: !ask <question>. Commands: !ask help, !ask status, !ask whoami, !ask admins, !ask history <on|off|toggle|status>, !ask clear_context, !ask reload_retriever, !ask stop"
 DISPATCHED = f"""
 SELECT c_custkey, cmd AS command, allowed::BIGINT AS allowed, CASE WHEN needed THEN 'admin_required' ELSE 'open_command' END AS reason,
-  CASE WHEN NOT allowed THEN 'No permission.' WHEN cmd IN ('stop', 'quit') THEN 'Stopping Quill chatbot.'
+  CASE WHEN NOT allowed THEN 'No permission.' WHEN cmd IN ('stop', 'quit') THEN 'Stopping Quill.'
     WHEN cmd = 'status' THEN 'Quill online. speaker=' || c_name || ' rank=' || rank || ' admin=' || yes || ' wiki_chunks=7 llm_chat=off llm_selector=off history=on'
     WHEN cmd = 'whoami' THEN 'Parsed speaker=' || c_name || ', rank=' || rank || '. admin=' || yes || '.' WHEN cmd = 'admins' THEN 'Admin names: Customer#000000001, customer#000000012. Admin ranks: BUILDING, Machinery.'
     WHEN cmd = 'clear_context' THEN 'Conversation context cleared.' WHEN cmd = 'history' AND q = 'ctx on' THEN 'Conversation history enabled.' WHEN cmd = 'history' THEN 'Usage: !ask history <on|off|toggle|status>'

@@ -1,8 +1,9 @@
 """Queries of hybrid retrieval: ``documents`` as chunks, ``embeddings`` as their matrix, ``benchmark`` as queries.
 
 Sources and headings are built from language and source, so several chunks share
-one; some are dated, and some texts become tables. A query's vector is that of
-the row whose id is the item's plus one hundred.
+one; some are dated, and some texts end in a table. There are fewer vectors than
+documents: a document or query has the vector of its number's remainder, so many
+share one, and every document and item takes part.
 """
 
 from __future__ import annotations
@@ -17,55 +18,57 @@ from quillon.queries import sql as Q
 from quillon.queries.text import table
 
 
-def chunks(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Documents that have a vector, as chunks; all documents if ``whole``."""
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, as chunks: every fifth as one line with a table behind it."""
     i = F.col("doc_id")
     month = F.lpad((i % 12 + 1).cast("string"), 2, "0")
     path = F.when(i % 7 == 0, F.concat(F.lit("log/"), F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.lit("-"), month, F.lit("-25.md"))).otherwise(F.concat(F.lit("wiki/"), F.col("lang"), F.lit("/"), F.col("source"), F.lit(".md")))
-    text = F.when(i % 5 == 0, F.concat(F.col("source"), F.lit("\n| "), F.col("lang"), F.lit(" | "), i.cast("string"), F.lit(" |\n| size | "), F.col("n_chars").cast("string"), F.lit(" |"))).otherwise(F.col("text"))
-    held = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    docs = table(spark, d, "documents")
-    docs = docs if whole else docs.join(held, "doc_id", "left_semi")
-    return docs.select(i.alias("chunk_idx"), path.alias("source_path"), F.col("source").alias("title"), F.array("lang").alias("heading_path"), text.alias("text"), (i % 100).cast("int").alias("start_char"))
+    text = F.when(i % 5 == 0, F.concat(F.translate("text", "\n\r|", "   "), F.lit("\n| "), F.col("lang"), F.lit(" | "), i.cast("string"), F.lit(" |\n| size | "), F.col("n_chars").cast("string"), F.lit(" |"))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select(i.alias("chunk_idx"), path.alias("source_path"), F.col("source").alias("title"), F.array("lang").alias("heading_path"), text.alias("text"), (i % 100).cast("int").alias("start_char"))
+
+
+def _with_vector(spark: SparkSession, d: str, rows: DataFrame, number) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return rows.withColumn("vec_id", number % e.count()).join(e, "vec_id").drop("vec_id")
 
 
 def matrix(spark: SparkSession, d: str) -> DataFrame:
-    ids = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"))
-    return table(spark, d, "embeddings").join(ids, "vec_id", "left_semi").select(F.col("vec_id").alias("chunk_idx"), "embedding")
+    return _with_vector(spark, d, table(spark, d, "documents").select(F.col("doc_id").alias("chunk_idx")), F.col("chunk_idx"))
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
     words = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("whats new "), F.col("text"))).otherwise(F.col("text"))
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("query"), (F.col("item_id") + 100).alias("vec_id"))
-    return b.join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id").drop("vec_id")
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("query"))
+    return _with_vector(spark, d, b, F.col("query_id") + 100)
 
 
-_TEXT = "CASE WHEN doc_id % 5 = 0 THEN concat(source, chr(10), '| ', lang, ' | ', doc_id, ' |', chr(10), '| size | ', n_chars, ' |') ELSE text END"
+_TEXT = "CASE WHEN doc_id % 5 = 0 THEN translate(text, chr(10) || chr(13) || '|', '   ') || chr(10) || '| ' || lang || ' | ' || doc_id || ' |' || chr(10) || '| size | ' || n_chars || ' |' ELSE text END"
 _PATH = "CASE WHEN doc_id % 7 = 0 THEN concat('log/', lpad((doc_id % 28 + 1)::VARCHAR, 2, '0'), '-', lpad((doc_id % 12 + 1)::VARCHAR, 2, '0'), '-25.md') ELSE concat('wiki/', lang, '/', source, '.md') END"
 _INDEXED = "concat('Title: ', source, chr(10), 'Path: ', path, chr(10), 'Heading: ', lang, chr(10), chr(10), text)"
 BASE = f"""WITH
 c AS (SELECT doc_id AS id, {_PATH} AS path, lang, source, {_TEXT} AS text, doc_id % 100 AS start, CASE WHEN doc_id % 7 = 0 THEN [25, doc_id % 12 + 1, doc_id % 28 + 1] END AS date, doc_id % 5 = 0 AS fragment
-      FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
-q AS (SELECT item_id AS q, CASE WHEN item_id % 3 = 0 THEN 'whats new ' || text ELSE text END AS query, embedding AS e FROM benchmark JOIN embeddings ON vec_id = item_id + 100),
-sim AS (SELECT q, id, list_dot_product(q.e::DOUBLE[], m.embedding::DOUBLE[]) AS dense FROM q, c JOIN embeddings m ON m.vec_id = c.id),
+      FROM documents),
+m AS (SELECT doc_id AS id, embedding FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)),
+q AS (SELECT item_id AS q, CASE WHEN item_id % 3 = 0 THEN 'whats new ' || text ELSE text END AS query, embedding AS e FROM benchmark JOIN embeddings ON vec_id = (item_id + 100) % (SELECT count(*) FROM embeddings)),
+sim AS (SELECT q, id, list_dot_product(q.e::DOUBLE[], m.embedding::DOUBLE[]) AS dense FROM q, m),
 tok AS (SELECT id, {Q.tokens(_INDEXED)} AS t FROM c),
 post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM tok) GROUP BY ALL),
 stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 qt AS (SELECT q, term, count(*) AS qtf FROM (SELECT q, unnest({Q.tokens('query')}) AS term FROM q) GROUP BY ALL),
 lex AS (SELECT q, id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avgdl))) AS lex FROM qt JOIN post USING (term) JOIN df USING (term) JOIN tok USING (id), stats GROUP BY q, id),
-d AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dense DESC, id) AS rd FROM sim WHERE dense >= 0.18),
-l AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY lex DESC, rd) AS rl FROM d JOIN lex USING (q, id)),
+d AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(dense, 9) DESC, id) AS rd FROM sim WHERE dense >= 0.18),
+l AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY round(lex, 9) DESC, rd) AS rl FROM d JOIN lex USING (q, id)),
 n AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY date DESC, rd) AS rn FROM d JOIN c USING (id) WHERE date IS NOT NULL),
 f AS (SELECT q, id, dense, path, lang, rd, rl, rn,
         1.0::DOUBLE / (60 + rd) + coalesce(1.0::DOUBLE / (60 + rl), 0) + CASE WHEN rn IS NULL THEN 0 WHEN regexp_matches({Q.compact('query')}, '{P.RECENCY}') THEN 1.0::DOUBLE / (2 + rn) ELSE -1 END AS fused
       FROM d JOIN c USING (id) JOIN q USING (q) LEFT JOIN l USING (q, id) LEFT JOIN n USING (q, id)),
-o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY fused DESC, dense DESC, rd) AS rf FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(fused, 9) DESC, round(dense, 9) DESC, rd) AS rf FROM f),
 k AS (SELECT *, row_number() OVER (PARTITION BY q, path, lang ORDER BY rf) AS nth FROM o),
 top AS (SELECT * FROM (SELECT q, id, dense, path, lang, row_number() OVER (PARTITION BY q ORDER BY rf) AS pos FROM k WHERE rf <= 3 OR nth = 1) WHERE pos <= 5),
 rare AS (SELECT DISTINCT q, term, id FROM qt JOIN post USING (term) JOIN df USING (term) WHERE df <= 8),
 open AS (SELECT q, term FROM rare GROUP BY q, term HAVING NOT bool_or((q, id) IN (SELECT (q, id) FROM top))),
-resc AS (SELECT * FROM (SELECT q, id, dense, row_number() OVER (PARTITION BY q ORDER BY lex DESC, id) AS pos
+resc AS (SELECT * FROM (SELECT q, id, dense, row_number() OVER (PARTITION BY q ORDER BY round(lex, 9) DESC, id) AS pos
           FROM (SELECT DISTINCT q, id FROM rare JOIN open USING (q, term)) JOIN sim USING (q, id) JOIN lex USING (q, id) WHERE dense >= 0.1 AND (q, id) NOT IN (SELECT (q, id) FROM top)) WHERE pos <= 3),
 res AS (SELECT q, id, dense, pos FROM top UNION ALL SELECT q, id, dense, pos + 5 FROM resc),
 trig AS (SELECT q, path, lang, min(pos) AS trigger FROM res JOIN c USING (id) GROUP BY ALL),
@@ -76,10 +79,6 @@ final AS (SELECT q, id, dense, row_number() OVER (PARTITION BY q ORDER BY trigge
 """
 
 
-WHOLE = f"""WITH c AS (SELECT doc_id AS id, {_PATH} AS path, lang, source, {_TEXT} AS text, doc_id % 100 AS start, doc_id % 5 = 0 AS fragment FROM documents)
-"""
-
-
 def _long(name: str):
     return F.col(name).cast("long").alias(name)
 
@@ -136,7 +135,4 @@ QUERIES: dict[str, tuple] = {
     "hybrid_search": (lambda s, d: _found(s, d).select("query_id", _long("pos"), "chunk_idx", F.round("score", 6).alias("score")), BASE + "SELECT q AS query_id, pos, id AS chunk_idx, round(dense, 6) AS score FROM final"),
     "table_groups": (lambda s, d: _groups(chunks(s, d)), BASE + "SELECT path AS source_path, lang AS heading, id AS chunk_idx, row_number() OVER (PARTITION BY path, lang ORDER BY start, id) AS place FROM c WHERE fragment"),
     "embed_text": (lambda s, d: _embedded(chunks(s, d)), BASE + f"SELECT id AS chunk_idx, md5({_INDEXED}) AS md5 FROM c"),
-    # neither needs a vector: the same over all documents
-    "table_groups_all": (lambda s, d: _groups(chunks(s, d, whole=True)), WHOLE + "SELECT path AS source_path, lang AS heading, id AS chunk_idx, row_number() OVER (PARTITION BY path, lang ORDER BY start, id) AS place FROM c WHERE fragment"),
-    "embed_text_all": (lambda s, d: _embedded(chunks(s, d, whole=True)), WHOLE + f"SELECT id AS chunk_idx, md5({_INDEXED}) AS md5 FROM c"),
 }

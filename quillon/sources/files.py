@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,11 +34,27 @@ def _quote(s: str) -> str:
 def read_files(spark: SparkSession, root: str, globs: list[str]) -> DataFrame:
     """path, text of each file below ``root`` that a glob names, once; broken bytes become U+FFFD."""
     out = None
-    for g in dict.fromkeys(PurePosixPath(x).name for x in globs):
-        got = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", g).load(root)
+    for name, whole in dict.fromkeys((PurePosixPath(g).name, g) for g in globs):
+        # the last part of a glob prunes the listing, the folders before it what is read
+        got = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
+        got = got.withColumn("below", relative_path(F.col("path"), root)).filter(F.col("below").rlike(glob_pattern(whole)))
         out = got if out is None else out.unionByName(got)
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    return out.dropDuplicates(["path"]).select(relative_path(F.col("path"), root).alias("path"), text.alias("text"))
+    return out.dropDuplicates(["path"]).select(F.col("below").alias("path"), text.alias("text"))
+
+
+def glob_pattern(g: str) -> str:
+    """A glob as a pattern of relative paths: ``**`` is any number of folders, ``*`` and ``?`` stay in one."""
+    out = []
+    parts = PurePosixPath(g).parts
+    for i, part in enumerate(parts):
+        if part == "**":
+            out.append("(?:[^/]+/)*" if i < len(parts) - 1 else "[^/]+")
+            continue
+        for piece in re.findall(r"\*+|\?|\[!?\]?[^\]]*\]|.", part):
+            out.append("[^/]*" if piece[0] == "*" else "[^/]" if piece == "?" else "[^" + piece[2:] if piece.startswith("[!") else piece if piece[0] == "[" and len(piece) > 1 else _quote(piece))
+        out.append("/" if i < len(parts) - 1 else "")
+    return r"\A" + "".join(out) + r"\z"
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:

@@ -34,14 +34,14 @@ def _stateful(df: DataFrame, key: str, order: list[str], load: Callable[[Any], A
 
 
 def minute_limiter(events: DataFrame, key: str, ts: str, tie: str, cap: int) -> DataFrame:
-    return _stateful(events, key, [ts, tie], lambda s: Limits(cap, deque(s or [])), lambda h: list(h.times), lambda h, r: h.allow(getattr(r, ts)), "allowed", "boolean")
+    return _stateful(events, key, [ts, tie], lambda s: Limits(cap, s or []), lambda h: list(h.times), lambda h, r: h.allow(getattr(r, ts)), "allowed", "boolean")
 
 
 def cooldown(events: DataFrame, channel: str, user: str, ts: str, tie: str, chat: Chat) -> DataFrame:
     def load(s: dict | None) -> Cooldown:
-        c = Cooldown(chat.cooldown_seconds, chat.user_cooldown_seconds, Limits(chat.max_replies_per_minute))
+        c = Cooldown(chat.cooldown_seconds, chat.user_cooldown_seconds, Limits(chat.max_replies_per_minute, s["times"] if s else ()))
         if s:
-            c.last, c.users, c.minute.times = s["last"], dict(s["users"]), deque(s["times"])
+            c.last, c.users = s["last"], dict(s["users"])
         return c
 
     save = lambda c: {"last": c.last, "users": list(c.users.items()), "times": list(c.minute.times)}

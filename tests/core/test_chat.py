@@ -36,7 +36,7 @@ def test_commands(spark):
     d = spark.createDataFrame(rows, "line_id long, speaker string, rank string, question string")
     r = {x.line_id: x for x in C.dispatch(d, s, 12).collect()}
     assert r[1].reply.startswith("Quill online. speaker=Zed rank=- admin=yes wiki_chunks=12")
-    assert r[2].reply == "Stopping Quill chatbot." and r[3].reply == "No permission." and r[4].reply == "No permission." and r[4].command == "ping"
+    assert r[2].reply == "Stopping Quill." and r[3].reply == "No permission." and r[4].reply == "No permission." and r[4].command == "ping"
     assert r[5].reply is None and r[5].command is None
     assert r[6].reply.startswith("Use: !q <question>")
     assert r[7].reply == "Conversation history disabled and context cleared." and r[8].reply == "Parsed speaker=Zed, rank=-. admin=yes."

@@ -3,7 +3,7 @@ import pytest
 from quillon import catalog
 
 
-@pytest.mark.parametrize("name, every", [("embed_text_all", 1), ("table_groups_all", 5)])
+@pytest.mark.parametrize("name, every", [("embed_text", 1), ("table_groups", 5)])
 def test_no_document_is_left_out(spark, name, every):
     """On a table where only some documents have a vector."""
     sf = "/root/testdata/sf0.01"
