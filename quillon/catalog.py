@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("text", "retrieval", "extraction", "chat")
+_MODULES = ("text", "retrieval", "extraction", "chat", "stored")
 
 
 def _all() -> dict[str, tuple]:

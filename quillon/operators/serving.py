@@ -93,6 +93,6 @@ def answers(queries: DataFrame, results: DataFrame, settings: Settings, model: G
         chosen = asked.select("query_id", F.when(F.col("choice") == 0, F.lit(T.UNKNOWN_REPLY)).when(F.col("choice") > 0, picked).alias("chosen"))
         return d.join(chosen, "query_id", "left").select("query_id", F.coalesce("chosen", "answer").alias("reply"))
     if model is not None and settings.model.enabled and context is not None:
-        asked = d.filter(known).join(context, "query_id").select("query_id", T.clean_generation(generate(F.col("prompt"), model)).alias("made"))
+        asked = d.filter(known).join(context, "query_id").select("query_id", generate(F.col("prompt"), model).alias("said")).select("query_id", T.clean_generation(F.col("said")).alias("made"))
         return d.join(asked, "query_id", "left").select("query_id", F.coalesce("made", "answer").alias("reply"))
     return d.select("query_id", F.col("answer").alias("reply"))

@@ -64,13 +64,34 @@ def answer_lines(lines: DataFrame, chunks: DataFrame, embeddings: DataFrame, set
     return greeted.unionByName(answered)
 
 
-def handle_chat(lines: DataFrame, chunks: DataFrame, embeddings: DataFrame, settings: Settings, model: Embedder | None = None) -> DataFrame:
-    """line_id, part, message of what is sent for raw lines (line_id, channel, ts, raw), in order."""
+def command_replies(commands: DataFrame, settings: Settings, n_chunks: int) -> DataFrame:
+    """``commands`` (line_id, channel, ts, speaker, rank, question) with command, allowed, reason and reply, the history switch followed."""
+    ruled = C.dispatch(commands, settings, n_chunks).drop("is_admin", "reply", "reason")
+    return C.dispatch(C.history_switch(ruled, settings.chat.history_enabled).drop("command", "allowed"), settings, n_chunks, F.col("history_on"))
+
+
+def log_answers(accepted: DataFrame, answered: DataFrame, dropped: DataFrame) -> DataFrame:
+    """rank, speaker, query, reply, dropped_reason of the questions that were answered, or dropped by the cooldown."""
+    done = accepted.join(answered, "line_id").select("rank", "speaker", F.col("question").alias("query"), "reply", F.lit(None).cast("string").alias("dropped_reason"))
+    return done.unionByName(dropped.select("rank", "speaker", F.col("question").alias("query"), F.lit(None).cast("string").alias("reply"), F.lit("cooldown").alias("dropped_reason")))
+
+
+def handle_chat(lines: DataFrame, chunks: DataFrame, embeddings: DataFrame, settings: Settings, model: Embedder | None = None, sent: DataFrame | None = None, log_path: str | None = None) -> DataFrame:
+    """line_id, part, message of what is sent for raw lines (line_id, channel, ts, raw), in order.
+
+    ``sent``: what the bot itself has sent (channel, ts, text); lines that repeat
+    it are dropped. Answers and drops are added to the query log at ``log_path``.
+    """
     chat = settings.chat
-    asked = materialize(C.handle_lines(lines, settings), "asked")
+    asked = C.handle_lines(lines, settings)
+    asked = materialize(asked if sent is None else C.drop_echoes(asked, sent, chat), "asked")
     ruled = asked.filter("rule_reply is not null and rule_reply <> ''").select("line_id", T.finalize(F.col("rule_reply"), chat.reply_prefix).alias("reply"))
     rest = asked.filter("rule_name is null")
-    commands = C.dispatch(rest.filter("command is not null").drop("command"), settings, chunks.count()).select("line_id", "reply")
-    accepted = C.cooldown(rest.filter("command is null").drop("command").withColumn("who", T.normalize(F.col("speaker"))), "channel", "who", "ts", "line_id", chat).filter("allowed")
-    replies = ruled.unionByName(commands).unionByName(answer_lines(accepted, chunks, embeddings, settings, model))
+    commands = command_replies(rest.filter("command is not null").drop("command"), settings, chunks.count()).select("line_id", "reply")
+    cooled = materialize(C.cooldown(rest.filter("command is null").drop("command").withColumn("who", T.normalize(F.col("speaker"))), "channel", "who", "ts", "line_id", chat), "cooled")
+    answered = answer_lines(cooled.filter("allowed"), chunks, embeddings, settings, model)
+    if log_path is not None:
+        answered = materialize(answered, "answered")
+        files.append_log(log_answers(cooled.filter("allowed"), answered, cooled.filter("not allowed")), log_path, chat.max_chat_chars)
+    replies = ruled.unionByName(commands).unionByName(answered)
     return replies.select("line_id", F.posexplode(T.split_for_chat(F.col("reply"), chat.max_chat_chars)).alias("part", "message"))

@@ -133,6 +133,19 @@ def _cooled(spark: SparkSession, d: str) -> DataFrame:
     return C.cooldown(_timed(spark, d), "channel", "who", "ts", "event_id", chat).select("event_id", F.col("allowed").cast("long").alias("allowed"))
 
 
+# one row of each channel a step: the accepted times and speakers of the last minute go along
+COOLED = """
+WITH RECURSIVE e AS (SELECT event_id, event_type AS c, user_id % 20 AS w, event_id * 0.5::DOUBLE + (user_id % 7) * 0.25::DOUBLE AS t, row_number() OVER (PARTITION BY event_type ORDER BY event_id * 0.5::DOUBLE + (user_id % 7) * 0.25::DOUBLE, event_id) AS n FROM events),
+s AS (
+  SELECT c, n, event_id, TRUE AS ok, [{'t': t, 'w': w}] AS held FROM e WHERE n = 1
+  UNION ALL
+  SELECT c, n, event_id, ok, CASE WHEN ok THEN list_append(h, {'t': t, 'w': w}) ELSE h END
+  FROM (SELECT *, len(h) < 8 AND len(list_filter(h, lambda x: t - x.t < 2 OR (x.w = w AND t - x.t < 30))) = 0 AS ok
+        FROM (SELECT e.c, e.n, e.event_id, e.t, e.w, list_filter(s.held, lambda x: e.t - x.t <= 60) AS h FROM s JOIN e ON e.c = s.c AND e.n = s.n + 1)))
+SELECT event_id, ok::BIGINT AS allowed FROM s
+"""
+
+
 def _echo_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "events").select("event_id", _seconds().alias("ts"), T.normalize(F.concat("event_type", F.lit(" "), (F.col("user_id") % 5).cast("string"))).alias("norm"), (F.col("event_id") % 4 == 0).alias("sent"), F.lit("c").alias("channel"))
     return e.filter("not sent"), e.filter("sent")
@@ -175,6 +188,30 @@ SELECT a.event_id, (a.last IS NOT NULL AND (SELECT count(DISTINCT b.user_id) FRO
 """
 
 
+_ROLE = "CASE WHEN (conv_id + turn) % 11 = 0 THEN 'history_off' WHEN (conv_id + turn) % 7 = 0 THEN 'history_on' WHEN (conv_id + turn) % 5 = 3 THEN 'clear' ELSE role END"
+
+
+def _memory(spark: SparkSession, d: str) -> DataFrame:
+    m = C.memory(table(spark, d, "conversations").select("conv_id", "turn", F.expr(_ROLE).alias("role"), "text"), "conv_id", "turn", 6)
+    said = F.transform(F.from_json("recent", "array<array<string>>"), lambda x: F.concat(x[0], F.lit(": "), x[1]))
+    return m.select("conv_id", "turn", F.size(said).cast("long").alias("n"), F.md5(F.array_join(said, "\n")).alias("md5"))
+
+
+# what was said since the memory was last emptied, while it was on
+MEMORY = f"""
+WITH t AS (SELECT conv_id, turn, {_ROLE} AS role, text FROM conversations),
+g AS (SELECT *, count(*) FILTER (role IN ('clear', 'history_off')) OVER w AS part, coalesce(last_value(CASE role WHEN 'history_on' THEN TRUE WHEN 'history_off' THEN FALSE END IGNORE NULLS) OVER w, TRUE) AS kept
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT conv_id, turn, coalesce(list(role || ': ' || text) FILTER (kept AND role NOT IN ('clear', 'history_on', 'history_off')) OVER (PARTITION BY conv_id, part ORDER BY turn ROWS UNBOUNDED PRECEDING), [])[-6:] AS said FROM g)
+SELECT conv_id, turn, len(said) AS n, md5(array_to_string(said, chr(10))) AS md5 FROM l
+"""
+
+
+def _sessions(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "documents").select("doc_id", T.new_session_id().alias("s"))
+    return s.select("doc_id", F.length("s").cast("long").alias("size"), F.col("s").rlike("^[0-9a-f]+$").cast("long").alias("hex"))
+
+
 def _log(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("conv_id") + F.col("turn")
     r = table(spark, d, "conversations").select(F.when(i % 2 == 0, "VIP").alias("rank"), F.col("role").alias("speaker"), F.concat(F.lit("q"), i.cast("string")).alias("query"), F.when(i % 5 > 0, F.col("text")).alias("reply"), F.when(i % 7 == 0, "cooldown").alias("dropped_reason"))
@@ -224,7 +261,9 @@ QUERIES: dict[str, tuple] = {
     "is_admin": (_admins, ADMINS),
     "command_dispatch": (_dispatched, DISPATCHED),
     "minute_limiter": (_limited, LIMITED),
-    "cooldown_accept": (_cooled, None),
+    "cooldown_accept": (_cooled, COOLED),
+    "chat_memory": (_memory, MEMORY),
+    "new_sessions": (_sessions, "SELECT doc_id, 16::BIGINT AS size, 1::BIGINT AS hex FROM documents"),
     "echo_join": (_echo_join, ECHO),
     "self_echoes": (_echoes, ECHOES),
     "recent_turns": (lambda s, d: C.recent_turns(table(s, d, "conversations"), "conv_id", "turn", 6).select("conv_id", "turn", "role", "text"), "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6"),

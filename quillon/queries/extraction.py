@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.config import Settings
+from quillon.config import Model, Settings
 from quillon.functions import predicates as P
 from quillon.functions import text as T
 from quillon.operators import chunking as K
@@ -132,7 +134,7 @@ RESPONSES = f"WITH {RESULTS} SELECT page_id AS query_id, array_to_string(list_fi
 
 def _prompts(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), "turn", "role", F.col("text").alias("content"))
-    return S.prompts(questions(spark, d), X.build_context(results(spark, d), 100_000), turns, Settings()).select("query_id", F.md5("prompt").alias("md5"))
+    return S.prompts(questions(spark, d), X.build_context(results(spark, d)), turns, Settings()).select("query_id", F.md5("prompt").alias("md5"))
 
 
 _S = Settings()
@@ -144,6 +146,60 @@ SELECT p_partkey AS query_id, md5('<|system|>' || chr(10) || '{_S.prompt.system}
 FROM part JOIN ctx ON ctx.q = p_partkey LEFT JOIN rec ON rec.q = p_partkey"""
 
 
+_LONGEST = 300
+# a block a step: what is left of the budget decides whether it goes in whole, cut, or not at all
+BUDGET = f"""WITH RECURSIVE {RESULTS}, b AS (SELECT q, pos, {_BLOCK} AS block FROM r),
+s AS (SELECT DISTINCT q, 0 AS pos, 0::BIGINT AS total, []::VARCHAR[] AS parts, FALSE AS done FROM r
+  UNION ALL
+  SELECT q, pos, CASE WHEN ended THEN total ELSE total + length(t) + 2 END, CASE WHEN ended THEN parts ELSE list_append(parts, t) END, ended OR total + length(t) + 2 >= {_LONGEST}
+  FROM (SELECT s.q, b.pos, s.total, s.parts, s.done OR (length(block) > {_LONGEST} - s.total AND {_LONGEST} - s.total <= 120) AS ended,
+          CASE WHEN length(block) <= {_LONGEST} - s.total THEN block ELSE {Q.truncate('block', f'({_LONGEST} - s.total)')} END AS t FROM s JOIN b ON b.q = s.q AND b.pos = s.pos + 1))
+SELECT q AS query_id, md5(array_to_string(parts, chr(10) || chr(10))) AS md5 FROM s WHERE pos = 2"""
+
+_TEXTS = f"texts AS (SELECT q, list(cleaned ORDER BY rank) AS c FROM ranked WHERE rank <= 6 GROUP BY q UNION ALL SELECT q, list_filter([{Q.reformat('trim(translate(text, chr(10), chr(32)))')}], lambda x: x <> '') FROM r WHERE pos = 1 AND q NOT IN (SELECT q FROM ranked))"
+_SELECTOR = S.SELECTOR_RULES.replace("'", "''").replace("\n", "' || chr(10) || '")
+_NUMBERED = "array_to_string(list_transform(c, lambda x, i: i || '. ' || x), chr(10))"
+_CHOOSE = f"'<|system|>' || chr(10) || '{_SELECTOR}</s>' || chr(10) || '<|user|>' || chr(10) || 'Question: ' || query || chr(10) || chr(10) || 'Candidates:' || chr(10) || {_NUMBERED} || chr(10) || chr(10) || 'Answer with one integer only:' || chr(10) || '</s>' || chr(10) || '<|assistant|>' || chr(10)"
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return X.candidate_texts(results(spark, d), questions(spark, d), 6)
+
+
+def _selector_prompts(spark: SparkSession, d: str) -> DataFrame:
+    t = _texts(spark, d).join(questions(spark, d), "query_id")
+    return t.select("query_id", F.md5(S.selector_prompt(F.col("query"), F.col("texts"))).alias("md5"))
+
+
+def _debugged(spark: SparkSession, d: str) -> DataFrame:
+    c = X.debug_candidates(_ranked(spark, d))
+    return c.select("query_id", _long("rank"), _long("overlap"), "intent", "retrieval_score", *[_long(x) for x in ("has_command", "has_requirement", "warning_like")], "text")
+
+
+def _moded(spark: SparkSession, d: str, model: Model, said) -> DataFrame:
+    """Replies of a mode, to questions that ask no procedure; ``said`` stands for the model."""
+    q = questions(spark, d).filter(~P.howto_query(F.col("query")))
+    r = results(spark, d).join(q.select("query_id"), "query_id", "left_semi")
+    s = replace(Settings(), model=model)
+    none = spark.createDataFrame([], "query_id long, turn long, role string, content string")
+    return S.answers(q, r, s, said, S.prompts(q, X.build_context(r), none, s))
+
+
+def _selected(spark: SparkSession, d: str) -> DataFrame:
+    return _moded(spark, d, Model(llm_select_extractive=True), lambda prompts: [f"I take {len(p) % 8}, or 1." for p in prompts])
+
+
+def _generated(spark: SparkSession, d: str) -> DataFrame:
+    return _moded(spark, d, Model(enabled=True), lambda prompts: ["Type /warp. Then go on. And more."] * len(prompts))
+
+
+SELECTED = f"""WITH {CANDS}, {_TEXTS}, plain AS ({PLAIN_ANSWERS.replace(CANDS, 'z AS (SELECT 1)')}),
+said AS (SELECT q, qc, c, length({_CHOOSE}) % 8 AS n FROM texts JOIN fl USING (q))
+SELECT query_id, CASE WHEN n = 0 THEN '{_UNKNOWN}' WHEN n <= len(c) THEN CASE WHEN regexp_matches(qc, '{P.PRICE}') THEN '{X.PRICE_PREFIX}' ELSE '{X.PREFIX}' END || {Q.sanitize('c[n]')} ELSE answer END AS reply
+FROM plain JOIN said ON q = query_id"""
+GENERATED = f"SELECT query_id, CASE WHEN answer = '{_UNKNOWN}' THEN answer ELSE 'Type /warp. Then go on.' END AS reply FROM ({PLAIN_ANSWERS})"
+
+
 def _files(spark: SparkSession, d: str) -> DataFrame:
     head = F.concat(F.lit("---\nlang: x\n---\n# "), F.initcap("source"), F.lit(" page\n\n"))
     body = F.concat(F.lit("## First\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\n### Deep\n| Key | Value |\n|---|---|\n| `"), F.col("lang"), F.lit("` | "), F.col("n_chars").cast("string"), F.lit(" |\n## Last\nThe last part of the page about "), F.col("source"), F.lit(" and more."))
@@ -186,7 +242,13 @@ QUERIES: dict[str, tuple] = {
     "low_confidence": (_unsure, f"WITH {CANDS} SELECT q AS query_id, ({UNSURE_CASE})::BIGINT AS unsure FROM ranked WHERE rank = 1"),
     "plain_answers": (_plain_answers, PLAIN_ANSWERS),
     "extractive_answers": (_answers, None),
-    "build_context": (lambda s, d: X.build_context(results(s, d), 100_000).select("query_id", F.md5("context").alias("md5")), CONTEXT),
+    "build_context": (lambda s, d: X.build_context(results(s, d)).select("query_id", F.md5("context").alias("md5")), CONTEXT),
+    "context_budget": (lambda s, d: X.build_context(results(s, d), _LONGEST).select("query_id", F.md5("context").alias("md5")), BUDGET),
+    "candidate_texts": (lambda s, d: _texts(s, d).select("query_id", F.array_join("texts", "\n").alias("texts")), f"WITH {CANDS}, {_TEXTS} SELECT q AS query_id, array_to_string(c, chr(10)) AS texts FROM texts"),
+    "selector_prompts": (_selector_prompts, f"WITH {CANDS}, {_TEXTS} SELECT q AS query_id, md5({_CHOOSE}) AS md5 FROM texts JOIN fl USING (q)"),
+    "debug_candidates": (_debugged, f"WITH {CANDS} SELECT q AS query_id, rank, overlap::BIGINT AS overlap, round(intent, 3) AS intent, round(score, 3) AS retrieval_score, cmd::BIGINT AS has_command, req::BIGINT AS has_requirement, warn::BIGINT AS warning_like, cleaned AS text FROM ranked WHERE rank <= 10"),
+    "selected_answers": (_selected, SELECTED),
+    "generated_answers": (_generated, GENERATED),
     "source_links": (_links, LINKS),
     "chat_responses": (_responses, RESPONSES),
     "prompts": (_prompts, PROMPTS),

@@ -69,7 +69,8 @@ def reformat(c: str) -> str:
     return f"trim(regexp_replace(replace({joined}, '`', ''), '[{_SPACES}]+', ' ', 'g'), ' -•')"
 
 
-def truncate(c: str, n: int) -> str:
-    head = f"regexp_replace({c}[1:{n - 1}], '[{_SPACES}]+$', '')"
+def truncate(c: str, n: int | str) -> str:
+    """``n``: a number, or SQL for one."""
+    head = f"regexp_replace({c}[1:greatest(0, {n} - 1)], '[{_SPACES}]+$', '')"
     last = f"greatest({', '.join(rfind(head, x) for x in (' ', '.', ',', ';'))})"
-    return f"(CASE WHEN length({c}) <= {n} THEN {c} WHEN {last} >= {n * 0.55} THEN regexp_replace({head}[1:{last}], '[{_SPACES}]+$', '') || '…' ELSE {head} || '…' END)"
+    return f"(CASE WHEN length({c}) <= {n} THEN {c} WHEN {last} >= {n} * 0.55::DOUBLE THEN regexp_replace({head}[1:{last}], '[{_SPACES}]+$', '') || '…' ELSE {head} || '…' END)"

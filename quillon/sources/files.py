@@ -21,6 +21,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def any_below(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path fits the pattern."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return len(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or ()) > 0
+
+
 def relative_path(path: Column, root: str) -> Column:
     """A file's path below ``root``, whatever scheme its address shows."""
     tail = PurePosixPath(root.split("://", 1)[-1]).as_posix().strip("/")
@@ -98,7 +104,11 @@ def read_event_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_log(replies: DataFrame, path: str, max_chat_chars: int) -> None:
-    log_rows(replies, max_chat_chars).write.mode("append").option("header", True).option("escape", '"').csv(path)
+    write_log(replies, path, max_chat_chars, "append")
+
+
+def write_log(replies: DataFrame, path: str, max_chat_chars: int, mode: str = "overwrite") -> None:
+    log_rows(replies, max_chat_chars).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from quillon.config import Chat
-from quillon.operators.chat import ECHO_KEPT, Cooldown, Limits, same_message
+from quillon.operators.chat import ECHO_KEPT, Cooldown, Limits, remember, same_message
 
 
 def _stateful(df: DataFrame, key: str, order: list[str], load: Callable[[Any], Any], save: Callable[[Any], Any], step: Callable[[Any, Any], Any], name: str, kind: str) -> DataFrame:
@@ -62,22 +62,8 @@ def echoes(events: DataFrame, channel: str, ts: str, tie: str, ttl: float) -> Da
 
 
 def memory(turns: DataFrame, conversation: str, order: str, n: int) -> DataFrame:
-    """``turns`` (role, text) with recent: a JSON list of the last ``n`` turns up to and with this one.
-
-    A row with role ``clear`` empties the memory; ``history_on`` and
-    ``history_off`` switch it, and off also empties it.
-    """
-
-    def step(h: dict, r) -> str:
-        if r.role in ("clear", "history_off"):
-            h["turns"] = []
-        if r.role in ("history_on", "history_off"):
-            h["on"] = r.role == "history_on"
-        elif r.role != "clear" and h["on"]:
-            h["turns"] = [*h["turns"], [r.role, r.text]][-n:]
-        return json.dumps(h["turns"], ensure_ascii=False)
-
-    return _stateful(turns, conversation, [order], lambda s: s or {"on": True, "turns": []}, lambda h: h, step, "recent", "string")
+    """``turns`` (role, text) with recent: a JSON list of the last ``n`` turns up to and with this one."""
+    return _stateful(turns, conversation, [order], lambda s: s or {"on": True, "turns": []}, lambda h: h, lambda h, r: remember(h, r.role, r.text, n), "recent", "string")
 
 
 def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -174,6 +174,14 @@ def test_end_to_end(spark, tmp_path):
     for r in flows.handle_chat(d, chunks, emb, s).orderBy("line_id", "part").collect():
         out.setdefault(r.line_id, []).append(r.message)
     assert set(out) == {1, 4, 5, 6, 7} and out[4] == ["No secrets."] and "/t claim" in out[1][0] and out[6][0].startswith("Meow") and "nether" in out[7][0]
+    # what the bot itself said a moment ago is no question; answers and drops are logged, the history switch is followed
+    own = spark.createDataFrame([("c", 0.9, "!q how do i claim land"), ("c", 4.0, "!q help me"), ("d", 6.9, "!q what perk do i get from rank 5")], "channel string, ts double, text string")
+    more = d.unionByName(spark.createDataFrame([(8, "c", 8.0, "Ann: !q history off"), (9, "c", 9.0, "Ann: !q history"), (10, "c", 9.1, "Ann: !q what perk do i get from rank 5"), (11, "c", 9.2, "Ann: !q what perk do i get from rank 5")], d.schema))
+    open_ = replace(s, chat=replace(s.chat, admin_command_names=[]))
+    heard = {r.line_id: r.message for r in flows.handle_chat(more, chunks, emb, open_, sent=own, log_path=str(tmp_path / "log")).filter("part = 0").collect()}
+    assert set(heard) == {4, 5, 6, 7, 8, 9, 10} and heard[8].endswith("context cleared.") and heard[9] == "Conversation history is off."
+    log = {(r.queries, r.reply[:9]) for r in files.read_log(spark, str(tmp_path / "log")).collect()}
+    assert ("what perk do i get from rank 5", "[dropped:") in log and len(log) == 3
     # the same lines as a stream
     d.coalesce(1).write.parquet(str(tmp_path / "lines"))
     stop = threading.Event()
