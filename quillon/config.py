@@ -8,6 +8,9 @@ from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 
+# The keys and defaults of the settings file
+
+
 @dataclass(frozen=True)
 class Chat:
     bot_name: str = "bot"
@@ -43,7 +46,6 @@ class Model:
 @dataclass(frozen=True)
 class Retrieval:
     enabled: bool = True
-    index_dir: str = "index"
     top_k: int = 5
     min_score: float = 0.18
     max_context_chars: int = 1800

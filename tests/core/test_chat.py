@@ -196,3 +196,30 @@ def test_end_to_end(spark, tmp_path):
             raise AssertionError
         except kind:
             pass
+
+
+def test_hot_keys_are_dealt_over_ranges(spark):
+    """One store and one channel over many tasks give what one pass over all rows gives."""
+    from collections import OrderedDict
+
+    rng = random.Random(12)
+    rows = [(i, "s" if i % 10 else "t", str(int(rng.paretovariate(0.6)) % 60)) for i in range(3000)]
+    held, want = {}, {}
+    for i, store, session in rows:
+        h = held.setdefault(store, OrderedDict())
+        want[i] = session in h
+        h[session] = True
+        h.move_to_end(session)
+        if len(h) > 20:
+            h.popitem(last=False)
+    d = spark.createDataFrame(rows, "i long, store string, session string").repartition(5)
+    assert {r.i: r.known for r in C.session_lru(d, "store", "session", "i", 20).collect()} == want
+    texts = [f"message {rng.randint(0, 30)} of the channel" for _ in range(2000)]
+    rows = [(i, "c", i * 0.3, t, rng.random() < 0.3) for i, t in enumerate(texts)]
+    sent, want = deque(maxlen=24), {}
+    for i, _, ts, t, own in rows:
+        if own:
+            sent.append((t, ts))
+        want[i] = not own and any(ts - at <= 3.0 and C.same_message(x, t) for x, at in sent)
+    d = spark.createDataFrame(rows, "i long, channel string, ts double, norm string, sent boolean").repartition(5)
+    assert {r.i: r.echo for r in C.echoes(d, "channel", "ts", "i", 3.0).collect()} == want
