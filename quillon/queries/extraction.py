@@ -104,6 +104,21 @@ said AS (SELECT q, unsure, CASE WHEN regexp_matches(qc, '{P.PRICE}') THEN '{X.PR
 SELECT q AS query_id, CASE WHEN unsure THEN '{_UNKNOWN}' ELSE {Q.truncate('t', 248)} END AS answer FROM said"""
 
 
+# any question's answer: of a procedure the first helpful candidate or a better command, and what it lacks
+ANSWERS = f"""WITH {CANDS},
+best AS (SELECT q, {UNSURE_CASE} AS unsure, howto, qc FROM ranked WHERE rank = 1),
+pick AS (SELECT q, coalesce(min(CASE WHEN command AND cmd AND overlap > 0 THEN rank END), 1) AS rank, coalesce(min(CASE WHEN overlap > 0 AND (cmd OR req OR NOT warn) THEN rank END), 1) AS help FROM ranked GROUP BY q),
+help AS (SELECT ranked.* FROM ranked JOIN pick ON pick.q = ranked.q AND pick.help = ranked.rank),
+rival AS (SELECT r.q, first(r.rank ORDER BY r.score DESC, r.rank) AS rank FROM ranked r JOIN help h ON h.q = r.q AND NOT h.cmd WHERE r.overlap > 0 AND r.cmd AND r.score >= h.score GROUP BY r.q),
+main AS (SELECT ranked.* FROM ranked JOIN help h USING (q) LEFT JOIN rival USING (q) WHERE ranked.rank = coalesce(rival.rank, h.rank)),
+more AS (SELECT m.q, min(c.rank) AS rank FROM main m JOIN ranked c ON c.q = m.q WHERE c.cleaned <> m.cleaned AND c.overlap > 0 AND NOT (c.warn AND NOT c.cost) AND ((m.cmd AND c.req) OR (m.req AND c.cmd)) GROUP BY m.q),
+parts AS (SELECT q, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM (SELECT q, {Q.sentences('t')} AS s FROM (SELECT m.q, m.cleaned || ' ' || c.cleaned AS t FROM main m JOIN more USING (q) JOIN ranked c ON c.q = m.q AND c.rank = more.rank))),
+once AS (SELECT q, trim(string_agg(part, ' ' ORDER BY i)) AS t FROM (SELECT *, row_number() OVER (PARTITION BY q, k ORDER BY i) AS nth FROM (SELECT *, {Q.norm('part')} AS k FROM (SELECT q, i, {Q.reformat('x')} AS part FROM parts)) WHERE k <> '') WHERE nth = 1 GROUP BY q),
+chosen AS (SELECT b.q, b.unsure, b.qc, CASE WHEN b.howto THEN coalesce(once.t, m.cleaned) ELSE c.cleaned END AS cleaned FROM best b JOIN main m USING (q) JOIN pick USING (q) JOIN ranked c ON c.q = b.q AND c.rank = pick.rank LEFT JOIN once ON once.q = b.q),
+said AS (SELECT q, unsure, CASE WHEN regexp_matches(qc, '{P.PRICE}') THEN '{X.PRICE_PREFIX}' ELSE '{X.PREFIX}' END || {Q.reformat('cleaned')} AS t FROM chosen)
+SELECT p_partkey AS query_id, CASE WHEN coalesce(unsure, TRUE) THEN '{_UNKNOWN}' ELSE {Q.truncate('t', 248)} END AS answer FROM part LEFT JOIN said ON q = p_partkey"""
+
+
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     return X.extractive_answers(results(spark, d), questions(spark, d))
 
@@ -241,7 +256,7 @@ QUERIES: dict[str, tuple] = {
         f"WITH {CANDS} SELECT q AS query_id, rank, round(cover, 6) AS key_cover, defines::BIGINT AS defines, overlap::BIGINT AS overlap, round(intent, 6) AS intent, round(score, 6) AS score, cleaned AS text FROM ranked"),
     "low_confidence": (_unsure, f"WITH {CANDS} SELECT q AS query_id, ({UNSURE_CASE})::BIGINT AS unsure FROM ranked WHERE rank = 1"),
     "plain_answers": (_plain_answers, PLAIN_ANSWERS),
-    "extractive_answers": (_answers, None),
+    "extractive_answers": (_answers, ANSWERS),
     "build_context": (lambda s, d: X.build_context(results(s, d)).select("query_id", F.md5("context").alias("md5")), CONTEXT),
     "context_budget": (lambda s, d: X.build_context(results(s, d), _LONGEST).select("query_id", F.md5("context").alias("md5")), BUDGET),
     "candidate_texts": (lambda s, d: _texts(s, d).select("query_id", F.array_join("texts", "\n").alias("texts")), f"WITH {CANDS}, {_TEXTS} SELECT q AS query_id, array_to_string(c, chr(10)) AS texts FROM texts"),
