@@ -11,8 +11,9 @@ total length, and the chunked framing is decoded.
 
 Defined results: null html is an empty payload; a null page_id stays null and
 never wins over one that is not; repeated rows give a record each, and all rows
-that share the largest page_id of a payload are responses; an empty table gives
-no records; other columns are ignored.
+that share the largest page_id of a payload are responses; a very long payload is
+as many segments as it fills, joined whole on reading; an empty table gives
+no records; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import new_path, pick, table
+from quillon.llm.common import hot_keys, materialize, new_path, pick, spread_join, table
 
 #: Payloads below this length are never deduplicated.
 MIN_DEDUP_BYTES = 1000
@@ -129,10 +130,11 @@ def classify(pages: DataFrame) -> DataFrame:
     """page_id, url, payload (binary), payload_bytes, payload_digest, record_type, refers_to."""
     d = pick(pages, page_id="long", url="string", html="string").select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
     # only payloads that occur again; counts combine before the shuffle, so a hot payload is a few rows
-    again = d.filter(F.col("payload_bytes") >= MIN_DEDUP_BYTES).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = materialize(d.filter(F.col("payload_bytes") >= MIN_DEDUP_BYTES).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "payloads")
+    keys = ["payload_digest", "payload_bytes"]
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    # a left join whose left side Spark may split where a payload is hot
-    return d.join(again, ["payload_digest", "payload_bytes"], "left").withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first_id"))}).drop("first_id")
+    joined = spread_join(d, again.drop("n"), keys, hot_keys(again, keys, "n"), ["page_id", "url"])
+    return joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first_id"))}).drop("first_id")
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
