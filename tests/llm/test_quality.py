@@ -53,3 +53,36 @@ def test_trouble(docs, labels, none):
     unlabelled = quality.scores(docs, quality.train(docs, labels.limit(0))).collect()
     assert {r.score for r in unlabelled} == {0.5}
     assert quality.keep_good(docs, labels).columns == docs.columns
+
+
+def test_trees_take_the_best_cuts():
+    """A tree of two leaves, and one of a pair of features, against all cuts tried one by one."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        g, h = rng.normal(size=9), rng.uniform(0.2, 3, 9)
+        gain = lambda a, b: a.sum() ** 2 / (b.sum() + 1)
+        best = max(((gain(g[:i], h[:i]) + gain(g[i:], h[i:]), i) for i in range(1, 9) if h[:i].sum() >= 1 and h[i:].sum() >= 1), default=None)
+        if best is None or best[0] - gain(g, h) <= 1e-9:
+            continue
+        i = best[1]
+        want = np.r_[np.full(i, g[:i].sum() / (h[:i].sum() + 1)), np.full(9 - i, g[i:].sum() / (h[i:].sum() + 1))]
+        assert np.allclose(quality._tree(g, h, 2), want)
+    for _ in range(60):
+        g, h = rng.normal(size=(4, 5)), rng.uniform(0.2, 3, (4, 5))
+        parts = lambda i, j: [np.s_[:i, :j], np.s_[:i, j:], np.s_[i:, :j], np.s_[i:, j:]]
+        i, j = max(((sum(g[s].sum() ** 2 / (h[s].sum() + 5) for s in parts(i, j)), i, j) for i in range(1, 4) for j in range(1, 5)))[1:]
+        want = np.empty((4, 5))
+        for s in parts(i, j):
+            want[s] = g[s].sum() / (h[s].sum() + 5)
+        assert np.allclose(quality._pair_tree(g, h)[0], want)
+
+
+def test_boosting_learns_an_interaction():
+    """Labels that only a pair of features tells: the pair tables find it, the features' own tables can't."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, len(quality.FEATURES)))
+    y = ((x[:, 3] > 0) == (x[:, 8] > 0)).astype(float)
+    m = quality.fit(x[:2000], y[:2000])
+    assert ((m.score(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.9
+    m.pair_tables = [t * 0 for t in m.pair_tables]
+    assert ((m.score(x[2000:]) >= 0.5) == y[2000:]).mean() < 0.7

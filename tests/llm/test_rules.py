@@ -86,3 +86,50 @@ def test_risk_holds_on_fresh_documents(spark):
     got = rules.verdicts(docs, labels.filter(half)).filter("not base_failed").join(labels.filter(~half).filter("quality = 1").select("doc_id").distinct(), "doc_id")
     n, bad = got.agg(F.count(F.lit(1)), F.count_if(~F.col("kept"))).first()
     assert bad <= rules.ALPHA * n + 3 * (rules.ALPHA * n) ** 0.5
+
+
+def slow_cutoffs(rows):
+    """{stratum: {rule: cutoff}} from labelled rows by plain loops and exact fractions."""
+    out = {}
+    strata = sorted({r["stratum"] for r in rows})
+    tried = {}
+    for s in strata:
+        half = [r for r in rows if r["stratum"] == s and r["tuning"]]
+        good, bad = [r for r in half if r["good"] == 1], [r for r in half if r["good"] == 0]
+        for k, part in enumerate(rules.LEVELS):
+            setting = {}
+            for rule, (name, side, grid) in rules.RULES.items():
+                beyond = lambda r, c, name=name, side=side: r[name] > c if side > 0 else r[name] < c
+                found = [(-sum(beyond(r, c) for r in bad), i, c) for i, c in enumerate(grid) if sum(beyond(r, c) for r in good) <= part * len(good) and any(beyond(r, c) for r in bad)]
+                if found:
+                    setting[rule] = min(found)[2]
+            if setting:
+                tried.setdefault(s, []).append(setting)
+    rejects = lambda r, setting: any(r[rules.RULES[x][0]] > c if rules.RULES[x][1] > 0 else r[rules.RULES[x][0]] < c for x, c in setting.items())
+    for s, settings in tried.items():
+        held = [r for r in rows if r["stratum"] == s and not r["tuning"] and r["good"] == 1]
+        for setting in settings:
+            n, k, p = len(held), sum(rejects(r, setting) for r in held), Fraction(rules.ALPHA)
+            if not n or k >= n * p or sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) > rules.DELTA / len(tried):
+                break
+            out[s] = setting
+    return out
+
+
+def test_kept_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    # the small table certifies little, so its documents also count under one language
+    for d in (docs, docs.withColumn("lang", F.lit("all"))):
+        s = rules.measured(d).drop("row")
+        y = rules.labelled(s, labels).withColumn("tuning", F.pmod(F.xxhash64("text_key", F.lit(11)), F.lit(2)) == 0)
+        want = slow_cutoffs([r.asDict() for r in y.collect()])
+        got = {r["stratum"]: {x: r[f"c_{x}"] for x in rules.RULES if r[f"c_{x}"] is not None} for r in rules.cutoffs(s, labels).collect()}
+        assert got == want
+        stats = {r["doc_id"]: r.asDict() for r in s.collect()}
+        for r in rules.verdicts(d, labels).collect():
+            x = stats[r.doc_id]
+            cut = want.get(x["stratum"], {})
+            beyond = any(x[rules.RULES[n][0]] > c if rules.RULES[n][1] > 0 else x[rules.RULES[n][0]] < c for n, c in cut.items())
+            assert r.kept == (not x["base_failed"] and not beyond)
+    assert want
