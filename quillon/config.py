@@ -30,6 +30,7 @@ class Chat:
     admin_command_names: list[str] = field(default_factory=lambda: ["status", "ping", "whoami", "admins", "clear_context", "history", "context", "reload_retriever", "stop", "quit"])
     critical_admin_commands: list[str] = field(default_factory=lambda: ["stop", "quit"])
     require_rank_for_critical_admin_commands: bool = True
+    log_command_events: bool = True
     public_wiki_base_url: str = ""
     blocked_substrings: list[str] = field(default_factory=list)
     reply_prefix: str = ""

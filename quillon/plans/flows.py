@@ -76,18 +76,23 @@ def log_answers(accepted: DataFrame, answered: DataFrame, dropped: DataFrame) ->
     return done.unionByName(dropped.select("rank", "speaker", F.col("question").alias("query"), F.lit(None).cast("string").alias("reply"), F.lit("cooldown").alias("dropped_reason")))
 
 
-def handle_chat(lines: DataFrame, chunks: DataFrame, embeddings: DataFrame, settings: Settings, model: Embedder | None = None, sent: DataFrame | None = None, log_path: str | None = None) -> DataFrame:
+def handle_chat(lines: DataFrame, chunks: DataFrame, embeddings: DataFrame, settings: Settings, model: Embedder | None = None, sent: DataFrame | None = None, log_path: str | None = None, audit_path: str | None = None) -> DataFrame:
     """line_id, part, message of what is sent for raw lines (line_id, channel, ts, raw), in order.
 
     ``sent``: what the bot itself has sent (channel, ts, text); lines that repeat
-    it are dropped. Answers and drops are added to the query log at ``log_path``.
+    it are dropped. Answers and drops are added to the query log at ``log_path``,
+    commands to the audit log at ``audit_path``.
     """
     chat = settings.chat
     asked = C.handle_lines(lines, settings)
     asked = materialize(asked if sent is None else C.drop_echoes(asked, sent, chat), "asked")
     ruled = asked.filter("rule_reply is not null and rule_reply <> ''").select("line_id", T.finalize(F.col("rule_reply"), chat.reply_prefix).alias("reply"))
     rest = asked.filter("rule_name is null")
-    commands = command_replies(rest.filter("command is not null").drop("command"), settings, chunks.count()).select("line_id", "reply")
+    commands = command_replies(rest.filter("command is not null").drop("command"), settings, chunks.count())
+    if audit_path is not None and chat.log_command_events:
+        commands = materialize(commands, "commands")
+        files.append_audit(commands, audit_path)
+    commands = commands.select("line_id", "reply")
     cooled = materialize(C.cooldown(rest.filter("command is null").drop("command").withColumn("who", T.normalize(F.col("speaker"))), "channel", "who", "ts", "line_id", chat), "cooled")
     answered = answer_lines(cooled.filter("allowed"), chunks, embeddings, settings, model)
     if log_path is not None:

@@ -103,6 +103,15 @@ FROM (SELECT *, cmd <> 'help' AS needed, cmd = 'help' OR ok AS allowed, CASE WHE
 """
 
 
+AUDIT = f"SELECT c_custkey, CASE WHEN allowed = 1 THEN 'ALLOW' ELSE 'DENY' END AS decision, command, c_name AS speaker, coalesce(CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END, '-') AS rank, reason FROM ({DISPATCHED}) JOIN customer USING (c_custkey)"
+
+
+def _audited(spark: SparkSession, d: str) -> DataFrame:
+    # a speaker's name holds the key of its row
+    a = C.audit_rows(C.dispatch(_command_lines(spark, d), _ORDER, 7))
+    return a.withColumn("c_custkey", F.regexp_extract("speaker", r"(\d+)$", 1).cast("long"))
+
+
 def _seconds():
     """Two events a second, not in the order of their ids: as dense at every scale."""
     return F.col("event_id") * F.lit(0.5) + (F.col("user_id") % 7) * F.lit(0.25)
@@ -260,6 +269,7 @@ QUERIES: dict[str, tuple] = {
     "greetings": (_greetings, GREETINGS),
     "is_admin": (_admins, ADMINS),
     "command_dispatch": (_dispatched, DISPATCHED),
+    "command_audit": (_audited, AUDIT),
     "minute_limiter": (_limited, LIMITED),
     "cooldown_accept": (_cooled, COOLED),
     "chat_memory": (_memory, MEMORY),

@@ -9,7 +9,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators.chat import log_rows
+from quillon.operators.chat import audit_rows, log_rows
 
 CHUNK_SCHEMA = "chunk_id string, source_path string, title string, heading_path array<string>, text string, start_char int, end_char int"
 EVENT_SCHEMA = "event_id long, ts timestamp, type string, message string"
@@ -111,6 +111,10 @@ def write_log(replies: DataFrame, path: str, max_chat_chars: int, mode: str = "o
     log_rows(replies, max_chat_chars).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+def append_audit(dispatched: DataFrame, path: str) -> None:
+    audit_rows(dispatched).write.mode("append").json(path)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from quillon import config
+from quillon import cli, config
 from quillon.config import Chat, Rule, Rules, Settings
 from quillon.functions import text as T
 from quillon.operators import chat as C
@@ -178,10 +178,14 @@ def test_end_to_end(spark, tmp_path):
     own = spark.createDataFrame([("c", 0.9, "!q how do i claim land"), ("c", 4.0, "!q help me"), ("d", 6.9, "!q what perk do i get from rank 5")], "channel string, ts double, text string")
     more = d.unionByName(spark.createDataFrame([(8, "c", 8.0, "Ann: !q history off"), (9, "c", 9.0, "Ann: !q history"), (10, "c", 9.1, "Ann: !q what perk do i get from rank 5"), (11, "c", 9.2, "Ann: !q what perk do i get from rank 5")], d.schema))
     open_ = replace(s, chat=replace(s.chat, admin_command_names=[]))
-    heard = {r.line_id: r.message for r in flows.handle_chat(more, chunks, emb, open_, sent=own, log_path=str(tmp_path / "log")).filter("part = 0").collect()}
+    heard = {r.line_id: r.message for r in flows.handle_chat(more, chunks, emb, open_, sent=own, log_path=str(tmp_path / "log"), audit_path=str(tmp_path / "audit")).filter("part = 0").collect()}
     assert set(heard) == {4, 5, 6, 7, 8, 9, 10} and heard[8].endswith("context cleared.") and heard[9] == "Conversation history is off."
     log = {(r.queries, r.reply[:9]) for r in files.read_log(spark, str(tmp_path / "log")).collect()}
     assert ("what perk do i get from rank 5", "[dropped:") in log and len(log) == 3
+    audit = sorted((r.decision, r.command, r.speaker, r["rank"], r.reason) for r in spark.read.json(str(tmp_path / "audit")).collect())
+    assert audit == [("ALLOW", "help", "Ann", "-", "open_command"), ("ALLOW", "history", "Ann", "-", "open_command"), ("ALLOW", "history", "Ann", "-", "open_command")]
+    told = cli.explain(spark, "how do i claim land", str(tmp_path / "index"), s)
+    assert "/t claim" in told.answer.first().answer and told.candidates.count() and "Towny" in told.context.first().heading
     # the same lines as a stream
     d.coalesce(1).write.parquet(str(tmp_path / "lines"))
     stop = threading.Event()
