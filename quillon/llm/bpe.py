@@ -162,13 +162,15 @@ def frequent_words(docs: DataFrame, source, most: int | None = None, sample: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = b.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array([np.array(i, "<u2").tobytes() for i in _encode(source.value, words)], pa.binary())], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array([np.array(i, "<u2").tobytes() for i in _encode(source.value, words)], pa.binary())], ["word", "n", "ids"])
 
     some = docs.select("text", F.monotonically_increasing_id().alias("at")).filter(F.pmod("at", F.lit(every)) == 0).select("text")
     counts = materialize(some.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "sample-words")
     short = counts.filter(F.length("word") <= FREQUENT_CHARS)
-    chosen = short.filter(F.col("n") >= most_frequent(short, "n", FREQUENT if most is None else most)).select("word")
-    got = chosen.mapInArrow(encode, "word string, ids binary").toArrow()
+    chosen = short.filter(F.col("n") >= most_frequent(short, "n", FREQUENT if most is None else most))
+    got = chosen.mapInArrow(encode, "word string, n long, ids binary").toArrow()
+    # numbered by frequency: small numbers in a row compress well
+    got = got.sort_by([("n", "descending"), ("word", "ascending")])
     ids = [np.frombuffer(x, "<u2") for x in got.column("ids").to_pylist()]
     lengths = np.array([len(x) for x in ids], np.int64)
     # words that are never broadcast and may have more than a share of all rows
