@@ -42,7 +42,7 @@ def test_base_and_gain(spark):
     assert {r.doc_id for r in held} == {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
     per = lambda rows: sum(r.score for r in rows if r.held_out) / sum(r.n_tokens for r in held)
     table = scoring.score(spark.read.parquet(f"{sf}/documents.parquet"), rounds=0).collect()
-    assert per(got) > per(table) + 0.02
+    assert per(got) > per(table) + 0.2
 
 
 def test_trouble(docs, none, monkeypatch):
