@@ -57,16 +57,16 @@ def _clean(spark: SparkSession, path: str) -> None:
             remove(spark, path)
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
+def materialize(df: DataFrame, what: str, **options) -> DataFrame:
     """Write once to shared storage and read back: cuts lineage, survives lost executors."""
-    return written(df, what)[0]
+    return written(df, what, **options)[0]
 
 
-def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame, what: str, **options) -> tuple[DataFrame, str]:
     """``materialize``, and the path, for tables that another soon replaces."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

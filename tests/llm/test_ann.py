@@ -76,3 +76,27 @@ def test_ties_and_copies(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
     got = sorted(tuple(r) for r in ann.knn(v, v.filter("vec_id = 300")).collect())
     assert got == [(300, i + 1, 3 * i, 0.0) for i in range(10)]
+
+
+def test_many_blocks_of_queries(spark, monkeypatch):
+    """What a search gives to the shuffle grows with its tasks, not with pairs of blocks; queries go in bounded chunks."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(3000)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 7)
+    monkeypatch.setattr(ann, "CHUNK_BYTES", 1000, raising=False)
+    monkeypatch.setattr(ann, "build_index", lambda v, p, make=ann.build_index: make(v, p, 100))
+    search, given = ann._search, spark.sparkContext.accumulator(0)
+
+    def counted(batches, pivots, k, share):
+        for out in search(batches, pivots, k, share):
+            given.add(len(out))
+            yield out
+
+    monkeypatch.setattr(ann, "_search", counted)
+    got, want = {}, exact(rows)
+    for r in ann.knn(v, v.filter("vec_id % 100 = 0"), share=1.0).collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    assert {q: [j for _, j in sorted(x)] for q, x in got.items()} == {q: [j for _, j in w] for q, w in want.items()}
+    # 30 blocks of the index, in 3 files
+    assert 0 < given.value <= 30 * 10 * 3
