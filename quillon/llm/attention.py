@@ -11,6 +11,7 @@ Every probability is positive and sums to one over the vocabulary.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +35,8 @@ RATE = 0.03
 GRADIENT_WINDOWS = 32
 STEP_GRADIENTS = 4
 FIRST_STEPS = 200
+#: Windows that are copied out at once.
+FETCH = 16 * GRADIENT_WINDOWS
 #: What an exponent may reach in scoring; larger weights are scaled down once.
 HIGHEST = 60.0
 
@@ -55,6 +58,13 @@ class Vocabulary:
     def symbols(self) -> int:
         return len(self.class_of)
 
+    def fixed(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """What no weight changes of documents' log probabilities: ids in their symbols, and symbols in their classes."""
+        symbol = self.symbol_of[ids]
+        before = np.concatenate([[0], symbol[:-1]])
+        before[starts[:-1]] = 0
+        return np.bincount(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), self.log_within[ids] + self.log_inside[before, symbol], len(starts) - 1)
+
 
 def cluster(features: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     """Spherical k-means; the first centres are spread over the rows in their order (by frequency)."""
@@ -132,9 +142,8 @@ class Parameters:
     def __init__(self, symbols: int, flat: np.ndarray | None = None) -> None:
         d = WIDTH
         shapes = {"e": (symbols, d), "p": (WINDOW, d), "q": (d, d), "k": (d, d), "v": (d, d), "u": (d, CLASSES)}
-        size = sum(a * b for a, b in shapes.values())
         new = flat is None
-        self.flat = np.zeros(size, np.float32) if new else flat.astype(np.float32)
+        self.flat = np.zeros(self.size(symbols), np.float32) if new else flat.astype(np.float32, copy=False)
         at = 0
         for name, (a, b) in shapes.items():
             setattr(self, name, self.flat[at : at + a * b].reshape(a, b))
@@ -147,82 +156,137 @@ class Parameters:
                 w[...] = np.eye(d) * 0.5 + rng.normal(0, 0.1, w.shape)
             self.u[...] = rng.normal(0, 0.02, self.u.shape)
 
+    @staticmethod
+    def size(symbols: int) -> int:
+        return WIDTH * (symbols + WINDOW + 3 * WIDTH + CLASSES)
+
 
+_ONES = np.ones(max(WINDOW, CLASSES), np.float32)
 _CAUSAL = np.where(np.arange(WINDOW)[None, :] <= np.arange(WINDOW)[:, None], np.float32(0), _NEVER)
 
 
+class Room:
+    """Arrays that one call after the other fills: memory that a call gave back would be mapped and cleared again in the next."""
+
+    def __init__(self, windows: int, symbols: int, width: int = WIDTH * 3) -> None:
+        new = lambda *shape: np.empty((windows, *shape), np.float32)
+        # not like weights that were broadcast: these have a type of their own, with which add.at is 15 times as slow
+        self.g = Parameters(symbols, np.empty(Parameters.size(symbols), np.float32))
+        self.rows = np.arange(0, windows * STRIDE * CLASSES, CLASSES)
+        self.x, self.dx, self.qkv, self.dqkv = new(WINDOW, WIDTH), new(WINDOW, WIDTH), new(WINDOW, width), new(WINDOW, width)
+        self.s, self.da = new(STRIDE, WINDOW), new(STRIDE, WINDOW)
+        self.ctx, self.some, self.dctx = new(STRIDE, WIDTH), new(STRIDE, WIDTH), new(STRIDE, WIDTH)
+        self.sums = new(STRIDE, WIDTH + 1)
+        self.z, self.after = new(STRIDE, CLASSES), new(STRIDE, CLASSES)
+        self.places, self.place = np.arange(symbols * WIDTH).reshape(symbols, WIDTH), np.empty((windows, WINDOW, WIDTH), np.int64)
+
+
+@functools.lru_cache(2)
+def _room(windows: int, symbols: int) -> Room:
+    return Room(windows, symbols)
+
+
 def gradient(p: Parameters, after: np.ndarray, symbol: np.ndarray, target: np.ndarray, first: np.ndarray) -> tuple[float, int, np.ndarray]:
     """Loss and gradient over windows, summed over scored places, and the count of these.
 
     Input symbols (windows, WINDOW); classes of the symbols at the last STRIDE
     places (windows, STRIDE), -1: not scored; whether LEAD places are padding.
+
+    Odds are never divided by their sums: a row's sum divides the short vectors
+    that its odds are multiplied with.
     """
     b, d = len(symbol), WIDTH
-    g = Parameters(len(p.e), np.zeros_like(p.flat))
+    room = _room(max(b, GRADIENT_WINDOWS), len(p.e))
+    g = room.g
     scale = np.float32(1 / np.sqrt(d))
-    x = p.e[symbol]
-    x += p.p
-    flat, asked = x.reshape(-1, d), x[:, LEAD:].reshape(-1, d)
-    q = (asked @ p.q * scale).reshape(b, STRIDE, d)
-    k, v = ((flat @ w).reshape(b, WINDOW, d) for w in (p.k, p.v))
-    s = q @ k.transpose(0, 2, 1)
+    w = np.concatenate([p.q * scale, p.k, p.v], 1)
+    x = p.e.take(symbol, 0, out=room.x[:b], mode="clip")
+    x.reshape(b, -1)[...] += p.p.ravel()
+    x = x.reshape(-1, d)
+    qkv = room.qkv[:b]
+    np.matmul(x, w, out=qkv.reshape(-1, 3 * d))
+    q, k, v = qkv[:, LEAD:, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
+    s = np.matmul(q, k.transpose(0, 2, 1), out=room.s[:b])
+    far = max(s.max(initial=0), -s.min(initial=0)) > HIGHEST
     s += _CAUSAL[LEAD:]
     s[first, :, :LEAD] = _NEVER
-    s -= s.max(-1, keepdims=True)
+    if far:
+        s -= s.max(-1, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(-1, keepdims=True)
-    ctx = (s @ v).reshape(-1, d)
-    z = ctx @ p.u
-    np.clip(z, -HIGHEST, HIGHEST, out=z)
+    share = 1 / (s.reshape(-1, WINDOW) @ _ONES[:WINDOW])[:, None]
+    ctx = np.matmul(s, v, out=room.ctx[:b]).reshape(-1, d)
+    ctx *= share
+    z = np.matmul(ctx, p.u, out=room.z[:b].reshape(-1, CLASSES))
+    if max(z.max(initial=0), -z.min(initial=0)) > HIGHEST:
+        np.clip(z, -HIGHEST, HIGHEST, out=z)
     np.exp(z, out=z)
-    z *= after[symbol[:, LEAD:].ravel()]
-    z /= z.sum(1, keepdims=True)
+    z *= after.take(symbol[:, LEAD:], 0, out=room.after[:b], mode="clip").reshape(-1, CLASSES)
+    total = z @ _ONES[:CLASSES]
     t = target.ravel()
-    scored = np.flatnonzero(t >= 0)
-    loss = float(-np.log(np.maximum(z[scored, t[scored]], 1e-30)).sum())
-    z[scored, t[scored]] -= 1
-    if len(scored) < len(t):
-        z[t < 0] = 0
-    g.u[...] = ctx.T @ z
-    dctx = (z @ p.u.T).reshape(b, STRIDE, d)
-    dv = s.transpose(0, 2, 1) @ dctx
-    da = dctx @ v.transpose(0, 2, 1)
-    da -= (da * s).sum(-1, keepdims=True)
+    scored = (t >= 0).astype(np.float32)
+    at = room.rows[: len(t)] + np.maximum(t, 0)
+    odds = z.reshape(-1)
+    hit = odds[at]
+    loss = -float(np.log(np.maximum(hit / total, 1e-30)) @ scored)
+    odds[at] = hit - total
+    part = (scored / total)[:, None]
+    some, dctx = room.some[:b].reshape(-1, d), room.dctx[:b].reshape(-1, d)
+    np.matmul(np.multiply(ctx, part, out=some).T, z, out=g.u)
+    np.matmul(z, p.u.T, out=dctx)
+    dctx *= part * share
+    da = np.matmul(room.dctx[:b], v.transpose(0, 2, 1), out=room.da[:b])
+    da -= np.einsum("ij,ij->i", dctx, ctx).reshape(b, STRIDE, 1)
     da *= s
-    dq, dk = (da @ k).reshape(-1, d) * scale, (da.transpose(0, 2, 1) @ q).reshape(-1, d)
-    dv = dv.reshape(-1, d)
-    g.q[...], g.k[...], g.v[...] = asked.T @ dq, flat.T @ dk, flat.T @ dv
-    dx = (dk @ p.k.T + dv @ p.v.T).reshape(b, WINDOW, d)
-    dx[:, LEAD:] += (dq @ p.q.T).reshape(b, STRIDE, d)
-    g.e[...] = np.bincount(((symbol.ravel() * d)[:, None] + np.arange(d)).ravel(), dx.ravel(), p.e.size).reshape(p.e.shape)
-    g.p[...] = dx.sum(0)
-    return loss, len(scored), g.flat
+    dqkv = room.dqkv[:b]
+    dqkv[:, :LEAD, :d] = 0
+    np.matmul(da, k, out=dqkv[:, LEAD:, :d])
+    np.matmul(da.transpose(0, 2, 1), q, out=dqkv[:, :, d : 2 * d])
+    np.matmul(s.transpose(0, 2, 1), room.dctx[:b], out=dqkv[:, :, 2 * d :])
+    dqkv = dqkv.reshape(-1, 3 * d)
+    dw = x.T @ dqkv
+    np.multiply(dw[:, :d], scale, out=g.q)
+    g.k[...], g.v[...] = dw[:, d : 2 * d], dw[:, 2 * d :]
+    dx = np.matmul(dqkv, w.T, out=room.dx[:b].reshape(-1, d))
+    g.e[...] = 0
+    np.add.at(g.e.reshape(-1), room.places.take(symbol, 0, out=room.place[:b], mode="clip").ravel(), dx.ravel())
+    g.p[...] = (np.ones(b, np.float32) @ dx.reshape(b, -1)).reshape(g.p.shape)
+    return loss, int(scored.sum()), g.flat.copy()
 
 
 class Adam:
     def __init__(self, size: int, rate: float = RATE) -> None:
         self.m, self.s, self.n, self.rate = np.zeros(size, np.float32), np.zeros(size, np.float32), 0, rate
+        self.spare = np.empty(size, np.float32)
 
     def step(self, flat: np.ndarray, g: np.ndarray) -> None:
         self.n += 1
-        self.m += 0.1 * (g - self.m)
-        self.s += 0.01 * (g * g - self.s)
-        flat -= self.rate * (self.m / (1 - 0.9**self.n)) / (np.sqrt(self.s / (1 - 0.99**self.n)) + 1e-8)
+        t = np.multiply(g, np.float32(0.1), out=self.spare)
+        self.m *= np.float32(0.9)
+        self.m += t
+        np.multiply(g, g, out=t)
+        t *= np.float32(0.01)
+        self.s *= np.float32(0.99)
+        self.s += t
+        np.sqrt(self.s, out=t)
+        t *= np.float32(1 / np.sqrt(1 - 0.99**self.n))
+        t += np.float32(1e-8)
+        np.divide(self.m, t, out=t)
+        t *= np.float32(self.rate / (1 - 0.9**self.n))
+        flat -= t
 
 
 class Windows:
-    """Overlapping windows over id sequences: every id stands once among the last STRIDE places of one."""
+    """Overlapping windows over symbol sequences: every symbol stands once among the last STRIDE places of one."""
 
-    def __init__(self, vocabulary: Vocabulary, ids: np.ndarray, starts: np.ndarray) -> None:
+    def __init__(self, known: np.ndarray, starts: np.ndarray) -> None:
         n = np.diff(starts)
         per = -(-n // STRIDE)
         self.doc = np.repeat(np.arange(len(n)), per)
         self.number = np.arange(len(self.doc)) - np.repeat(np.cumsum(per) - per, per)
-        # inputs are the ids one place earlier; before a document stands the end id
-        known = vocabulary.symbol_of[ids]
-        shifted = np.concatenate([np.zeros(LEAD + 1, np.int32), known, np.zeros(WINDOW, np.int32)])
+        # inputs are the symbols one place earlier; before a document stands the end
+        shifted = np.concatenate([np.zeros(LEAD + 1, known.dtype), known, np.zeros(WINDOW, known.dtype)])
         shifted[LEAD + starts[1:-1]] = 0
-        padded = np.concatenate([known, np.zeros(WINDOW, np.int32)])
+        padded = np.concatenate([known, np.zeros(WINDOW, known.dtype)])
         self.at = starts[self.doc] + self.number * STRIDE
         self.left = n[self.doc] - self.number * STRIDE
         self.inputs, self.targets = (np.lib.stride_tricks.sliding_window_view(x, w) for x, w in ((shifted, WINDOW), (padded, STRIDE)))
@@ -237,28 +301,38 @@ class Trainer:
         self.sum, self.n, self.gradients, self.seen = np.zeros_like(self.p.flat), 0, 0, 0
 
     def documents(self, ids: np.ndarray, starts: np.ndarray) -> None:
-        w = Windows(self.v, ids, starts)
+        self.symbols(self.v.symbol_of[ids], starts)
+
+    def symbols(self, known: np.ndarray, starts: np.ndarray) -> None:
+        """``known``: symbols of documents one after the other, each ended by the end; ``starts``: where each begins, and the length."""
+        w = Windows(known, starts)
         order, inner = self.rng.permutation(len(w.doc)), np.arange(STRIDE)
-        for i in range(0, len(order), GRADIENT_WINDOWS):
-            s = order[i : i + GRADIENT_WINDOWS]
-            target = np.where(inner < w.left[s][:, None], self.v.class_of[w.targets[w.at[s]]], -1)
-            _, n, g = gradient(self.p, self.v.after, w.inputs[w.at[s]], target, w.number[s] == 0)
-            self.sum += g
-            self.n += n
-            self.gradients += 1
-            self.seen += len(s)
-            if self.adam.n < FIRST_STEPS or self.gradients >= STEP_GRADIENTS:
-                self.step()
+        for lo in range(0, len(order), FETCH):
+            some = order[lo : lo + FETCH]
+            at, left, first = w.at[some], w.left[some], w.number[some] == 0
+            inputs, target = w.inputs[at], self.v.class_of.take(w.targets[at])
+            ends = np.flatnonzero(left < STRIDE)
+            target[ends] = np.where(inner < left[ends, None], target[ends], -1)
+            for i in range(0, len(some), GRADIENT_WINDOWS):
+                s = slice(i, i + GRADIENT_WINDOWS)
+                _, n, g = gradient(self.p, self.v.after, inputs[s], target[s], first[s])
+                self.sum += g
+                self.n += n
+                self.gradients += 1
+                self.seen += len(first[s])
+                if self.adam.n < FIRST_STEPS or self.gradients >= STEP_GRADIENTS:
+                    self.step()
 
     def step(self) -> None:
         if self.n:
-            self.adam.step(self.p.flat, self.sum / np.float32(self.n))
+            self.sum /= np.float32(self.n)
+            self.adam.step(self.p.flat, self.sum)
             self.sum[:] = 0
             self.n = self.gradients = 0
 
 
 class Scorer:
-    """Scores id sequences: log probability (natural) of every document of a batch."""
+    """Scores sequences: log probability (natural) of every document of a batch."""
 
     def __init__(self, vocabulary: Vocabulary, flat: np.ndarray) -> None:
         p, self.v = Parameters(vocabulary.symbols, flat), vocabulary
@@ -278,37 +352,43 @@ class Scorer:
         add = lambda t, one: np.concatenate([t, np.full((len(t), 1), one)], 1).astype(np.float32)
         self.table, self.places = add(self.table, 1), add(self.places, 0)
         self.mask = _CAUSAL[LEAD:]
+        self.room = Room(BLOCK, 0, 3 * WIDTH + 1)
 
-    def symbols(self, inputs: np.ndarray, first: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log p(symbol) at the last STRIDE places. Symbols: inputs (windows, WINDOW), target (windows, STRIDE); ``first`` windows have LEAD padded places."""
-        b, d = len(inputs), WIDTH
-        x = self.table[inputs]
+    def windows(self, inputs: np.ndarray, first: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log p(class) at the last STRIDE places. Symbols: inputs (windows, WINDOW); classes: target (windows, STRIDE); ``first`` windows have LEAD padded places."""
+        b, d, room = len(inputs), WIDTH, self.room
+        x = self.table.take(inputs, 0, out=room.qkv[:b], mode="clip")
         x += self.places
-        a = x[:, LEAD:, :d] @ x[:, :, d : 2 * d].transpose(0, 2, 1)
+        a = np.matmul(x[:, LEAD:, :d], x[:, :, d : 2 * d].transpose(0, 2, 1), out=room.s[:b])
         a += self.mask
         a[first, :, :LEAD] = _NEVER
         np.exp(a, out=a)
-        ctx = (a @ x[:, :, 2 * d :]).reshape(-1, d + 1)
-        z = (ctx[:, :d] / ctx[:, d:]) @ self.u
+        sums = np.matmul(a, x[:, :, 2 * d :], out=room.sums[:b])
+        ctx = np.divide(sums[:, :, :d], sums[:, :, d:], out=room.ctx[:b]).reshape(-1, d)
+        z = np.matmul(ctx, self.u, out=room.z[:b].reshape(-1, CLASSES))
+        at = room.rows[: len(z)] + target.ravel()
+        after = self.v.after.take(inputs[:, LEAD:], 0, out=room.after[:b], mode="clip").reshape(-1, CLASSES)
+        lp = z.reshape(-1)[at]
         np.exp(z, out=z)
-        before = inputs[:, LEAD:].ravel()
-        t = self.v.class_of[target.ravel()]
-        total = np.einsum("bc,bc->b", self.v.after[before], z)
-        lp = np.log(self.v.after[before, t] * z[np.arange(len(t)), t] / total) + self.v.log_inside[before, target.ravel()]
+        lp += np.log(after.reshape(-1)[at] / np.einsum("bc,bc->b", after, z))
         return lp.reshape(b, STRIDE)
 
-    def documents(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """``ids``: documents one after the other, each ended by the end id; ``starts``: where each begins, and the length."""
-        w = Windows(self.v, ids, starts)
+    def symbols(self, known: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Log probability of the classes of every document's symbols. ``known``: documents one after the other, each ended by the end; ``starts``: where each begins, and the length."""
+        w = Windows(known, starts)
         out = np.zeros(len(starts) - 1)
-        within = np.lib.stride_tricks.sliding_window_view(np.concatenate([self.v.log_within[ids], np.zeros(WINDOW, np.float32)]), STRIDE)
         inner = np.arange(STRIDE)
-        for i in range(0, len(w.doc), BLOCK):
-            s = slice(i, i + BLOCK)
-            at, left = w.at[s], w.left[s]
-            lp = self.symbols(w.inputs[at], w.number[s] == 0, w.targets[at])
-            lp += within[at]
+        for lo in range(0, len(w.doc), FETCH):
+            at, left, first, doc = (x[lo : lo + FETCH] for x in (w.at, w.left, w.number == 0, w.doc))
+            inputs, target = w.inputs[at], self.v.class_of.take(w.targets[at])
+            lp = np.concatenate([self.windows(inputs[i : i + BLOCK], first[i : i + BLOCK], target[i : i + BLOCK]) for i in range(0, len(at), BLOCK)])
             ends = np.flatnonzero(left < STRIDE)
             lp[ends] = np.where(inner < left[ends, None], lp[ends], 0)
-            out += np.bincount(w.doc[s], lp.sum(1, dtype=np.float64), len(out))
+            low = doc[0]
+            some = np.bincount(doc - low, lp.sum(1, dtype=np.float64))
+            out[low : low + len(some)] += some
         return out
+
+    def documents(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """``ids``: documents one after the other, each ended by the end id; ``starts``: where each begins, and the length."""
+        return self.symbols(self.v.symbol_of[ids], starts) + self.v.fixed(ids, starts)

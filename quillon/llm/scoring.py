@@ -1,16 +1,20 @@
 """Language-model scores of whole documents, and a counted baseline.
 
-Three passes over the documents:
+Two passes over the documents, and two over what they are to the model:
 
 * word counts of all training documents (each task counts, then words meet);
+* encoding: of each document its symbols, what the counts alone say of its score,
+  and its words beyond the frequent ones, written once;
 * training: steps on every window of every training document, the same windows
   that scoring uses, so each id is learned from once. Tasks take steps on
   their own documents, and weights are averaged over tasks by windows seen,
   ``ROUNDS`` times over as many shares of the documents. Averages are taken in
   two levels, so at most ``GROUPS`` weight vectors reach the driver;
-* scoring: subword ids of each document run through overlapping windows, each id
+* scoring: symbols of each document run through overlapping windows, each
   scored once.
 
+Words are split, and equal ones of a few documents found, by Arrow; Python sees each of these once.
+
 Id counts, classes and the table of classes after classes come from the exact
 word counts. The ``FREQUENT`` most frequent words (of at most ``FREQUENT_BYTES``)
 are broadcast with their counts: those whose count is at least the lowest that
@@ -34,7 +38,6 @@ import base64
 import functools
 import math
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -42,6 +45,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +59,13 @@ FREQUENT_BYTES = 64
 COUNT_WORDS = 400_000
 ROUNDS = 3
 GROUPS = 32
-#: Documents whose windows are mixed with one another, and whose words meet one table.
+#: Documents whose windows are mixed with one another.
 DOCS = 128
+#: Text whose words are counted, or encoded, together (or one document).
+COUNT_BYTES = 1 << 23
+ENCODE_BYTES = 1 << 21
+#: Symbols as they are stored.
+STORED = np.dtype("<u2")
 #: A longer word is encoded in pieces.
 WORD_CHARS = 4096
 #: Words that one call encodes.
@@ -72,8 +81,38 @@ def _encoding(ranks: bytes):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
 
 
-def words_of(raw: bytes | None) -> list[bytes]:
-    return (raw or b"").lower().split()  # of bytes: A-Z and ASCII white space alone
+def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of documents, the words as numbers of these, and where each document begins, and the length. ``END`` ends each."""
+    texts = texts.cast(pa.binary()).fill_null(END).view(pa.string())  # the bytes of A-Z and ASCII white space alone are looked at
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    found = split.flatten().dictionary_encode()
+    # by way of numpy, as to_pylist makes an Arrow scalar of each
+    words, codes = found.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(zero_copy_only=False)
+    size = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    if END in words:  # before white space that begins a text, and behind what ends it
+        end = words.index(END)
+        kept = codes != end
+        size = np.bincount(np.repeat(np.arange(len(size)), size)[kept], minlength=len(size))
+        codes = codes[kept]
+    else:
+        end = len(words)
+        words.append(END)
+    starts = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(starts[-1], end, np.int64)
+    inside = np.ones(len(out), bool)
+    inside[starts[1:] - 1] = False
+    out[inside] = codes
+    return words, out, starts
+
+
+def _parts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most so many bytes, or one row."""
+    at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+        yield lo, hi
+        lo = hi
 
 
 def word_ids(encoding, word: bytes) -> list[int]:
@@ -86,20 +125,26 @@ def word_ids(encoding, word: bytes) -> list[int]:
     return [i for at in range(0, len(text), WORD_CHARS) for i in encoding.encode_ordinary(text[at : at + WORD_CHARS])]
 
 
+@functools.lru_cache(2)
+def _opens(ranks: bytes) -> np.ndarray:
+    """Whether an id's piece begins with a space."""
+    out = np.zeros(_encoding(ranks).n_vocab + 1, bool)
+    for line in ranks.splitlines():
+        piece, i = line.split()
+        out[int(i)] = base64.b64decode(piece)[:1] == b" "
+    return out
+
+
 class WordIds:
-    """Number of each word: fixed ones first, then those that only the last call saw, with their ids end to end."""
+    """Subword ids of words. Those of the given words are found once."""
 
     def __init__(self, ranks: bytes, words: list[bytes]) -> None:
         self.known = {w: i for i, w in enumerate(words)}
-        self.encoding, self.fixed = _encoding(ranks), len(words)
-        self.new: list[bytes] = []
-        self.opens = np.zeros(self.encoding.n_vocab + 1, bool)
-        for line in ranks.splitlines():
-            piece, i = line.split()
-            self.opens[int(i)] = base64.b64decode(piece)[:1] == b" "
-        self.lengths, self.flat = self._ids(words)
-
-    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        self.encoding, self.opens = _encoding(ranks), _opens(ranks)
+        self.lengths, self.flat = self.encode(words)
+        self.begin = np.cumsum(self.lengths) - self.lengths
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Length and ids of each word. Many words are encoded in one call: a space begins each, and none is inside."""
         odd = {i: word_ids(self.encoding, w) for i, w in enumerate(words) if not 0 < len(w) <= WORD_CHARS}
         lengths = np.zeros(len(words), np.int64)
@@ -120,25 +165,26 @@ class WordIds:
         return lengths, flat
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        n = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        other = np.flatnonzero(n < 0)
-        if len(other):
-            found = list(map(words.__getitem__, other.tolist()))
-            place = {w: i for i, w in enumerate(dict.fromkeys(found))}
-            self.new = list(place)
-            n[other] = self.fixed + np.fromiter(map(place.__getitem__, found), np.int64, len(found))
-        else:
-            self.new = []
-        return n
-
-    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words, and where each word's begin (and the length)."""
-        lengths, flat = self._ids(self.new)
-        lengths, flat = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
-        begin = np.cumsum(lengths) - lengths
-        n = lengths[numbers]
-        at = np.concatenate([[0], np.cumsum(n)])
-        return flat[np.repeat(begin[numbers] - at[:-1], n) + np.arange(at[-1])], at
+        """Number of each word among the given ones, or -1."""
+        return np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+
+    def ids(self, words: list[bytes], numbers: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words that ``codes`` say, and where each word's begin (and the length). ``numbers`` are those of ``words``."""
+        old, new = np.flatnonzero(numbers >= 0), np.flatnonzero(numbers < 0)
+        lengths, flat = self.encode(list(map(words.__getitem__, new.tolist())))
+        n = self.lengths[numbers[old]]
+        size, begin = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        size[old], size[new] = n, lengths
+        begin[old] = np.cumsum(n) - n
+        begin[new] = n.sum() + np.cumsum(lengths) - lengths
+        flat = np.concatenate([self.flat[_ranges(self.begin[numbers[old]], n)], flat])
+        n = size[codes]
+        return flat[_ranges(begin[codes], n)], np.concatenate([[0], np.cumsum(n)])
+
+
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n`` numbers from each of ``begin`` on, one range after the other."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 _last: dict[str, WordIds] = {}
@@ -171,13 +217,9 @@ def count_words(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
         for b in batches:
-            for lo in range(0, len(b), 512):
-                # a few documents first: their words meet in a small table
-                few: Counter[bytes] = Counter()
-                for t in b.column(0)[lo : lo + 512].to_pylist():
-                    few.update(words_of(t))
-                    few[END] += 1
-                for w, n in few.items():
+            for lo, hi in _parts(b.column(0), COUNT_BYTES):
+                words, codes, _ = split_words(b.column(0)[lo:hi])
+                for w, n in zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True):
                     total[w] = total.get(w, 0) + n
                 if len(total) >= COUNT_WORDS:
                     yield out()
@@ -195,12 +237,11 @@ def _steps(counts: DataFrame, ranks) -> DataFrame:
     """a, b, n: ids next to each other within words; the end id stands for the borders."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = _encoding(ranks.value)
-        end = encoding.n_vocab
+        at = WordIds(ranks.value, [])
+        end = at.encoding.n_vocab
         for b in batches:
-            at = WordIds(ranks.value, [])
-            ids, starts = at.ids(at.numbers(b.word.tolist()))
-            size = np.diff(starts)
+            size, ids = at.encode(b.word.tolist())
+            starts = np.concatenate([[0], np.cumsum(size)])
             weight = np.repeat(b.c.to_numpy(), size)
             before = np.concatenate([[end], ids[:-1]]).astype(np.int64)
             before[starts[:-1]] = end
@@ -227,23 +268,54 @@ def learn_vocabulary(counts: DataFrame, ranks, end: int, n_docs: int) -> A.Vocab
     return A.vocabulary(size, n, tuple(kept[c].to_numpy(np.int64) for c in ("a", "b", "n")))
 
 
-def _document_words(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
-    """The words of documents one after the other, each ended by ``END``, and where each begins, and the length."""
-    words: list[bytes] = []
-    ends = [0]
-    for t in texts:
-        words += words_of(t)
-        words.append(END)
-        ends.append(len(words))
-    return words, np.array(ends)
+def encode(docs: DataFrame, vocabulary, frequent, ranks, unit: float, rounds: int) -> DataFrame:
+    """Of each row: row, doc_id, share (of the training documents; -1: held out), n_tokens, found and base (of frequent words), fixed, symbols, rare words. Written once."""
+    have = [F.col(f"`{x}`") for x in ("doc_id", "text") if x in docs.columns]
+    learn = training() if "doc_id" in docs.columns else F.lit(True)
+    share = F.when(learn, F.pmod(F.xxhash64(*have), F.lit(max(rounds, 1))).cast("int")).otherwise(-1)
+    texts = pick(docs.select(*have, share.alias("share")), doc_id="long", share="int", text="string").withColumn("text", F.col("text").cast("binary"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, v = _table(frequent, ranks), vocabulary.value
+        logs = np.append(np.log10(frequent.value[2] + 1.0) - unit, 0.0)  # the last is that of a word beyond
+        for b in batches:
+            for lo, hi in _parts(b.column("text"), ENCODE_BYTES):
+                part = b.slice(lo, hi - lo)
+                words, codes, starts = split_words(part.column("text"))
+                numbers = table.numbers(words)
+                ids, at = table.ids(words, numbers, codes)
+                doc = np.repeat(np.arange(len(part)), np.diff(starts))
+                often = (numbers >= 0)[codes]
+                base = np.bincount(doc, logs[numbers][codes], len(part))
+                found = np.bincount(doc[often], minlength=len(part))
+                pair, tf = np.unique(doc[~often] * len(words) + codes[~often], return_counts=True)
+                of, which = pair // len(words), pair % len(words)
+                offsets = np.searchsorted(of, np.arange(len(part) + 1)).astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(list(map(words.__getitem__, which.tolist())), pa.binary()), pa.array(tf, pa.int64())], ["word", "tf"]))
+                begin = at[starts]
+                symbols = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((begin * STORED.itemsize).astype(np.int32)), pa.py_buffer(v.symbol_of[ids].astype(STORED))])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("share"), pa.array(np.diff(starts)), pa.array(found), pa.array(base), pa.array(v.fixed(ids, begin)), symbols, rare],
+                    ["doc_id", "share", "n_tokens", "found", "base", "fixed", "symbols", "rare"],
+                )
+
+    rows = texts.mapInArrow(run, "doc_id long, share int, n_tokens long, found long, base double, fixed double, symbols binary, rare array<struct<word:binary,tf:long>>")
+    return materialize(rows.withColumn("row", F.monotonically_increasing_id()), "encoded")
+
 
+def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of documents one after the other, and where each begins, and the length."""
+    column = column.cast(pa.binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // STORED.itemsize
+    return np.frombuffer(data, STORED)[at[0] : at[-1]], at - at[0]
 
-def train_round(docs: DataFrame, vocabulary, frequent, ranks, flat: np.ndarray, rate: float = A.RATE) -> np.ndarray:
-    """Weights after a pass over all windows of ``docs``: the tasks' averages, by windows seen."""
-    start = docs.sparkSession.sparkContext.broadcast(flat)
+
+def train_round(rows: DataFrame, vocabulary, flat: np.ndarray, rate: float = A.RATE) -> np.ndarray:
+    """Weights after a pass over all windows of the encoded ``rows``: the tasks' averages, by windows seen."""
+    start = rows.sparkSession.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(frequent, ranks)
         trainer, part = None, 0
         for b in batches:
             for lo in range(0, len(b), DOCS):
@@ -251,9 +323,7 @@ def train_round(docs: DataFrame, vocabulary, frequent, ranks, flat: np.ndarray,
                 if trainer is None:
                     part = some.column("part")[0].as_py()
                     trainer = A.Trainer(vocabulary.value, start.value, rate, part)
-                words, ends = _document_words(some.column("text").to_pylist())
-                ids, at = table.ids(table.numbers(words))
-                trainer.documents(ids, at[ends])
+                trainer.symbols(*_symbols(some.column("symbols")))
         if trainer is not None and trainer.seen:
             trainer.step()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([trainer.seen], pa.int64()), "w": pa.array([trainer.p.flat.tobytes()], pa.binary())})
@@ -267,8 +337,7 @@ def train_round(docs: DataFrame, vocabulary, frequent, ranks, flat: np.ndarray,
         if n:
             yield pd.DataFrame({"n": [n], "w": [(total / n).astype(np.float32).tobytes()]})
 
-    rows = _texts(docs).select("text", F.spark_partition_id().alias("part"))
-    local = rows.mapInArrow(run, "part int, n long, w binary")
+    local = rows.select("symbols", F.spark_partition_id().alias("part")).mapInArrow(run, "part int, n long, w binary")
     # written first: training is not repeated when an executor is lost
     got = materialize(local, "weights").repartition(GROUPS, "part").sortWithinPartitions("part").mapInPandas(average, "n long, w binary").collect()
     if not got:
@@ -289,47 +358,33 @@ def score(docs: DataFrame, ranks_path: str | None = None, rounds: int = ROUNDS)
     unit = math.log10(n + v + 1) if n else 0.0
     short = counts.filter(F.octet_length("word") <= FREQUENT_BYTES)
     least = most_frequent(short, "c", FREQUENT)
-    top = short.filter(F.col("c") >= least).toArrow()
+    top = short.filter(F.col("c") >= least).toArrow().sort_by([("c", "descending")])  # the words that are looked up most lie together
     words, c = top.column("word").to_pylist(), top.column("c").to_numpy()
     frequent = spark.sparkContext.broadcast((uuid.uuid4().hex, words, c))
     vocabulary = learn_vocabulary(counts, ranks, end, n_docs)
     shared = spark.sparkContext.broadcast(vocabulary)
+    encoded = encode(docs, shared, frequent, ranks, unit, rounds)
     flat = A.Parameters(vocabulary.symbols).flat
     for r in range(rounds):
-        share = learn.filter(F.pmod(F.xxhash64(*[F.col(f"`{x}`") for x in ("doc_id", "text") if x in docs.columns]), F.lit(rounds)) == r)
-        flat = train_round(share, shared, frequent, ranks, flat, A.RATE * (1 - r / rounds))
+        flat = train_round(encoded.filter(F.col("share") == r), shared, flat, A.RATE * (1 - r / rounds))
     weights = spark.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, known, c = frequent.value
         model = A.Scorer(shared.value, weights.value)
-        at = _table(frequent, ranks)
-        logs = np.log10(c + 1.0) - unit
         for b in batches:
             for lo in range(0, len(b), DOCS):
                 part = b.slice(lo, DOCS)
-                words, ends = _document_words(part.column("text").to_pylist())
-                numbers = at.numbers(words)
-                ids, starts = at.ids(numbers)
-                new = at.new
-                often = numbers < len(known)
-                doc = np.repeat(np.arange(len(part)), np.diff(ends))
-                base = np.bincount(doc[often], logs[numbers[often]], len(part)).astype(np.float64)
-                found = np.bincount(doc[often], minlength=len(part)).astype(np.int64)
-                pair, tf = np.unique(doc[~often] * (len(new) + 1) + numbers[~often] - len(known), return_counts=True)
-                of, which = pair // (len(new) + 1), pair % (len(new) + 1)
-                offsets = np.searchsorted(of, np.arange(len(part) + 1)).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array([new[i] for i in which.tolist()], pa.binary()), pa.array(tf, pa.int64())], ["word", "tf"]))
-                lp = model.documents(ids, starts[ends]) / math.log(10)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends)), pa.array(found), pa.array(base), pa.array(lp), rare], ["doc_id", "n_tokens", "found", "base", "score", "rare"])
+                lp = model.symbols(*_symbols(part.column("symbols"))) + part.column("fixed").to_numpy()
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), pa.array(lp / math.log(10))], [*kept, "score"])
 
-    rows = _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, found long, base double, score double, rare array<struct<word:binary,tf:long>>")
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    asked = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.tf")
+    kept = ["row", "doc_id", "n_tokens", "found", "base"]
+    rows = encoded.select(*kept, "fixed", "symbols").mapInArrow(run, "row long, doc_id long, n_tokens long, found long, base double, score double")
+    rows = materialize(rows, "scored")
+    asked = encoded.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.tf")
     # words of the broadcast table are asked for by no row; a word may be hot only if it is long
     rest = counts.filter((F.col("c") < least) | (F.octet_length("word") > FREQUENT_BYTES))
     met = spread_join(asked, rest, ["word"], hot_keys(rest, ["word"], "c"), ["row"]).groupBy("row").agg(F.sum(F.col("tf") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - unit)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more_found"))
-    return rows.drop("rare").join(met, "row", "left").select(
+    return rows.join(met, "row", "left").select(
         "doc_id", (~training()).alias("held_out"), "n_tokens", (F.col("found") + F.coalesce("more_found", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
     )
 

@@ -1,8 +1,11 @@
 import math
+import pickle
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.llm import attention as A
@@ -124,3 +127,41 @@ def test_training_sees_every_id_once(small, monkeypatch):
     trainer.documents(np.concatenate(docs), np.cumsum([0, *map(len, docs)]))
     want = v.class_of[v.symbol_of[np.concatenate(docs)]]
     assert sorted(np.concatenate(seen).tolist()) == sorted(want.tolist())
+
+
+def test_split_words():
+    texts = [None, b"", b" \t\n\x0b\x0c\r ", bytes(range(256)), "Ä ÉCOLE  É\u00a0x\u2003y".encode(), b"\xff\xfe A a", b" lead The the", b"trail the ", b"one", b"x" * 9000]
+    for column in (pa.array(texts, pa.binary()), pa.array([b"other", *texts], pa.binary())[1:]):
+        words, codes, starts = scoring.split_words(column)
+        assert len(set(words)) == len(words)
+        for i, t in enumerate(texts):
+            assert [words[c] for c in codes[starts[i] : starts[i + 1]]] == [*(t or b"").lower().split(), b""]
+    assert scoring.split_words(pa.array([], pa.binary()))[2].tolist() == [0]
+
+
+def test_training_reads_symbols_not_texts(docs, monkeypatch):
+    seen, real = [], scoring.train_round
+    monkeypatch.setattr(scoring, "train_round", lambda rows, *x: seen.append(rows) or real(rows, *x))
+    scoring.score(docs)
+    assert [("symbols" in r.columns, "text" in r.columns) for r in seen] == [(True, False)] * scoring.ROUNDS
+    # each training document is in one share
+    assert sum(r.count() for r in seen) == docs.filter(scoring.training()).count()
+
+
+def test_gradient_keeps_its_memory(small):
+    v, p = small
+    rng = np.random.default_rng(4)
+    q = A.Parameters(v.symbols, pickle.loads(pickle.dumps(p.flat)))  # as from a broadcast
+    x = rng.integers(0, 50, (A.GRADIENT_WINDOWS, A.WINDOW)), rng.integers(-1, 20, (A.GRADIENT_WINDOWS, A.STRIDE)), rng.random(A.GRADIENT_WINDOWS) < 0.2
+    first = A.gradient(q, v.after, *x)[2]
+    kept = first.copy()
+    tracemalloc.start()
+    try:
+        again = A.gradient(q, v.after, *x)[2]
+        assert tracemalloc.get_traced_memory()[1] < q.flat.nbytes + 250_000
+    finally:
+        tracemalloc.stop()
+    # numpy's fast way to add at places asks for this very type
+    assert again.dtype is np.dtype(np.float32)
+    A.gradient(p, v.after, x[0][:5], x[1][:5], x[2][:5])
+    assert np.array_equal(first, kept) and np.array_equal(first, again)
