@@ -298,6 +298,7 @@ def encode(docs: DataFrame, vocabulary, frequent, ranks, unit: float, rounds: in
                     [part.column("doc_id"), part.column("share"), pa.array(np.diff(starts)), pa.array(found), pa.array(base), pa.array(v.fixed(ids, begin)), symbols, rare],
                     ["doc_id", "share", "n_tokens", "found", "base", "fixed", "symbols", "rare"],
                 )
+        release()
 
     rows = texts.mapInArrow(run, "doc_id long, share int, n_tokens long, found long, base double, fixed double, symbols binary, rare array<struct<word:binary,tf:long>>")
     return materialize(rows.withColumn("row", F.monotonically_increasing_id()), "encoded")
