@@ -82,12 +82,14 @@ def has_action(s: Column) -> Column:
 
 
 def has_cost_value(s: Column) -> Column:
-    def of(t: Column) -> Column:
-        signed = t.rlike(rf"\$[{T.WS}]*\d") | t.rlike(rf"\d[\d,.{T.WS}]*\$")
-        number = t.rlike(rf"\b\d[\d{T.WS},._]*\b")
-        return signed | (number & (t.rlike(r"\b(cost|price|money|upkeep|fee|tax)\b") | t.rlike(r"\b(in-game money|dollars?)\b")))
+    return T.let(T.normalize(s), cost_value_in)
 
-    return T.let(T.normalize(s), of)
+
+def cost_value_in(t: Column) -> Column:
+    """``has_cost_value`` of a text in its normal form."""
+    signed = t.rlike(rf"\$[{T.WS}]*\d") | t.rlike(rf"\d[\d,.{T.WS}]*\$")
+    number = t.rlike(rf"\b\d[\d{T.WS},._]*\b")
+    return signed | (number & (t.rlike(r"\b(cost|price|money|upkeep|fee|tax)\b") | t.rlike(r"\b(in-game money|dollars?)\b")))
 
 
 def is_data_row(unit: Column) -> Column:
@@ -109,23 +111,25 @@ def key_is_command(unit: Column) -> Column:
 
 def pricelike(unit: Column) -> Column:
     """Whether the cells after the key hold hardly more than an amount."""
+    return T.let(F.when(F.size(T.cells(unit)) > 0, T.cells(unit)).otherwise(F.array(F.lit(""))), pricelike_cells)
 
-    def of(x: Column) -> Column:
-        tail = F.array_join(F.slice(x, 2, F.size(x)), " ")
-        left = F.regexp_replace(F.regexp_replace(tail, rf"[\d,.{T.WS}$%]+", ""), r"(?i)\b(exp|xp)\b", "")
-        return F.when(F.size(x) < 2, F.lit(False)).otherwise((F.contains(tail, F.lit("$")) | tail.rlike(r"\d")) & (F.length(left) <= 3))
 
-    return T.let(F.when(F.size(T.cells(unit)) > 0, T.cells(unit)).otherwise(F.array(F.lit(""))), of)
+def pricelike_cells(x: Column) -> Column:
+    """``pricelike`` of a row that is cut into cells."""
+    tail = F.array_join(F.slice(x, 2, F.size(x)), " ")
+    left = F.regexp_replace(F.regexp_replace(tail, rf"[\d,.{T.WS}$%]+", ""), r"(?i)\b(exp|xp)\b", "")
+    return F.when(F.size(x) < 2, F.lit(False)).otherwise((F.contains(tail, F.lit("$")) | tail.rlike(r"\d")) & (F.length(left) <= 3))
 
 
 def definition_match(terms: Column, sentence: Column) -> Column:
     """2: opens on the subject and defines; 1: defines and names it; else 0."""
+    return T.let(T.compact(sentence), lambda s: definition_in(terms, s))
 
-    def of(s: Column) -> Column:
-        w = F.filter(F.split(s, " "), lambda x: x != "")
-        return F.when(~s.rlike(DEFINING), 0).when(F.arrays_overlap(terms, F.slice(w, 1, 4)), 2).when(F.arrays_overlap(terms, w), 1).otherwise(0)
 
-    return F.when((F.size(terms) == 0) | (T.compact(sentence) == ""), 0).otherwise(T.let(T.compact(sentence), of))
+def definition_in(terms: Column, s: Column) -> Column:
+    """``definition_match`` of a compact text."""
+    w = F.array_remove(F.split(s, " "), "")
+    return F.when((F.size(terms) == 0) | (s == "") | ~s.rlike(DEFINING), 0).when(F.arrays_overlap(terms, F.slice(w, 1, 4)), 2).when(F.arrays_overlap(terms, w), 1).otherwise(0)
 
 
 def _if(when: Column, weight: float) -> Column:
@@ -133,19 +137,23 @@ def _if(when: Column, weight: float) -> Column:
 
 
 def intent_score(sentence: Column, howto: Column) -> Column:
-    def of(s: Column) -> Column:
-        total = F.lit(0.0) + _if(s.rlike(STEPS), W_STEP) + _if(F.contains(sentence, F.lit("/")), W_SLASH) - _if(s.rlike(FAILING), W_FAILING)
-        return F.when(howto & (s != ""), total).otherwise(F.lit(0.0))
+    return T.let(T.compact(sentence), lambda s: intent_in(s, sentence, howto))
+
 
-    return T.let(T.compact(sentence), of)
+def intent_in(s: Column, sentence: Column, howto: Column) -> Column:
+    """``intent_score`` of a sentence and its compact form ``s``."""
+    total = F.lit(0.0) + _if(s.rlike(STEPS), W_STEP) + _if(F.contains(sentence, F.lit("/")), W_SLASH) - _if(s.rlike(FAILING), W_FAILING)
+    return F.when(howto & (s != ""), total).otherwise(F.lit(0.0))
 
 
 def alignment(sentence: Column, command_q: Column, navigation_q: Column) -> Column:
-    def of(s: Column) -> Column:
-        command = F.when(command_q, F.when(has_command(sentence), F.lit(W_COMMAND)).otherwise(F.lit(-W_NO_COMMAND))).otherwise(F.lit(0.0))
-        return command - _if(navigation_q & s.rlike(SETTING), W_SETTING) + _if(navigation_q & s.rlike(GOING), W_GOING)
+    return T.let(T.compact(sentence), lambda s: alignment_in(s, has_command(sentence), command_q, navigation_q))
+
 
-    return T.let(T.compact(sentence), of)
+def alignment_in(s: Column, has_cmd: Column, command_q: Column, navigation_q: Column) -> Column:
+    """``alignment`` of a compact text."""
+    command = F.when(command_q, F.when(has_cmd, F.lit(W_COMMAND)).otherwise(F.lit(-W_NO_COMMAND))).otherwise(F.lit(0.0))
+    return command - _if(navigation_q & s.rlike(SETTING), W_SETTING) + _if(navigation_q & s.rlike(GOING), W_GOING)
 
 
 def low_confidence(terms: Column, text: Column, score: Column, key_match: Column, has_cmd: Column, command_q: Column, navigation_q: Column, howto_q: Column) -> Column:

@@ -15,7 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns and literals on which results depend.
-WS = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space, for use within a character class; a printable ASCII character is told from it by its range alone.
+WS = r"[[^!-~]&&[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
 FORMAT_CODES = "\u00a7[^\\n]|&[0-9A-FK-ORa-fk-or]"
 SENTENCE_END = rf"(?<=[.!?])[{WS}]+"
 SENTENCE_SPLIT = rf"(?<=[.!?])[{WS}]+|[{WS}]+-[{WS}]+|\n+"
@@ -74,7 +75,7 @@ def normalize(c: Column, compatibility: bool = False) -> Column:
 def compact(c: Column, compatibility: bool = False) -> Column:
     """a-z, 0-9, _ and - in single-spaced words; anything else separates."""
     c = without_codes(c)
-    return F.trim(F.regexp_replace(F.lower(nfkc(c) if compatibility else c), "[^a-z0-9_-]+", " "))
+    return F.trim(F.regexp_replace(F.lower(nfkc(c) if compatibility else c), r"[^\w-]+", " "))
 
 
 def py_normalize(s: str) -> str:
@@ -88,11 +89,16 @@ def py_compact(s: str) -> str:
 
 def words(c: Column) -> Column:
     """Distinct words of a text by white space, hyphens kept inside."""
-    return F.array_distinct(F.filter(F.split(compact(c), " "), lambda w: w != ""))
+    return distinct_words(compact(c))
+
+
+def distinct_words(compacted: Column) -> Column:
+    """``words`` of a text that is compact already."""
+    return F.array_distinct(F.array_remove(F.split(compacted, " "), ""))
 
 
 def tokenize(c: Column) -> Column:
-    return F.filter(F.split(compact(c), "[ -]+"), lambda w: w != "")
+    return F.array_remove(F.split(compact(c), "[ -]+"), "")
 
 
 def query_terms(c: Column) -> Column:

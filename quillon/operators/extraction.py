@@ -36,32 +36,39 @@ def candidates(results: DataFrame, flagged: DataFrame) -> DataFrame:
     ``results``: query_id, pos, score, text. Adds unit_pos, unit, cleaned,
     key_cover, is_definition, overlap, intent and the flags of a candidate.
     """
-    d = results.select("query_id", "pos", "score", F.posexplode(T.candidate_units(F.col("text"))).alias("unit_pos", "unit")).join(flagged, "query_id")
+    held = results.select("query_id", "pos", "score", "text").join(flagged.hint("merge"), "query_id")
+    # what several features read is computed once: here within the array, so that no filter repeats it
+    units = F.transform(T.candidate_units(F.col("text")), lambda u: F.struct(u.alias("unit"), T.reformat(u).alias("cleaned")))
+    d = held.select("query_id", "pos", "score", *[c for c in flagged.columns if c != "query_id"], F.posexplode(units).alias("unit_pos", "u"))
     unit, terms, cost = F.col("unit"), F.col("terms"), F.col("cost")
-    d = d.filter((F.col("unit_pos") < UNITS) | F.arrays_overlap(terms, T.words(unit))).withColumn("cleaned", T.reformat(unit)).filter(F.length("cleaned") >= MIN_UNIT)
-    cleaned = F.col("cleaned")
+    d = d.withColumns({"unit": F.col("u.unit"), "cleaned": F.col("u.cleaned")}).drop("u")
+    d = d.filter((F.length("cleaned") >= MIN_UNIT) & ((F.col("unit_pos") < UNITS) | F.arrays_overlap(terms, T.words(unit))))
+    cleaned, compact = F.col("cleaned"), F.col("compact")
     digit = lambda w: w.rlike(r"^\d+$")
-    d = d.withColumns({"keyed": P.is_data_row(unit) & ~P.key_is_command(unit), "key": P.key_words(unit), "words": T.words(cleaned), "has_command": P.has_command(cleaned), "has_requirement": P.has_requirement(cleaned), "warning_like": P.warning_like(cleaned), "has_value": P.has_cost_value(cleaned)})
+    d = d.withColumns({"cells": F.when(T.is_row(unit), T.cells(unit)), "compact": T.compact(cleaned), "normal": T.normalize(cleaned), "has_command": P.has_command(cleaned)})
+    key_cell = F.get("cells", F.lit(0))
+    keyed = F.col("cells").isNotNull() & (F.size("cells") >= 2) & ~F.startswith(key_cell, F.lit("/"))
+    d = d.withColumns({"keyed": keyed, "key": F.when(keyed, T.words(key_cell)).otherwise(F.array().cast("array<string>")), "words": T.distinct_words(compact), "has_requirement": compact.rlike(P.REQUIREMENT), "warning_like": compact.rlike(P.WARNING), "has_value": P.cost_value_in(F.col("normal"))})
     scoped = F.array_union(F.filter("words", lambda w: ~digit(w)), F.filter("key", digit))
     named = F.size(F.array_intersect(terms, F.col("key"))) / F.size("key")
     value, warning = F.col("has_value"), F.col("warning_like")
     steps = [
         F.when(warning & ~cost, F.lit(-P.W_WARNING)).otherwise(F.lit(0.0)),
-        F.when(cost, F.when(value, F.lit(P.W_COST_VALUE)).when(warning, F.lit(-P.W_COST_WARNING)).otherwise(F.lit(0.0))).when(T.is_row(unit) & P.pricelike(unit), F.lit(-P.W_PRICE_ROW)).otherwise(F.lit(0.0)),
+        F.when(cost, F.when(value, F.lit(P.W_COST_VALUE)).when(warning, F.lit(-P.W_COST_WARNING)).otherwise(F.lit(0.0))).when(T.is_row(unit) & P.pricelike_cells(F.col("cells")), F.lit(-P.W_PRICE_ROW)).otherwise(F.lit(0.0)),
     ]
     return d.withColumns({
         "key_cover": F.when(F.col("keyed") & (F.size("key") > 0) & ~(cost & ~value), named).otherwise(F.lit(0.0)),
         "overlap": F.size(F.array_intersect(terms, F.when(F.col("keyed"), scoped).otherwise(F.col("words")))),
-        "is_definition": F.when(F.col("definition"), P.definition_match(terms, cleaned)).otherwise(0),
-        "intent": P.intent_score(cleaned, F.col("howto")) + P.alignment(cleaned, F.col("command"), F.col("navigation")) + steps[0] + steps[1],
-    }).withColumn("key_match", F.col("key_cover") >= 1.0)
+        "is_definition": F.when(F.col("definition"), P.definition_in(terms, compact)).otherwise(0),
+        "intent": P.intent_in(compact, cleaned, F.col("howto")) + P.alignment_in(compact, F.col("has_command"), F.col("command"), F.col("navigation")) + steps[0] + steps[1],
+    }).withColumn("key_match", F.col("key_cover") >= 1.0).drop("cells", "compact", "key", "words")
 
 
 def rank_candidates(cands: DataFrame) -> DataFrame:
     """Each normal form once, best first: with rank from 1."""
-    order = [F.desc("key_cover"), F.desc("is_definition"), F.desc("overlap"), F.desc("intent"), F.desc("score"), F.length("cleaned"), F.col("pos"), F.col("unit_pos")]
-    one = F.row_number().over(Window.partitionBy("query_id", T.normalize(F.col("cleaned"))).orderBy(*order))
-    d = cands.withColumn("nth", one).filter("nth = 1").drop("nth")
+    order = [F.desc("key_cover"), F.desc("is_definition"), F.desc("overlap"), F.desc(F.round("intent", 9)), F.desc("score"), F.length("cleaned"), F.col("pos"), F.col("unit_pos")]
+    one = F.row_number().over(Window.partitionBy("query_id", "normal").orderBy(*order))
+    d = cands.withColumn("nth", one).filter("nth = 1").drop("nth", "normal")
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
@@ -70,9 +77,9 @@ def debug_candidates(ranked: DataFrame, n: int = 10) -> DataFrame:
 
 
 def _listed(ranked: DataFrame) -> DataFrame:
-    """query_id, cands: a query's candidates as an array in order."""
+    """query_id, cands (a query's candidates as an array in order), and what the query asks for."""
     c = F.struct("rank", "overlap", "score", F.col("cleaned").alias("text"), "has_command", "has_requirement", "warning_like", "key_match")
-    return ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(c)).alias("cands"))
+    return ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(c)).alias("cands"), *[F.first(x).alias(x) for x in ("terms", "howto", "cost", "command", "navigation", "price")])
 
 
 def compose(cands: Column, howto: Column, command: Column, cost: Column) -> Column:
@@ -103,23 +110,37 @@ def answer_prefix(price: Column) -> Column:
 
 def extractive_answers(results: DataFrame, queries: DataFrame, max_chars: int = 248) -> DataFrame:
     """query_id, answer of every query: the unknown reply where nothing is found or trusted."""
-    flagged = with_flags(queries)
-    listed = _listed(rank_candidates(candidates(results, flagged)))
-    d = flagged.join(listed, "query_id", "left")
+    return answers_and_texts(results, queries, max_chars, 0).select("query_id", "answer")
+
+
+def answers_and_texts(results: DataFrame, queries: DataFrame, max_chars: int, n: int) -> DataFrame:
+    """``queries`` with answer (see ``extractive_answers``) and texts (see ``candidate_texts``; empty if n is 0), from one ranking."""
+    listed = _listed(rank_candidates(candidates(results, with_flags(queries))))
     top = F.col("cands")[0]
-    unsure = F.col("cands").isNull() | P.low_confidence(F.col("terms"), top["text"], top["score"], top["key_match"], top["has_command"], F.col("command"), F.col("navigation"), F.col("howto"))
+    unsure = P.low_confidence(F.col("terms"), top["text"], top["score"], top["key_match"], top["has_command"], F.col("command"), F.col("navigation"), F.col("howto"))
     text = T.reformat(compose(F.col("cands"), F.col("howto"), F.col("command"), F.col("cost")))
-    return d.select("query_id", F.when(unsure, F.lit(T.UNKNOWN_REPLY)).otherwise(T.truncate(F.concat(answer_prefix(F.col("price")), text), max_chars)).alias("answer"))
+    answer = F.when(unsure, F.lit(T.UNKNOWN_REPLY)).otherwise(T.truncate(F.concat(answer_prefix(F.col("price")), text), max_chars))
+    best = F.transform(F.slice("cands", 1, n), lambda c: c["text"]) if n > 0 else None
+    said = listed.select("query_id", answer.alias("said"), *([best.alias("best")] if n > 0 else []))
+    d = queries.join(said.hint("merge"), "query_id", "left").withColumn("answer", F.coalesce("said", F.lit(T.UNKNOWN_REPLY))).drop("said")
+    return _with_fallback(d, results) if n > 0 else d.withColumn("texts", F.array().cast("array<string>"))
+
+
+def _with_fallback(d: DataFrame, results: DataFrame) -> DataFrame:
+    """``d`` with texts: best; where that is null the first result's text, else none."""
+    first = results.groupBy("query_id").agg(F.min_by("text", "pos").alias("__first"))
+    whole = T.reformat(F.trim(F.translate("__first", "\n", " ")))
+    texts = F.when(F.col("best").isNotNull(), F.col("best")).otherwise(T.let(whole, lambda w: F.when(F.length(w) > 0, F.array(w)).otherwise(F.array().cast("array<string>"))))
+    return d.join(first.hint("merge"), "query_id", "left").withColumn("texts", texts).drop("best", "__first")
 
 
 def candidate_texts(results: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """query_id, texts: the n best; else the first result's text, else none."""
+    if n <= 0:
+        return queries.select("query_id", F.array().cast("array<string>").alias("texts"))
     ranked = rank_candidates(candidates(results, with_flags(queries))).filter(F.col("rank") <= n)
-    best = ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "cleaned"))), lambda c: c["cleaned"]).alias("texts"))
-    fallback = results.groupBy("query_id").agg(T.reformat(F.trim(F.translate(F.min_by("text", "pos"), "\n", " "))).alias("whole"))
-    none = F.array().cast("array<string>")
-    d = queries.select("query_id").join(best, "query_id", "left").join(fallback, "query_id", "left")
-    return d.select("query_id", F.coalesce("texts", F.when(F.length("whole") > 0, F.array("whole")), none).alias("texts") if n > 0 else none.alias("texts"))
+    best = ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "cleaned"))), lambda c: c["cleaned"]).alias("best"))
+    return _with_fallback(queries.select("query_id").join(best.hint("merge"), "query_id", "left"), results)
 
 
 def build_context(results: DataFrame, max_chars: int = CONTEXT_CHARS) -> DataFrame:

@@ -15,6 +15,7 @@ from quillon.operators import extraction as X
 from quillon.operators import serving as S
 from quillon.queries import sql as Q
 from quillon.queries.text import QUESTION, _question, table
+from quillon.storage import dealt
 
 
 def _chunk_text():
@@ -31,15 +32,22 @@ _NL = "chr(10)"
 CHUNK = f"concat(p_brand, {_NL}, '| Name | Value |', {_NL}, '|---|---|', {_NL}, '| ', p_name, ' | ', {_PRICE}, '$ |', {_NL}, '| ', p_name, ' | use /warp ', p_type, ' first. Then go on |', {_NL}, 'A ', p_name, ' is made of ', p_type, ' parts. You must have size ', p_size, ' at least - failure costs a lot!', {_NL}, 'To create one, type /make ', p_name, ' there.')"
 
 
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return dealt(table(spark, d, "part"), "p_partkey")
+
+
 def results(spark: SparkSession, d: str) -> DataFrame:
     score = (F.col("p_partkey") % 10).cast("double") / 20.0 + 0.1
-    one = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.lit(1).alias("pos"), score.alias("score"), F.concat(F.lit("wiki/"), F.col("p_type"), F.lit(".md")).alias("source_path"), F.col("p_name").alias("title"), F.when(F.col("p_size") % 2 == 0, F.array("p_brand", "p_type")).otherwise(F.array().cast("array<string>")).alias("heading_path"), _chunk_text().alias("text"))
-    two = one.withColumns({"pos": F.lit(2), "score": F.col("score") / 2, "source_path": F.concat(F.lit("docs/"), F.col("source_path")), "text": F.concat(F.lit("Second page of "), F.col("title"), F.lit(". It allows you to warp and to set a home there."))})
-    return one.unionByName(two)
+    path = F.concat(F.lit("wiki/"), F.col("p_type"), F.lit(".md"))
+    second = F.concat(F.lit("Second page of "), F.col("p_name"), F.lit(". It allows you to warp and to set a home there."))
+    page = lambda pos, s, p, t: F.struct(F.lit(pos).alias("pos"), s.alias("score"), p.alias("source_path"), t.alias("text"))
+    pages = F.array(page(1, score, path, _chunk_text()), page(2, score / 2, F.concat(F.lit("docs/"), path), second))
+    r = _parts(spark, d).select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("title"), F.when(F.col("p_size") % 2 == 0, F.array("p_brand", "p_type")).otherwise(F.array().cast("array<string>")).alias("heading_path"), F.explode(pages).alias("r"))
+    return r.select("query_id", "r.pos", "r.score", "r.source_path", "title", "heading_path", "r.text")
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), _question().alias("query"))
+    return _parts(spark, d).select(F.col("p_partkey").alias("query_id"), _question().alias("query"))
 
 
 # a unit per row: rows of a table first, cut at sentence ends, then the sentences of the other lines
@@ -125,7 +133,7 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 def _plain_answers(spark: SparkSession, d: str) -> DataFrame:
     q = questions(spark, d).filter(~P.howto_query(F.col("query")))
-    return X.extractive_answers(results(spark, d).join(q.select("query_id"), "query_id", "left_semi"), q)
+    return X.extractive_answers(results(spark, d), q)
 
 
 _BLOCK = "'[Wiki chunk ' || pos || '] source=' || path || ' score=' || printf('%.3f', score) || chr(10) || 'Title: ' || title || chr(10) || 'Heading: ' || CASE WHEN len(heads) > 0 THEN array_to_string(heads, ' > ') ELSE title END || chr(10) || 'Text: ' || trim(text)"
@@ -182,7 +190,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _selector_prompts(spark: SparkSession, d: str) -> DataFrame:
-    t = _texts(spark, d).join(questions(spark, d), "query_id")
+    t = _texts(spark, d).join(questions(spark, d).hint("merge"), "query_id")
     return t.select("query_id", F.md5(S.selector_prompt(F.col("query"), F.col("texts"))).alias("md5"))
 
 
@@ -194,7 +202,7 @@ def _debugged(spark: SparkSession, d: str) -> DataFrame:
 def _moded(spark: SparkSession, d: str, model: Model, said) -> DataFrame:
     """Replies of a mode, to questions that ask no procedure; ``said`` stands for the model."""
     q = questions(spark, d).filter(~P.howto_query(F.col("query")))
-    r = results(spark, d).join(q.select("query_id"), "query_id", "left_semi")
+    r = results(spark, d)
     s = replace(Settings(), model=model)
     none = spark.createDataFrame([], "query_id long, turn long, role string, content string")
     return S.answers(q, r, s, said, S.prompts(q, X.build_context(r), none, s))

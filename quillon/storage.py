@@ -19,6 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key over as many tasks as a shuffle has, for work that a row costs more than its bytes.
+
+    A reader's tasks follow a file's bytes and row groups, so a small file of many rows is one task or two.
+    Joins, windows and groups by these keys need no further exchange.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write once and read back: computed once, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
