@@ -46,8 +46,13 @@ def constant_generator(text: str) -> Generator:
 
 
 def generate(c: Column, model: Generator) -> Column:
+    """What the model says to each prompt; null where there is none: the model isn't asked."""
+
     @F.pandas_udf("string")
     def of(s: pd.Series) -> pd.Series:
-        return pd.Series(model(s.fillna("").tolist()))
+        out, held = pd.Series([None] * len(s), dtype=object), s.notna().to_numpy()
+        if held.any():
+            out[held] = model(s[held].tolist())
+        return out
 
     return of(c)

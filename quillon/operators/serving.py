@@ -62,7 +62,7 @@ def prompts(queries: DataFrame, contexts: DataFrame, history: DataFrame, setting
     n = settings.model.max_context_messages
     recent = history.withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("turn")))).filter(F.col("__n") <= n)
     lines = recent.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "content").alias("line")))), lambda x: x["line"]), "\n").alias("recent"))
-    d = queries.join(contexts, "query_id", "left").join(lines, "query_id", "left")
+    d = queries.join(contexts.hint("merge"), "query_id", "left").join(lines.hint("merge"), "query_id", "left")
     shown = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
     parts = [
         F.lit(f"<|system|>\n{settings.prompt.system}\n{settings.prompt.answer_style}\n</s>\n<|user|>\nRecent chat context, may be empty:\n"), shown("recent", "(none)"),
@@ -83,16 +83,18 @@ def answers(queries: DataFrame, results: DataFrame, settings: Settings, model: G
     Without a model every mode is extractive. A model is asked only where the
     extractive answer is known, so a weak match costs no generation.
     """
-    extractive = X.extractive_answers(results, queries, settings.chat.max_chat_chars)
-    d = queries.join(extractive, "query_id")
+    selects = model is not None and settings.model.llm_select_extractive
+    d = X.answers_and_texts(results, queries, settings.chat.max_chat_chars, settings.model.llm_select_max_candidates if selects else 0)
     known = F.col("answer") != T.UNKNOWN_REPLY
-    if model is not None and settings.model.llm_select_extractive:
-        d = d.join(X.candidate_texts(results, queries, settings.model.llm_select_max_candidates), "query_id")
-        asked = d.filter(F.size("texts") > 0).withColumn("choice", T.selector_choice(generate(selector_prompt(F.col("query"), F.col("texts")), model), F.size("texts")))
+    if selects:
+        # a row's own prompt is null where the model isn't asked: no join brings the answers back
+        asked = F.when(F.size("texts") > 0, F.coalesce(selector_prompt(F.col("query"), F.col("texts")), F.lit("")))
+        d = d.withColumn("choice", T.selector_choice(generate(asked, model), F.size("texts")))
         picked = F.concat(X.answer_prefix(F.coalesce(T.compact(F.col("query")).rlike(r"\bpric(?:e|es|ing)\b"), F.lit(False))), T.sanitize(F.get("texts", F.col("choice") - 1)))
-        chosen = asked.select("query_id", F.when(F.col("choice") == 0, F.lit(T.UNKNOWN_REPLY)).when(F.col("choice") > 0, picked).alias("chosen"))
-        return d.join(chosen, "query_id", "left").select("query_id", F.coalesce("chosen", "answer").alias("reply"))
+        chosen = F.when(F.col("choice") == 0, F.lit(T.UNKNOWN_REPLY)).when(F.col("choice") > 0, picked)
+        return d.select("query_id", F.coalesce(chosen, "answer").alias("reply"))
     if model is not None and settings.model.enabled and context is not None:
-        asked = d.filter(known).join(context, "query_id").select("query_id", generate(F.col("prompt"), model).alias("said")).select("query_id", T.clean_generation(F.col("said")).alias("made"))
-        return d.join(asked, "query_id", "left").select("query_id", F.coalesce("made", "answer").alias("reply"))
+        d = d.join(context.select("query_id", F.coalesce("prompt", F.lit("")).alias("prompt")).hint("merge"), "query_id", "left")
+        d = d.select("query_id", "answer", generate(F.when(known, F.col("prompt")), model).alias("said"))
+        return d.select("query_id", F.coalesce(T.clean_generation(F.col("said")), "answer").alias("reply"))
     return d.select("query_id", F.col("answer").alias("reply"))
