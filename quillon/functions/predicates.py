@@ -174,10 +174,13 @@ def low_confidence(terms: Column, text: Column, score: Column, key_match: Column
 
 def source_date(path: Column) -> Column:
     """struct(yy, mm, dd) of a dated file name, else null; dates compare as tuples."""
-    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)\z", 1), r"\.[^.]*\z", "")
-    part = lambda i: F.regexp_extract(stem, DATED, i).try_cast("int")
-    ok = stem.rlike(DATED) & part(1).between(1, 31) & part(2).between(1, 12)
-    return F.when(ok, F.struct(part(3).alias("yy"), part(2).alias("mm"), part(1).alias("dd")))
+    stem = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*\z", "")
+
+    def of(s: Column) -> Column:
+        part = lambda i: F.regexp_extract(s, DATED, i).try_cast("int")
+        return F.when(s.rlike(DATED), F.struct(part(3).alias("yy"), part(2).alias("mm"), part(1).alias("dd")))
+
+    return T.let(T.let(stem, of), lambda x: F.when(x["dd"].between(1, 31) & x["mm"].between(1, 12), x))
 
 
 def blocked(c: Column, substrings: list[str]) -> Column:

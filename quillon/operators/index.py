@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.storage import materialize
+from quillon.storage import dealt, materialize
 
 # Fixed values
 K1, B = 1.5, 0.75
@@ -46,7 +46,10 @@ def doc_frequencies(tokens: DataFrame) -> DataFrame:
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
     """One row: n, total_len, avgdl."""
-    s = doc_lengths(tokens).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"))
+    return _sized(doc_lengths(tokens).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len")))
+
+
+def _sized(s: DataFrame) -> DataFrame:
     return s.withColumn("avgdl", F.when(F.col("n") > 0, F.col("total_len") / F.col("n")).otherwise(0.0))
 
 
@@ -64,26 +67,35 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def hits(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """id, dl, term, tf, df of the postings of ``terms`` (one column, term) alone."""
-    rows = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    tf = rows.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = materialize(tf, "postings")  # read twice: for the frequencies too
-    return tf.join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+def hits(tokens: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """id, dl, term, tf, df of the postings of ``terms`` (one column, term) alone, and the row of ``corpus_stats``.
+
+    Texts are tokenized once: an empty term, which no text holds, stands for the text itself.
+    """
+    rows = tokens.select("id", F.size("tokens").alias("dl"), F.explode(F.array_append("tokens", F.lit(""))).alias("term"))
+    held = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    tf = materialize(rows.join(F.broadcast(held), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    stats = _sized(tf.filter("term = ''").select((F.col("dl") * F.col("tf")).alias("dl"), "tf").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len")))
+    tf = tf.filter("term <> ''")
+    return tf.join(F.broadcast(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))), "term"), stats
 
 
 def bm25_scores(tokens: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, id, lex of every pair that shares a term."""
-    return posting_scores(hits(tokens, query_tokens(queries)), corpus_stats(tokens), queries, k1, b)
+    return posting_scores(*hits(tokens, query_tokens(queries)), queries, k1, b)
 
 
 def posting_scores(postings: DataFrame, stats: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """``bm25_scores`` from postings (see ``hits``) and the one row of corpus statistics."""
-    q = query_tokens(queries)
-    scored = postings.crossJoin(F.broadcast(stats))
+    return posting_parts(postings, stats, queries, k1, b).groupBy("query_id", "id").agg(F.sum("part").alias("lex"))
+
+
+def posting_parts(postings: DataFrame, stats: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, id, part: what each shared term adds. Dealt by id, so that sums by query and id need no exchange of pairs."""
     norm = k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl"))
+    scored = dealt(postings, "id").crossJoin(F.broadcast(stats))
     scored = scored.select("id", "term", (idf(F.col("df"), F.col("n")) * (F.col("tf") * (k1 + 1.0)) / (F.col("tf") + norm)).alias("s"))
-    return scored.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("s") * F.col("qtf")).alias("lex"))
+    return scored.join(F.broadcast(query_tokens(queries)), "term").select("query_id", "id", (F.col("s") * F.col("qtf")).alias("part"))
 
 
 def bm25_topk(tokens: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -101,4 +113,7 @@ def is_table_fragment(text: Column) -> Column:
 def table_groups(chunks: DataFrame) -> DataFrame:
     """source_path, heading_path, chunk_idx, start_char, place (1 first) of table fragments."""
     w = Window.partitionBy("source_path", "heading_path").orderBy("start_char", "chunk_idx")
-    return chunks.filter(is_table_fragment(F.col("text"))).select("source_path", "heading_path", "chunk_idx", "start_char").withColumn("place", F.row_number().over(w))
+    # texts with a row at all are dealt and looked at there: a filter would move back to the readers' tasks, an exploded flag doesn't
+    held = dealt(chunks.filter(T.is_row(F.col("text"))).select("source_path", "heading_path", "chunk_idx", "start_char", "text"), "chunk_idx")
+    found = held.select("source_path", "heading_path", "chunk_idx", "start_char", F.explode(F.when(is_table_fragment(F.col("text")), F.array(F.lit(True)))).alias("is")).drop("is")
+    return found.withColumn("place", F.row_number().over(w))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import predicates as P
 from quillon.operators import index as I
-from quillon.storage import materialize
+from quillon.storage import dealt, materialize
 
 # Fixed values
 RRF_K = 60
@@ -90,17 +90,37 @@ def dense_rank(pairs: DataFrame, gate: float = MIN_SCORE) -> DataFrame:
     return pairs.filter(F.col("dense") >= gate).withColumn("rank_dense", _rank(_even("dense"), F.col("chunk_idx")))
 
 
-def lexical_rank(ranked: DataFrame, lexical: DataFrame) -> DataFrame:
-    """With lex (0 if no term is shared) and rank_lex (null then)."""
-    d = ranked.join(lexical.select("query_id", F.col("id").alias("chunk_idx"), "lex"), ["query_id", "chunk_idx"], "left").withColumn("lex", F.coalesce("lex", F.lit(0.0)))
+def scored_pairs(dense: DataFrame, parts: DataFrame) -> DataFrame:
+    """query_id, chunk_idx, dense, lex (null: no term is shared) of ``dense_pairs``.
+
+    ``parts``: see ``posting_parts``. Both are dealt by chunk and summed there, in one
+    pass: pairs that share a term, which are most of all, are never exchanged.
+    """
+    null = F.lit(None).cast("double")
+    d = dealt(dense, "chunk_idx").select("query_id", "chunk_idx", "dense", null.alias("part"))
+    both = d.unionByName(parts.select("query_id", F.col("id").alias("chunk_idx"), null.alias("dense"), "part"))
+    return both.groupBy("query_id", "chunk_idx").agg(F.max("dense").alias("dense"), F.sum("part").alias("lex")).filter("dense is not null")
+
+
+def named(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """``pairs`` with source_path, heading_path and date of ``names``, a row a chunk, joined where pairs are dealt by chunk.
+
+    A chunk's date is read from its path once, not for each of its pairs.
+    """
+    dated = dealt(names.select("chunk_idx", "source_path", "heading_path"), "chunk_idx").withColumn("date", P.source_date(F.col("source_path")))
+    return pairs.join(dated.hint("shuffle_hash"), "chunk_idx")
+
+
+def lexical_rank(ranked: DataFrame) -> DataFrame:
+    """Of ``scored_pairs`` with rank_dense: lex (0 if no term is shared) and rank_lex (null then)."""
+    d = ranked.withColumn("lex", F.coalesce("lex", F.lit(0.0)))
     # pairs without a lexical score sort last, so the others' numbers are their ranks
     return d.withColumn("rank_lex", F.when(F.col("lex") > 0, _rank(_even("lex"), F.col("rank_dense"))))
 
 
 def recency_rank(ranked: DataFrame) -> DataFrame:
-    """With rank_date among dated sources, newest first (null: undated). Needs source_path."""
-    d = ranked.withColumn("date", P.source_date(F.col("source_path")))
-    return d.withColumn("rank_date", F.when(F.col("date").isNotNull(), _rank(F.desc_nulls_last("date"), F.col("rank_dense"))))
+    """With rank_date among dated sources, newest first (null: undated). Needs date (see ``named``)."""
+    return ranked.withColumn("rank_date", F.when(F.col("date").isNotNull(), _rank(F.desc_nulls_last("date"), F.col("rank_dense"))))
 
 
 def fuse(ranked: DataFrame) -> DataFrame:
@@ -117,15 +137,22 @@ def diverse_topk(fused: DataFrame, k: int = TOP_K) -> DataFrame:
     A row stays if it is in the first half or the first of its source and heading;
     of these, the first k. With pos from 1.
     """
-    first = F.row_number().over(Window.partitionBy("query_id", "source_path", "heading_path").orderBy("rank_fused"))
-    kept = fused.withColumn("nth", first).filter((F.col("rank_fused") <= math.ceil(k / 2)) | (F.col("nth") == 1)).drop("nth")
-    return kept.withColumn("pos", _rank(F.col("rank_fused"))).filter(F.col("pos") <= k)
-
-
-def rare_rescue(results: DataFrame, pairs: DataFrame, postings: DataFrame, lexical: DataFrame, queries: DataFrame, floor: float) -> DataFrame:
+    # a source and heading is one row of sums: its first, and what it has in the first half. Pairs aren't sorted by these names
+    key = ["query_id", "source_path", "heading_path"]
+    others = [c for c in fused.columns if c not in (*key, "rank_fused")]
+    rank, places = F.col("rank_fused"), range(2, math.ceil(k / 2) + 1)
+    sums = [F.struct(F.min(rank).alias("rank_fused"), *[F.min_by(c, rank).alias(c) for c in others])]
+    sums += [F.struct(F.max(F.when(rank == n, rank)).alias("rank_fused"), *[F.max(F.when(rank == n, F.col(c))).alias(c) for c in others]) for n in places]
+    kept = fused.groupBy(*key).agg(F.array(*sums).alias("rows"))
+    rows = F.filter("rows", lambda r, i: (i == 0) | (r["rank_fused"] > F.col("rows")[0]["rank_fused"]))
+    kept = kept.select(*key, F.explode(rows).alias("r")).select(*key, "r.*")
+    return kept.withColumn("pos", _rank(rank)).filter(F.col("pos") <= k)
+
+
+def rare_rescue(results: DataFrame, pairs: DataFrame, postings: DataFrame, queries: DataFrame, floor: float) -> DataFrame:
     """query_id, chunk_idx, dense, pos (from 1) of chunks that hold a rare query term no result holds.
 
-    ``results``: query_id, chunk_idx. ``postings``: id, term, df of the queries' terms.
+    ``results``: query_id, chunk_idx. ``pairs``: see ``scored_pairs``. ``postings``: id, term, df of the queries' terms.
     """
     q = I.query_tokens(queries).select("query_id", "term")
     rare = postings.filter(F.col("df") <= RARE_DF).select("term", F.col("id").alias("chunk_idx"))
@@ -133,8 +160,8 @@ def rare_rescue(results: DataFrame, pairs: DataFrame, postings: DataFrame, lexic
     covered = holding.join(results.select("query_id", "chunk_idx"), ["query_id", "chunk_idx"], "left_semi").select("query_id", "term").distinct()
     cands = holding.join(covered, ["query_id", "term"], "left_anti").select("query_id", "chunk_idx").distinct()
     cands = cands.join(results.select("query_id", "chunk_idx"), ["query_id", "chunk_idx"], "left_anti")
-    cands = cands.join(pairs.filter(F.col("dense") >= floor), ["query_id", "chunk_idx"])
-    cands = cands.join(lexical.select("query_id", F.col("id").alias("chunk_idx"), "lex"), ["query_id", "chunk_idx"])
+    # few: at most RARE_DF chunks of each term of a query
+    cands = pairs.filter((F.col("dense") >= floor) & F.col("lex").isNotNull()).join(F.broadcast(cands), ["query_id", "chunk_idx"])
     return cands.withColumn("pos", _rank(_even("lex"), F.col("chunk_idx"))).filter(F.col("pos") <= RARE_CAP).select("query_id", "chunk_idx", "dense", "pos")
 
 
@@ -149,6 +176,27 @@ def table_siblings(results: DataFrame, groups: DataFrame) -> DataFrame:
     return more.withColumn("nth", _rank(F.col("trigger"), F.col("start_char"), F.col("chunk_idx"))).filter(F.col("nth") <= SIBLING_CAP).select("query_id", "chunk_idx", "trigger", "nth")
 
 
+def scored(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, floor: float) -> tuple[DataFrame, DataFrame]:
+    """``scored_pairs`` with dense >= floor, and the postings (id, term, df) of the queries' terms."""
+    texts = dealt(chunks.select("chunk_idx", "title", "source_path", "heading_path", "text"), "chunk_idx")
+    tokens = I.tokenized(texts, "chunk_idx", I.embed_text(F.col("title"), F.col("source_path"), F.col("heading_path"), F.col("text")))
+    postings, stats = I.hits(tokens, I.query_tokens(queries))
+    return scored_pairs(dense_pairs(embeddings, queries, floor), I.posting_parts(postings, stats, queries)), postings.select("id", "term", "df")
+
+
+def fused_pairs(pairs: DataFrame, names: DataFrame, queries: DataFrame, gate: float = MIN_SCORE) -> DataFrame:
+    """``scored_pairs`` at or above the gate with all ranks. ``names``: chunk_idx, source_path, heading_path."""
+    d = named(pairs.filter(F.col("dense") >= gate), names)
+    # one exchange by query for all ranks
+    d = d.join(queries.select("query_id", P.recency_query(F.col("query")).alias("recency")), "query_id")
+    return fuse(recency_rank(lexical_rank(dense_rank(d, gate))))
+
+
+def top_pairs(pairs: DataFrame, names: DataFrame, queries: DataFrame, k: int = TOP_K, gate: float = MIN_SCORE) -> DataFrame:
+    d = fused_pairs(pairs, names, queries, gate)
+    return diverse_topk(d.select("query_id", "chunk_idx", "dense", "source_path", "heading_path", "rank_fused"), k)
+
+
 def search(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int = TOP_K, gate: float = MIN_SCORE) -> DataFrame:
     """query_id, pos (from 1), chunk_idx, score (always the cosine): all steps.
 
@@ -158,15 +206,11 @@ def search(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int
     asked = queries.filter(F.length(F.trim("query")) > 0)
     floor = min(gate, RARE_FLOOR)
     # what several steps read is computed once
-    pairs = materialize(dense_pairs(embeddings, asked, floor), "pairs")
-    tokens = materialize(I.tokenized(chunks, "chunk_idx", I.embed_text(F.col("title"), F.col("source_path"), F.col("heading_path"), F.col("text"))), "tokens")
-    postings = materialize(I.hits(tokens, I.query_tokens(asked)), "postings")
-    lexical = materialize(I.posting_scores(postings, I.corpus_stats(tokens), asked), "lexical")
+    pairs, postings = scored(chunks, embeddings, asked, floor)
+    pairs = materialize(pairs, "pairs")
     names = chunks.select("chunk_idx", "source_path", "heading_path")
-    ranked = lexical_rank(dense_rank(pairs, gate), lexical).join(names, "chunk_idx")
-    ranked = ranked.join(asked.select("query_id", P.recency_query(F.col("query")).alias("recency")), "query_id")
-    top = materialize(diverse_topk(fuse(recency_rank(ranked)), k).select("query_id", "chunk_idx", "dense", "pos"), "top")
-    rescued = rare_rescue(top, pairs, postings.select("id", "term", "df"), lexical, asked, floor)
+    top = materialize(top_pairs(pairs, names, asked, k, gate).select("query_id", "chunk_idx", "dense", "pos"), "top")
+    rescued = rare_rescue(top, pairs, postings, asked, floor)
     both = materialize(top.unionByName(rescued.withColumn("pos", F.col("pos") + k)), "found")
     added = cosine_of(table_siblings(both.join(names, "chunk_idx"), I.table_groups(chunks)), embeddings, asked)
     out = both.select("query_id", "chunk_idx", "dense", F.col("pos").alias("trigger"), F.lit(0).alias("nth")).unionByName(added.select("query_id", "chunk_idx", "dense", "trigger", "nth"))

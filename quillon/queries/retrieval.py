@@ -16,6 +16,7 @@ from quillon.operators import index as I
 from quillon.operators import retrieval as R
 from quillon.queries import sql as Q
 from quillon.queries.text import table
+from quillon.storage import materialize
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -93,20 +94,32 @@ def _embedded(c: DataFrame) -> DataFrame:
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     c, q = chunks(spark, d), asked(spark, d)
-    tokens = I.tokenized(c, "chunk_idx", I.embed_text(F.col("title"), F.col("source_path"), F.col("heading_path"), F.col("text")))
-    r = R.lexical_rank(R.dense_rank(R.dense_pairs(matrix(spark, d), q, R.MIN_SCORE)), I.bm25_scores(tokens, q))
-    r = r.join(c.select("chunk_idx", "source_path", "heading_path"), "chunk_idx").join(q.select("query_id", P.recency_query(F.col("query")).alias("recency")), "query_id")
-    return R.fuse(R.recency_rank(r))
+    pairs, _ = R.scored(c, matrix(spark, d), q, R.MIN_SCORE)
+    return R.fused_pairs(pairs, _names(c), q)
+
+
+def _dated(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks by date need no words, so none are read."""
+    pairs = R.dense_pairs(matrix(spark, d), asked(spark, d), R.MIN_SCORE)
+    return R.recency_rank(R.dense_rank(R.named(pairs, _names(chunks(spark, d)))))
+
+
+def _names(c: DataFrame) -> DataFrame:
+    return c.select("chunk_idx", "source_path", "heading_path")
 
 
 def _top(spark: SparkSession, d: str) -> DataFrame:
-    return R.diverse_topk(_ranked(spark, d))
+    c, q = chunks(spark, d), asked(spark, d)
+    pairs, _ = R.scored(c, matrix(spark, d), q, R.MIN_SCORE)
+    return R.top_pairs(pairs, _names(c), q)
 
 
 def _rescued(spark: SparkSession, d: str) -> DataFrame:
     c, q = chunks(spark, d), asked(spark, d)
-    tokens = I.tokenized(c, "chunk_idx", I.embed_text(F.col("title"), F.col("source_path"), F.col("heading_path"), F.col("text")))
-    return R.rare_rescue(_top(spark, d), R.dense_pairs(matrix(spark, d), q, R.RARE_FLOOR), I.hits(tokens, I.query_tokens(q)).select("id", "term", "df"), I.bm25_scores(tokens, q), q, R.RARE_FLOOR)
+    pairs, postings = R.scored(c, matrix(spark, d), q, R.RARE_FLOOR)
+    pairs = materialize(pairs, "pairs")
+    top = materialize(R.top_pairs(pairs, _names(c), q).select("query_id", "chunk_idx"), "top")
+    return R.rare_rescue(top, pairs, postings, q, R.RARE_FLOOR)
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +140,7 @@ QUERIES: dict[str, tuple] = {
     "dense_gate": (lambda s, d: R.dense_pairs(matrix(s, d), asked(s, d), R.MIN_SCORE).select("query_id", "chunk_idx", F.round("dense", 6).alias("score")), BASE + "SELECT q AS query_id, id AS chunk_idx, round(dense, 6) AS score FROM sim WHERE dense >= 0.18"),
     "dense_rank": (lambda s, d: R.dense_rank(R.dense_pairs(matrix(s, d), asked(s, d), R.MIN_SCORE)).select("query_id", "chunk_idx", _long("rank_dense")), BASE + "SELECT q AS query_id, id AS chunk_idx, rd AS rank_dense FROM d"),
     "lexical_rank": (lambda s, d: _ranked(s, d).filter("rank_lex is not null").select("query_id", "chunk_idx", _long("rank_lex")), BASE + "SELECT q AS query_id, id AS chunk_idx, rl AS rank_lex FROM l"),
-    "recency_rank": (lambda s, d: _ranked(s, d).filter("rank_date is not null").select("query_id", "chunk_idx", _long("rank_date")), BASE + "SELECT q AS query_id, id AS chunk_idx, rn AS rank_date FROM n"),
+    "recency_rank": (lambda s, d: _dated(s, d).filter("rank_date is not null").select("query_id", "chunk_idx", _long("rank_date")), BASE + "SELECT q AS query_id, id AS chunk_idx, rn AS rank_date FROM n"),
     "rank_fusion": (lambda s, d: _ranked(s, d).select("query_id", "chunk_idx", F.round("fused", 6).alias("fused"), _long("rank_fused")), BASE + "SELECT q AS query_id, id AS chunk_idx, round(fused, 6) AS fused, rf AS rank_fused FROM o"),
     "diverse_topk": (lambda s, d: _top(s, d).select("query_id", "chunk_idx", _long("pos")), BASE + "SELECT q AS query_id, id AS chunk_idx, pos FROM top"),
     "rare_rescue": (lambda s, d: _rescued(s, d).select("query_id", "chunk_idx", _long("pos")), BASE + "SELECT q AS query_id, id AS chunk_idx, pos FROM resc"),

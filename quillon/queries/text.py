@@ -10,6 +10,7 @@ from quillon.functions import text as T
 from quillon.operators import chunking as K
 from quillon.operators import index as I
 from quillon.queries import sql as Q
+from quillon.storage import dealt
 
 UNKNOWN = T.UNKNOWN_REPLY.replace("'", "''")
 
@@ -32,6 +33,11 @@ def doc_tokens(spark: SparkSession, d: str) -> DataFrame:
     return I.tokenized(docs, "doc_id", _text())
 
 
+def dealt_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """``doc_tokens``, tokenized where counts by document need no exchange of tokens."""
+    return I.tokenized(dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", _text())
+
+
 def questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -48,11 +54,11 @@ lex AS (SELECT item_id, id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
 
 
 def _terms_rows(spark: SparkSession, d: str) -> DataFrame:
-    return I.term_frequencies(doc_tokens(spark, d)).select(F.col("id").alias("doc_id"), "term", "tf")
+    return I.term_frequencies(dealt_tokens(spark, d)).select(F.col("id").alias("doc_id"), "term", "tf")
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    return I.bm25_topk(doc_tokens(spark, d), questions(spark, d)).select(F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), F.round("lex", 6).alias("score"))
+    return I.bm25_topk(dealt_tokens(spark, d), questions(spark, d)).select(F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), F.round("lex", 6).alias("score"))
 
 
 def _chat_parts(spark: SparkSession, d: str) -> DataFrame:

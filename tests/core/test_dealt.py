@@ -1,10 +1,13 @@
 """Work on many rows of a small file is dealt over tasks, done once, and sent to no one place."""
 
+import re
+
 import pytest
 
 from quillon import catalog
 from quillon.functions import text as T
 from quillon.models import generate
+from quillon.operators import index as I
 
 RANKED = ("candidate_rank", "low_confidence", "plain_answers", "extractive_answers", "candidate_texts", "selector_prompts", "debug_candidates", "selected_answers", "generated_answers")
 
@@ -40,3 +43,38 @@ def test_white_space_is_what_unicode_calls_so(spark):
         got = {r.c for r in d.filter(d.c.rlike(form.format(T.WS))).collect()} - {":"}
         assert got == {c for i in range(0x10000) if (c := chr(i)).isspace()}
     assert {r.c for r in d.filter(~d.c.rlike(f"[^{T.WS}]")).collect()} == got
+
+
+@pytest.mark.parametrize("name", ("bm25_topk", "lexical_rank", "recency_rank", "rank_fusion", "diverse_topk"))
+def test_pairs_that_share_a_term_are_not_exchanged(spark, sf, name):
+    p = plan(catalog.queries()[name](spark, sf))
+    assert not re.search(r"hashpartitioning\((query_id#\d+L?, (chunk_idx|id)#|(chunk_idx|id)#\d+L?, query_id#)", p)
+    # texts are tokenized once, into postings: here names are all that is read of documents
+    assert not re.search(r"documents.*ReadSchema: struct<[^>]*text", p)
+
+
+def test_pairs_are_not_sorted_by_names(spark, sf):
+    p = plan(catalog.queries()["diverse_topk"](spark, sf))
+    assert not re.search(r"Sort \[[^\]]*source_path", p)
+
+
+def test_dates_are_read_before_pairs_are_joined(spark, sf):
+    p = plan(catalog.queries()["recency_rank"](spark, sf))
+    lines = [i for i, x in enumerate(p.splitlines()) if "substring_index" in x]
+    assert lines and min(lines) > next(i for i, x in enumerate(p.splitlines()) if "ShuffledHashJoin" in x)
+
+
+def test_texts_are_looked_at_for_tables_where_they_are_dealt(spark, sf):
+    p = plan(catalog.queries()["table_groups"](spark, sf)).splitlines()
+    looked = next(i for i, x in enumerate(p) if "Generate explode" in x)
+    assert looked < next(i for i, x in enumerate(p) if "REPARTITION_BY_NUM" in x)
+
+
+def test_an_empty_corpus_has_no_scores(spark):
+    q = spark.createDataFrame([(1, "a b")], "query_id long, query string")
+    none = spark.createDataFrame([], "id long, tokens array<string>")
+    assert I.bm25_scores(none, q).collect() == [] and I.hits(none, I.query_tokens(q))[1].first().avgdl == 0.0
+    some = spark.createDataFrame([(1, ["a", "a", "c"]), (2, []), (3, ["d"])], none.schema)
+    postings, stats = I.hits(some, I.query_tokens(q))
+    assert [tuple(r) for r in postings.select("id", "dl", "term", "tf", "df").collect()] == [(1, 3, "a", 2, 1)]
+    assert stats.first() == I.corpus_stats(some).first()
