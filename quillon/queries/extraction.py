@@ -226,7 +226,7 @@ GENERATED = f"SELECT query_id, CASE WHEN answer = '{_UNKNOWN}' THEN answer ELSE
 def _files(spark: SparkSession, d: str) -> DataFrame:
     head = F.concat(F.lit("---\nlang: x\n---\n# "), F.initcap("source"), F.lit(" page\n\n"))
     body = F.concat(F.lit("## First\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\n### Deep\n| Key | Value |\n|---|---|\n| `"), F.col("lang"), F.lit("` | "), F.col("n_chars").cast("string"), F.lit(" |\n## Last\nThe last part of the page about "), F.col("source"), F.lit(" and more."))
-    return table(spark, d, "documents").select(F.concat("lang", F.lit("/"), "source", F.lit("/page-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(head, body).alias("text"), "doc_id")
+    return dealt(table(spark, d, "documents").select("doc_id", "lang", "source", "text", "n_chars"), "doc_id").select(F.concat("lang", F.lit("/"), "source", F.lit("/page-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(head, body).alias("text"), "doc_id")
 
 
 _LEAD = "upper(source[1]) || lower(source[2:]) || ' page'"

@@ -78,3 +78,14 @@ def test_an_empty_corpus_has_no_scores(spark):
     postings, stats = I.hits(some, I.query_tokens(q))
     assert [tuple(r) for r in postings.select("id", "dl", "term", "tf", "df").collect()] == [(1, 3, "a", 2, 1)]
     assert stats.first() == I.corpus_stats(some).first()
+
+
+@pytest.mark.parametrize("name", ("infer_title", "split_sections"))
+def test_files_are_dealt(spark, sf, name):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert catalog.queries()[name](spark, sf).rdd.getNumPartitions() == parts > 1
+
+
+def test_terms_are_counted_where_texts_are_dealt(spark, sf):
+    p = plan(catalog.queries()["term_frequencies"](spark, sf))
+    assert p.count("Exchange") == 1 and "REPARTITION_BY_NUM" in p
